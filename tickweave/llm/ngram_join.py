@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from .common import hasher, keep, mix64, raw_texts, shingles, small
 
@@ -39,7 +40,11 @@ MOST_COMMON = 1_000_000
 #: Subsets are never considered for sets above this size.
 LARGEST_SMALL = 12
 #: Lists are split by a central member until this many times the rows would do as pairs, in so many rounds at most.
-PAIRS_PER_ROW, ROUNDS = 4, 6
+PAIRS_PER_ROW, ROUNDS = 8, 4
+#: Members of sets are compared by so many bytes of their hashes; for sets of 1000 a count is off with a chance under 1e-8.
+MEMBER_BYTES = 6
+#: Sets on one side of a block of comparisons.
+BLOCK_SETS = 512
 #: Rows of a table of pairs or ids that may be broadcast.
 BROADCAST_ROWS = 500_000
 SALTS = 32
@@ -159,85 +164,92 @@ def _entries(common, limit: int, num: int, den: int):
     return run
 
 
-def _members(width: int):
-    """Rows (digest, members cut to ``width`` bytes each, sorted)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            ds, sets = [], []
-            for words in hasher().many(raw_texts(batch.column(0))):
-                members = shingles(words)
-                if (d := _digest(members)) not in seen:
-                    seen.add(d)
-                    ds.append(d)
-                    sets.append(np.sort(members.astype(np.uint32)).tobytes() if width == 4 else members.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ds, pa.binary()), pa.array(sets, pa.binary())], ["sid", "members"])
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (digest, sorted members cut to MEMBER_BYTES each)."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        ds, sets = [], []
+        for words in hasher().many(raw_texts(batch.column(0))):
+            members = shingles(words)
+            if (d := _digest(members)) not in seen:
+                seen.add(d)
+                ds.append(d)
+                sets.append(members.view(np.uint8).reshape(-1, 8)[:, 8 - MEMBER_BYTES :].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(ds, pa.binary()), pa.array(sets, pa.binary())], ["sid", "members"])
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // MEMBER_BYTES, 8), np.uint8)
+    out[:, :MEMBER_BYTES] = np.frombuffer(blob, np.uint8).reshape(-1, MEMBER_BYTES)
+    return out.view(np.uint64).ravel()
+
+
+@F.pandas_udf(IntegerType())
+def _common_count(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = np.zeros(len(a), np.int32)
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        both = np.concatenate([_unpack(x), _unpack(y)])
+        both.sort(kind="stable")
+        out[i] = (both[1:] == both[:-1]).sum()
+    return pd.Series(out)
+
+
+def _size(members: str) -> Column:
+    return (F.length(members) / MEMBER_BYTES).cast("int")
+
+
+def _sets(texts: DataFrame, ids: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The members of wanted sets, each computed again from one text that has it."""
+    chosen = keep(ids.join(wanted, "sid", "left_semi").select("id"), "set-ids")
+    sets = texts.join(small(chosen, BROADCAST_ROWS), "id", "left_semi").select("text")
+    sets = keep(sets.mapInArrow(_members, "sid binary, members binary"), "sets")
+    n, k = sets.agg(F.count("*"), F.countDistinct("sid")).first()
+    return sets if n == k else keep(sets.groupBy("sid").agg(F.min("members").alias("members")), "sets")
+
+
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """x, y, their sizes a and b and the count o of common members, for each different pair of sets."""
+    pairs = keep(pairs.select("x", "y").distinct(), "pairs")
+    left = sets.toDF("x", "mx").join(small(pairs, BROADCAST_ROWS), "x")
+    right = sets.toDF("y", "my").join(small(pairs.select("y").distinct(), BROADCAST_ROWS), "y", "left_semi")
+    return keep(left.join(right, "y").select("x", "y", _size("mx").alias("a"), _size("my").alias("b"), _common_count("mx", "my").alias("o")), "overlaps")
+
+
+def _links_between(num: int, den: int):
+    """Per group, the links of members on one side with members on the other, by products of 0/1 matrices."""
+
+    def run(ball: pd.DataFrame, shell: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(ball) and len(shell):
+            sets = [[_unpack(m) for m in side["members"]] for side in (ball, shell)]
+            vocabulary = np.unique(np.concatenate(sets[0] + sets[1]))
+            grid = []
+            for side in sets:
+                g = np.zeros((len(side), len(vocabulary)), np.float32)
+                for i, m in enumerate(side):
+                    g[i, np.searchsorted(vocabulary, m)] = 1
+                grid.append(g)
+            o = grid[1] @ grid[0].T
+            n = [np.array([len(m) for m in side], np.float32) for side in sets]
+            hits = np.argwhere(o * den >= (n[1][:, None] + n[0][None, :] - o) * num)
+            out = [(shell["sid"].iloc[i], ball["sid"].iloc[j]) for i, j in hits]
+        return pd.DataFrame(out, columns=["x", "y"])
 
     return run
 
 
-def _common_count(width: int):
-    kind = np.uint32 if width == 4 else np.uint64
-
-    @F.pandas_udf("int")
-    def count(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = np.zeros(len(a), np.int32)
-        for i, (x, y) in enumerate(zip(a, b, strict=True)):
-            both = np.concatenate([np.frombuffer(x, kind), np.frombuffer(y, kind)])
-            both.sort(kind="stable")
-            out[i] = (both[1:] == both[:-1]).sum()
-        return pd.Series(out)
-
-    return count
-
-
-class _Verifier:
-    """Exact overlaps of pairs of sets, whose members are computed again from one text each."""
-
-    def __init__(self, texts: DataFrame, ids: DataFrame, sizes: DataFrame, num: int, den: int) -> None:
-        self.texts, self.ids, self.sizes, self.num, self.den = texts, ids, sizes, num, den
-        self.sets = self._sets(sizes.select("sid"), 4)
-
-    def _sets(self, wanted: DataFrame, width: int) -> DataFrame:
-        ids = keep(self.ids.join(wanted, "sid", "left_semi").select("id"), "set-ids")
-        chosen = self.texts.join(small(ids, BROADCAST_ROWS), "id", "left_semi").select("text")
-        return keep(chosen.mapInArrow(_members(width), "sid binary, members binary"), "sets")
-
-    def _overlaps(self, pairs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
-        """pairs: x, y. y is the side with few different sets, if there is one."""
-        left = sets.withColumnRenamed("sid", "x").withColumnRenamed("members", "mx").join(small(pairs, BROADCAST_ROWS), "x")
-        right = sets.join(small(pairs.select(F.col("y").alias("sid")).distinct(), BROADCAST_ROWS), "sid", "left_semi")
-        right = right.groupBy("sid").agg(F.min("members").alias("my")).withColumnRenamed("sid", "y")
-        left = left.dropDuplicates(["x", "y"]) if self.repeats(sets) else left
-        return left.join(right, "y").select("x", "y", _common_count(width)("mx", "my").alias("o"))
-
-    _repeats: dict[int, bool]
-
-    def repeats(self, sets: DataFrame) -> bool:
-        """Whether more than one task computed a set."""
-        self._repeats = getattr(self, "_repeats", {})
-        if id(sets) not in self._repeats:
-            n, k = sets.agg(F.count("*"), F.countDistinct("sid")).first()
-            self._repeats[id(sets)] = n != k
-        return self._repeats[id(sets)]
-
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        """x, y, a, b, o for each different pair; o: common members."""
-        pairs = keep(pairs.select("x", "y").distinct(), "pairs")
-        got = keep(self._overlaps(pairs, self.sets, 4), "overlaps")
-        n = self.sizes
-        got = got.join(n.select(F.col("sid").alias("x"), F.col("n").alias("a")), "x").join(n.select(F.col("sid").alias("y"), F.col("n").alias("b")), "y")
-        # Members cut to 32 bits can only agree too often, and by very few: what is near the threshold is counted again.
-        near = least_overlap_column(F.col("a"), F.col("b"), self.num, self.den)
-        got = keep(got.withColumn("close", (F.col("o") >= near) & (F.col("o") <= near + 3)), "overlaps")
-        close = got.filter("close").select("x", "y")
-        if close.isEmpty():
-            return got.drop("close")
-        close = keep(close, "close-pairs")
-        whole = self._sets(close.select(F.col("x").alias("sid")).union(close.select("y")).distinct(), 8)
-        exact = self._overlaps(close, whole, 8).withColumnRenamed("o", "exact")
-        return keep(got.join(exact, ["x", "y"], "left").select("x", "y", "a", "b", F.coalesce("exact", "o").alias("o")), "overlaps")
+def _shell_links(shell: DataFrame, ball: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between the shell (y, sid) and the ball (y, sid) of each centre y, in blocks of BLOCK_SETS on either side."""
+    ball = ball.join(shell.select("y").distinct(), "y", "left_semi")
+    blocks = lambda df, name: df.groupBy("y").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias(name))
+    split = keep(blocks(shell, "s").join(blocks(ball, "b"), "y"), "blocks")
+    place = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    ball = ball.join(split, "y").select("y", "sid", place("b").alias("j"), every("s").alias("i"))
+    shell = shell.join(split, "y").select("y", "sid", place("s").alias("i"), every("b").alias("j"))
+    ball = ball.join(sets.toDF("sid", "members"), "sid").groupBy("y", "i", "j")
+    shell = shell.join(sets.toDF("sid", "members"), "sid").groupBy("y", "i", "j")
+    return ball.cogroup(shell).applyInPandas(_links_between(num, den), "x binary, y binary")
 
 
 def least_overlap_column(a: Column, b: Column, num: int, den: int) -> Column:
@@ -304,24 +316,26 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     lists = lists.withColumn("many", F.count("*").over(together)).filter(heavy | (F.col("many") > 1))
     lists = keep(lists.select("kind", "token", "sid", "n", "pos", "light").dropDuplicates(["kind", "token", "sid"]), "lists")
 
-    verify = _Verifier(texts.filter("id is not null"), sets.select("sid", "id"), keep(lists.groupBy("sid").agg(F.first("n").alias("n")), "listed"), num, den)
+    members = _sets(texts.filter("id is not null"), sets.select("sid", "id"), lists.select("sid").distinct())
     alive, known, links = lists, None, None
-    slack = 1 - num / den
+    slack, rows_at_first = 1 - num / den, 0
     for turn in range(ROUNDS + 1):
         lengths = alive.groupBy("kind", "token").agg(F.count("*").alias("c"), F.min(F.struct((F.col("light") / F.col("n")).alias("own"), "sid", "n")).alias("centre")).filter("c > 1")
         lengths = keep(lengths, "lists-lengths")
         total, pairs = lengths.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.expr("c * (c - 1) / 2")), F.lit(0))).first()
-        if not total or turn == ROUNDS or pairs <= PAIRS_PER_ROW * total and turn:
+        rows_at_first = rows_at_first or total
+        if not total or turn == ROUNDS or pairs <= PAIRS_PER_ROW * rows_at_first and turn:
             break
         seat = lengths.select("kind", "token", F.col("centre.sid").alias("y"), F.col("centre.n").alias("b"))
-        alive = keep(alive.join(seat, ["kind", "token"]).filter("sid <> y"), "alive")
+        alive = alive.join(seat, ["kind", "token"]).filter("sid <> y")
         met = alive.filter(F.least("n", "b") * 2 >= F.greatest("n", "b")).select(F.col("sid").alias("x"), "y")
-        found = keep(verify(met).withColumn("d", _jaccard_distance()), "distances")
+        found = _overlaps(met, members)
         known = found if known is None else known.unionByName(found)
         near = found.filter(_linked(num, den)).select(F.col("x").alias("sid"), "y")
         alive = keep(alive.join(near, ["sid", "y"], "left_anti").select("kind", "token", "sid", "n", "pos", "light"), "alive")
     if total:
         # Short lists: a pair counts from the first shingle that both have, if enough can follow it.
+        alive = keep(alive.join(lengths.select("kind", "token"), ["kind", "token"], "left_semi"), "alive")
         a = alive.select("kind", "token", *(F.col(c).alias(f"{c}_x") for c in ("sid", "n", "pos")))
         b = alive.select("kind", "token", *(F.col(c).alias(f"{c}_y") for c in ("sid", "n", "pos")))
         ordered = (F.col("n_x") < F.col("n_y")) | (F.col("n_x") == F.col("n_y")) & (F.col("sid_x") < F.col("sid_y"))
@@ -329,22 +343,19 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         follow = 1 + F.least(F.col("n_x") - F.col("pos_x") - 1, F.col("n_y") - F.col("pos_y") - 1) >= least
         fits = ordered & (F.col("n_x") * den >= F.col("n_y") * num) & ((F.col("kind") == 1) | follow)
         pairs_left = a.join(b, ["kind", "token"]).filter(fits).select(F.col("sid_x").alias("x"), F.col("sid_y").alias("y"))
-        found = verify(pairs_left).withColumn("d", _jaccard_distance())
-        links = found.filter(_linked(num, den)).select("x", "y")
+        links = _overlaps(pairs_left, members).filter(_linked(num, den)).select("x", "y")
     if known is not None:
-        near = known.filter(_linked(num, den))
-        links = near.select("x", "y") if links is None else links.union(near.select("x", "y"))
+        near = known.filter(_linked(num, den)).select("x", "y")
+        links = near if links is None else links.union(near)
         group = components(links)
-        # The shell: within twice the distance of a centre, not yet in its group; only near members can link with it.
-        of = lambda df, side: df.join(group.withColumnRenamed("node", side).withColumnRenamed("root", f"of_{side}"), side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
-        shell = of(known.filter(~_linked(num, den) & (F.col("d") <= 2 * slack + 1e-9)).select("x", "y", F.col("d").alias("dx"), F.col("a").alias("nx")), "x")
-        ball = of(near.select(F.col("x").alias("z"), "y", F.col("d").alias("dz"), F.col("a").alias("nz")), "z")
-        loose = shell.join(ball, "y").filter((F.col("of_x") != F.col("of_z")) & (F.col("dx") - F.col("dz") <= slack + 1e-9) & (F.least("nx", "nz") * den >= F.greatest("nx", "nz") * num))
-        loose = keep(loose.select("x", F.col("z").alias("y")).distinct(), "shell-pairs")
-        if not loose.isEmpty():
-            more = verify(loose).filter(_linked(num, den)).select("x", "y")
-            links = links.union(more)
-            group = components(links)
+        # The shell: within twice the distance of a centre, but not in its group. Only near members can link with it.
+        of = lambda side: group.withColumnRenamed("node", side).withColumnRenamed("root", f"of_{side}")
+        shell = known.filter(~_linked(num, den) & (_jaccard_distance() <= 2 * slack + 1e-9)).select("x", "y")
+        shell = shell.join(of("x"), "x", "left").join(of("y"), "y", "left")
+        shell = keep(shell.filter(F.coalesce("of_x", "x") != F.coalesce("of_y", "y")).select("y", F.col("x").alias("sid")), "shell")
+        more = keep(_shell_links(shell, near.select("y", F.col("x").alias("sid")), members, num, den), "shell-links")
+        if not more.isEmpty():
+            group = components(links.union(more))
         least = group.join(sets.select(F.col("sid").alias("node"), "id"), "node").groupBy("root").agg(F.min("id").alias("least"))
         group = group.join(least, "root").select(F.col("node").alias("sid"), "least")
         of_set = sets.join(group, "sid", "left").select("sid", F.coalesce("least", "id").alias("component"))
