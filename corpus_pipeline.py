@@ -1,6 +1,76 @@
-STAGES = []
+"""The corpus pipeline: five stages over ``documents``, each an operator of ``tickweave.llm``.
+
+A stage is written as Parquet and read again as the next stage's input; ``run`` does the same through the folder that
+the cluster shares. Stages keep the columns of documents, the last adds those of the mix.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickweave.llm import common, decontaminate, langid, mixing, ngram_join, quality
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A language is only doubted below this score, which is far under what short clean texts get.
+LANGUAGE_SCORE = 0.25
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on their labels, predicts to be good."""
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return docs.filter(quality.scorer(spark, model)(F.col("text")) >= quality.THRESHOLD)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that could be determined."""
+    predict = langid.predictor(spark, langid.fit(docs))
+    found = docs.withColumn("__language", predict(F.col("text")))
+    return found.filter((F.col("__language.lang") != langid.UNDETERMINED) & (F.col("__language.score") >= LANGUAGE_SCORE)).drop("__language")
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the least id; of rows that share that id, one.
+
+    Documents with a null id are in no group and stay.
+    """
+    groups = ngram_join.ngram_join(docs)
+    stays = common.keep(groups.filter("doc_id = component_id").select("doc_id").distinct(), "pipeline-stays")
+    kept = docs.join(common.small(stays, ngram_join.BROADCAST_ROWS), "doc_id", "left_semi")
+    twice = common.keep(groups.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "pipeline-twice")
+    if not twice.isEmpty():
+        again = common.small(twice, ngram_join.BROADCAST_ROWS)
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources brought half the way to equal weights, each repeated four times at most, in as many words as came in."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("language", known_language),
+    ("near_duplicates", one_of_each_group),
+    ("decontamination", no_benchmark),
+    ("mixing", mixed),
+]
+#: The stages are models, edit distances and hashes that DuckDB has no words for; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = common.keep(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

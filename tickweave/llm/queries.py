@@ -4,18 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from . import decontaminate as _decontaminate
+from . import langid as _langid
+from . import mixing as _mixing
 from . import ngram_join as _ngram
+from . import quality as _quality
+from .common import held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = _quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ngram.ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = _mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "epoch", F.round("place", 9).alias("place"), F.round("repeat_rate", 9).alias("repeat_rate"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _langid.language(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_ngram_join": op2_ngram_join,
+    "op4_decontaminate": op4_decontaminate,
+    "op7_mixing": op7_mixing,
+    "op10_language": op10_language,
 }
 ORACLES: dict[str, str] = {}
