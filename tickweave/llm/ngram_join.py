@@ -33,8 +33,9 @@ from pyspark.sql.types import IntegerType
 
 from .common import hasher, keep, mix64, raw_texts, shingles, small
 
-#: A task counts common shingles over so many at a time, and names those that it meets in so many sets.
-CHUNK_SHINGLES, COMMON_IN_CHUNK = 2_000_000, 4
+#: A task counts common shingles over so many at a time, and names those that it meets in so many sets. Prefixes are
+#: mostly made of the hashes below FRONT, so there fewer are enough.
+CHUNK_SHINGLES, COMMON_IN_CHUNK, COMMON_IN_FRONT, FRONT = 2_000_000, 4, 2, np.uint64(2**64 * 2 // 5)
 #: So many of the commonest shingles are known to every task (8 bytes each); others are ordered by hash alone.
 MOST_COMMON = 1_000_000
 #: Subsets are never considered for sets above this size.
@@ -67,7 +68,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def tally() -> pa.RecordBatch:
         tokens, times = np.unique(np.concatenate(held), return_counts=True)
-        often = times >= COMMON_IN_CHUNK
+        often = times >= np.where(tokens < FRONT, COMMON_IN_FRONT, COMMON_IN_CHUNK)
         k = int(often.sum())
         return pa.RecordBatch.from_arrays(
             [
@@ -316,8 +317,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     lists = lists.withColumn("many", F.count("*").over(together)).filter(heavy | (F.col("many") > 1))
     lists = keep(lists.select("kind", "token", "sid", "n", "pos", "light").dropDuplicates(["kind", "token", "sid"]), "lists")
 
-    members = _sets(texts.filter("id is not null"), sets.select("sid", "id"), lists.select("sid").distinct())
-    alive, known, links = lists, None, None
+    alive, known, links, members = lists, None, None, None
     slack, rows_at_first = 1 - num / den, 0
     for turn in range(ROUNDS + 1):
         lengths = alive.groupBy("kind", "token").agg(F.count("*").alias("c"), F.min(F.struct((F.col("light") / F.col("n")).alias("own"), "sid", "n")).alias("centre")).filter("c > 1")
@@ -326,6 +326,9 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         rows_at_first = rows_at_first or total
         if not total or turn == ROUNDS or pairs <= PAIRS_PER_ROW * rows_at_first and turn:
             break
+        if members is None:
+            listed = lists.join(lengths.select("kind", "token"), ["kind", "token"], "left_semi").select("sid").distinct()
+            members = _sets(texts.filter("id is not null"), sets.select("sid", "id"), listed)
         seat = lengths.select("kind", "token", F.col("centre.sid").alias("y"), F.col("centre.n").alias("b"))
         alive = alive.join(seat, ["kind", "token"]).filter("sid <> y")
         met = alive.filter(F.least("n", "b") * 2 >= F.greatest("n", "b")).select(F.col("sid").alias("x"), "y")

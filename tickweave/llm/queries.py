@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from . import chat as _chat
 from . import decontaminate as _decontaminate
 from . import langid as _langid
 from . import mixing as _mixing
 from . import ngram_join as _ngram
 from . import quality as _quality
+from . import topk as _topk
 from .common import held_out
 
 
@@ -31,6 +33,18 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return _topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -1, whose texts hold control strings of a template."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return _chat.read_chats(_chat.format_chats(rows.unionByName(extra)))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = _mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "epoch", F.round("place", 9).alias("place"), F.round("repeat_rate", 9).alias("repeat_rate"))
@@ -45,7 +59,31 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_ngram_join": op2_ngram_join,
     "op4_decontaminate": op4_decontaminate,
+    "op6_top_k": op6_top_k,
     "op7_mixing": op7_mixing,
+    "op8_chat": op8_chat,
     "op10_language": op10_language,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+                   FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(v.e AS DOUBLE[])) AS BIGINT) AS score
+              FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s QUALIFY rank <= 5
+    """,
+    "op8_chat": """
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')))
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length(regexp_replace(text, '([\\\\]|</?s>|\\[/?(SYS|INST|ANS|ROLE|TEXT)\\])', '.\\1', 'g'))
+                   + CASE role WHEN 'system' THEN 16 WHEN 'user' THEN 18 WHEN 'assistant' THEN 20 ELSE 26 + length(role) END) AS BIGINT) AS formatted_chars
+        FROM c GROUP BY conv_id
+    """,
+}
