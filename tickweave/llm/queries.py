@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from . import chat as _chat
 from . import decontaminate as _decontaminate
 from . import langid as _langid
+from . import licenses as _licenses
 from . import mixing as _mixing
 from . import ngram_join as _ngram
 from . import quality as _quality
 from . import topk as _topk
-from .common import held_out
+from . import warc as _warc
+from .common import held_out, shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +35,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _licenses.licenses(_table(spark, sf_dir, "documents"))
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return _topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
@@ -50,6 +56,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "epoch", F.round("place", 9).alias("place"), F.round("repeat_rate", 9).alias("repeat_rate"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "warc")
+    _warc.write_warc(_table(spark, sf_dir, "pages"), folder)
+    return _warc.read_warc(spark, folder).drop("url")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _langid.language(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
@@ -59,9 +71,11 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_ngram_join": op2_ngram_join,
     "op4_decontaminate": op4_decontaminate,
+    "op5_licenses": op5_licenses,
     "op6_top_k": op6_top_k,
     "op7_mixing": op7_mixing,
     "op8_chat": op8_chat,
+    "op9_warc": op9_warc,
     "op10_language": op10_language,
 }
 ORACLES: dict[str, str] = {
@@ -86,4 +100,13 @@ ORACLES: dict[str, str] = {
                    + CASE role WHEN 'system' THEN 16 WHEN 'user' THEN 18 WHEN 'assistant' THEN 20 ELSE 26 + length(role) END) AS BIGINT) AS formatted_chars
         FROM c GROUP BY conv_id
     """,
+    "op9_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+        r AS (SELECT *, max(page_id) OVER (PARTITION BY h, n) AS top FROM d)
+        SELECT page_id, n AS payload_bytes, h AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
+        FROM r
+    """,
 }
