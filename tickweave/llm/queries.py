@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import chat as _chat
 from . import decontaminate as _decontaminate
+from . import html_text as _html
 from . import langid as _langid
 from . import licenses as _licenses
 from . import mixing as _mixing
@@ -31,6 +32,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ngram.ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -70,6 +75,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_ngram_join": op2_ngram_join,
+    "op3_html_text": op3_html_text,
     "op4_decontaminate": op4_decontaminate,
     "op5_licenses": op5_licenses,
     "op6_top_k": op6_top_k,
