@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ()
+MODULES = ("market", "market_more")
 
 
 def _merged(name: str) -> dict:
