@@ -15,7 +15,10 @@ SPACE_CHARS = "\x20\x09-\x0d"
 #: Words are the longest runs of anything else.
 WORD_PATTERN = f"[^{SPACE_CHARS}]+"
 #: Text is hashed in pieces of about so many bytes, which bounds the memory of one task.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
+
+#: Rows of an Arrow batch while a table is written: whole texts and sets are long.
+BATCH_ROWS = 1000
 
 _fallback: dict[str, str] = {}
 
@@ -33,8 +36,13 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write a table into the shared folder and read it again: cuts the lineage and survives lost executors."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
+    path, conf, key = shared_path(df.sparkSession, label), df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -35,7 +35,7 @@ from .common import hasher, keep, mix64, raw_texts, shingles, small
 
 #: A task counts common shingles over so many at a time, and names those that it meets in so many sets. Prefixes are
 #: mostly made of the hashes below FRONT, so there fewer are enough.
-CHUNK_SHINGLES, COMMON_IN_CHUNK, COMMON_IN_FRONT, FRONT = 2_000_000, 4, 2, np.uint64(2**64 * 2 // 5)
+CHUNK_SHINGLES, COMMON_IN_CHUNK, COMMON_IN_FRONT, FRONT = 1_000_000, 4, 2, np.uint64(2**64 * 2 // 5)
 #: So many of the commonest shingles are known to every task (8 bytes each); others are ordered by hash alone.
 MOST_COMMON = 1_000_000
 #: Subsets are never considered for sets above this size.
