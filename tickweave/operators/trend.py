@@ -42,27 +42,37 @@ def baseline(df: DataFrame, *, change: str = "pct_chg", rsi: str = "rsi", volume
     weak = F.when(s <= -2, down + F.col("add") * 0.5).otherwise(down)
     total = F.greatest(strong + weak, F.lit(0.95))
     out = out.withColumn("prob_up", strong / total * 0.95).withColumn("prob_down", weak / total * 0.95).withColumn("prob_flat", 1 - F.col("prob_up") - F.col("prob_down"))
-    return out.withColumn("expected_move", F.col("prob_up") * F.col("rise") + F.col("prob_down") * F.col("fall")).drop("add", "rise", "fall")
+    out = out.withColumn("expected_move", F.col("prob_up") * F.col("rise") + F.col("prob_down") * F.col("fall")).drop("add", "rise", "fall")
+    return out.withColumn("probs", F.struct(F.col("prob_up").alias("up"), F.col("prob_down").alias("down"), F.col("prob_flat").alias("flat"))).drop("prob_up", "prob_down", "prob_flat")
 
 
 def adjust(df: DataFrame, factor: str, score: str) -> DataFrame:
-    """Move probabilities by a factor's score: d = k * score / scale * weight of the horizon; nothing inside the dead band.
+    """Move the struct ``probs`` by a factor's score: d = k * score / scale * weight of the horizon; nothing inside the dead band.
 
     Up and down are clipped to .05 and .9 and scaled to a sum of .95 at most; flat is the rest, at least .05, and then
-    all three are brought to a sum of 1. A null score changes nothing.
+    all three are brought to a sum of 1. A null score changes nothing. The steps are lambdas over one struct, so a
+    chain of adjustments grows by one expression each.
     """
     k, scale, weights, band = FACTORS[factor]
     w = F.element_at(F.array(*map(F.lit, weights)), F.col("horizon_no") + 1)
     s = F.coalesce(F.col(score).cast("double"), F.lit(0.0))
-    still = (s == 0) | (F.abs(s) < band)
-    d = k * s / scale * w
-    up, down = clip(F.col("prob_up") + d, 0.05, 0.9), clip(F.col("prob_down") - d, 0.05, 0.9)
-    over = F.greatest(up + down, F.lit(0.95)) / 0.95
-    up, down = up / over, down / over
-    flat = F.greatest(1 - up - down, F.lit(0.05))
-    total = up + down + flat
-    made = {"prob_up": up / total, "prob_down": down / total, "prob_flat": flat / total}
-    return df.withColumns({c: F.when(still, F.col(c)).otherwise(v) for c, v in made.items()})
+    still, d = (s == 0) | (F.abs(s) < band), k * s / scale * w
+    three = lambda up, down, flat: F.struct(up.alias("up"), down.alias("down"), flat.alias("flat"))
+    steps = (
+        lambda p: three(clip(p["up"] + d, 0.05, 0.9), clip(p["down"] - d, 0.05, 0.9), p["flat"]),
+        lambda p: three(p["up"] / (F.greatest(p["up"] + p["down"], F.lit(0.95)) / 0.95), p["down"] / (F.greatest(p["up"] + p["down"], F.lit(0.95)) / 0.95), p["flat"]),
+        lambda p: three(p["up"], p["down"], F.greatest(1 - p["up"] - p["down"], F.lit(0.05))),
+        lambda p: three(*(p[x] / (p["up"] + p["down"] + p["flat"]) for x in ("up", "down", "flat"))),
+    )
+    moved = F.array("probs")
+    for step in steps:
+        moved = F.transform(moved, step)
+    return df.withColumn("probs", F.when(still, F.col("probs")).otherwise(moved[0]))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The struct ``probs`` as columns prob_up, prob_down and prob_flat."""
+    return df.withColumns({f"prob_{x}": F.col(f"probs.{x}") for x in ("up", "down", "flat")}).drop("probs")
 
 
 def fundamental_score(pe: Column, pb: Column, growth: Column) -> Column:

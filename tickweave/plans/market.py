@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codes
-from ..operators import bars, billboard, breadth, coverage, flows, indicators, orderflow, prices, quality, risk, sequences, signals, text, trend, universe, windows
+
+from ..operators import bars, billboard, indicators, orderflow, prices, sequences, windows
 from ..sources import contracts as c
-from ..sources import scans, sinks
-from ..streaming import streams
-from .sql import BARS, BUCKETS, CALENDAR, FACTORS, FLOWS, MINUTES, NEWS, QUOTES, RECORDS, TICKS, code, day, r6, ts
+from ..sources import scans
+
+from .sql import BARS, BUCKETS, FACTORS, FLOWS, MINUTES, QUOTES, RECORDS, code, day, r6, ts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,7 +25,7 @@ def plain(df: DataFrame) -> DataFrame:
         kind, col = f.dataType.typeName(), F.col(f"`{f.name}`")
         if kind == "date":
             col = col.cast("string")
-        elif kind == "timestamp":
+        elif kind in ("timestamp", "timestamp_ntz"):
             col = F.date_format(col, "yyyy-MM-dd HH:mm:ss")
         elif kind in ("double", "float"):
             col = F.round(col.cast("double"), 6) + 0.0
