@@ -57,7 +57,7 @@ def adjust(df: DataFrame, factor: str, score: str) -> DataFrame:
     w = F.element_at(F.array(*map(F.lit, weights)), F.col("horizon_no") + 1)
     s = F.coalesce(F.col(score).cast("double"), F.lit(0.0))
     still, d = (s == 0) | (F.abs(s) < band), k * s / scale * w
-    three = lambda up, down, flat: F.struct(up.alias("up"), down.alias("down"), flat.alias("flat"))
+    three = lambda up, down, flat: F.named_struct(F.lit("up"), up, F.lit("down"), down, F.lit("flat"), flat)
     steps = (
         lambda p: three(clip(p["up"] + d, 0.05, 0.9), clip(p["down"] - d, 0.05, 0.9), p["flat"]),
         lambda p: three(p["up"] / (F.greatest(p["up"] + p["down"], F.lit(0.95)) / 0.95), p["down"] / (F.greatest(p["up"] + p["down"], F.lit(0.95)) / 0.95), p["flat"]),

@@ -114,7 +114,8 @@ def screening_rows(df: DataFrame, *, response: str) -> DataFrame:
     head = "struct<key:string,title:string,unit:string,hidden:boolean>"
     shape = f"struct<columns:array<struct<key:string,title:string,unit:string,hidden:boolean,children:array<{head}>>>,rows:array<map<string,string>>>"
     r = df.select(F.from_json(response, shape).alias("r"))
-    plain = lambda h: F.struct(h["key"].alias("key"), F.concat(h["title"], F.when(h["unit"] != "", F.concat(F.lit("("), h["unit"], F.lit(")"))).otherwise("")).alias("title"), F.coalesce(h["hidden"], F.lit(False)).alias("hidden"))
+    unit = lambda h: F.when(h["unit"] != "", F.concat(F.lit("("), h["unit"], F.lit(")"))).otherwise("")
+    plain = lambda h: F.named_struct(F.lit("key"), h["key"], F.lit("title"), F.concat(h["title"], unit(h)), F.lit("hidden"), F.coalesce(h["hidden"], F.lit(False)))
     heads = F.flatten(F.transform("r.columns", lambda h: F.when(F.size(h["children"]) > 0, F.transform(h["children"], plain)).otherwise(F.array(plain(h)))))
     heads = F.filter(heads, lambda h: ~h["hidden"])
     rows = r.select(heads.alias("heads"), F.posexplode("r.rows").alias("n", "row")).withColumn("code", F.col("row")["code"]).filter("code is not null")
