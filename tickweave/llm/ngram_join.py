@@ -27,11 +27,11 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from .common import hasher, keep, mix64, raw_texts, shingles, small
+from .common import hasher, keep, mix64, raw_texts, shingles, small, stream64
 
 #: A task counts common shingles over so many at a time, and names those that it meets in so many sets. Prefixes are
 #: mostly made of the hashes below FRONT, so there fewer are enough.
@@ -56,6 +56,9 @@ def least_overlap(a, b, num: int, den: int):
     return -((-num * (a + b)) // (num + den))
 
 
+_SALTS = stream64(SALTS, 3)
+
+
 def _digest(members: np.ndarray) -> bytes:
     return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
 
@@ -152,7 +155,8 @@ def _entries(common, limit: int, num: int, den: int):
                     if len(heavy):
                         heavy = heavy[np.argsort(rank[at[hit]], kind="stable")]
                     p = n - -(-num * n // den) + 1
-                    rows.append((0, d, n, min(p, len(light)), np.concatenate([light, heavy])[:p]))
+                    salted = heavy ^ _SALTS[d[0] % SALTS]
+                    rows.append((0, d, n, min(p, len(light)), np.concatenate([light, salted])[:p]))
             if rows:
                 kinds, ds, ns, lights, arrays = zip(*rows, strict=True)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
@@ -165,6 +169,30 @@ def _entries(common, limit: int, num: int, den: int):
     return run
 
 
+#: Places in a prefix are kept up to this one; later ones count as it, which only loosens the test that reads them.
+LAST_PLACE = (1 << 22) - 1
+
+
+def _packed() -> Column:
+    """Size, place, the share of light shingles in the prefix (in 127ths of the size), heavy and kind, in one number."""
+    own, heavy = F.floor(F.col("light") * 127 / F.col("n")).cast("long"), (F.col("pos") >= F.col("light")).cast("long")
+    place = F.least(F.col("pos"), F.lit(LAST_PLACE)).cast("long")
+    return F.shiftleft(F.col("n").cast("long"), 31).bitwiseOR(F.shiftleft(place, 9)).bitwiseOR(F.shiftleft(own, 2)).bitwiseOR(F.shiftleft(heavy, 1)).bitwiseOR(F.col("kind").cast("long"))
+
+
+def _heavy() -> Column:
+    return F.col("about").bitwiseAND(F.lit(2)) > 0
+
+
+def _unpacked() -> list[Column]:
+    """kind, token, sid, n, pos, own of a packed entry; a salted token gets its own value back."""
+    bits = lambda by, mask: F.shiftright("about", by).bitwiseAND(F.lit(mask)).cast("int")
+    salts = F.array(*(F.lit(int(x)) for x in _SALTS.view(np.int64)))
+    salt = F.element_at(salts, F.pmod(F.conv(F.hex(F.substring("sid", 1, 1)), 16, 10).cast("int"), F.lit(SALTS)) + 1)
+    token = F.when(_heavy(), F.col("key").bitwiseXOR(salt)).otherwise(F.col("key"))
+    return [bits(0, 1).alias("kind"), token.alias("token"), "sid", F.shiftright("about", 31).cast("int").alias("n"), bits(9, LAST_PLACE).alias("pos"), bits(2, 127).alias("own")]
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (digest, sorted members cut to MEMBER_BYTES each)."""
     seen: set[bytes] = set()
@@ -308,19 +336,15 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     # Which lists hold more than one set? Common shingles' lists are long, so they are salted and taken as shared.
     lists = texts.filter("id is not null").select("text").mapInArrow(_entries(shared, limit, num, den), "kind int, sid binary, n int, light int, tokens array<long>")
-    lists = lists.select("kind", "sid", "n", "light", F.posexplode("tokens").alias("pos", "token"))
-    heavy = F.col("pos") >= F.col("light")
-    lists = lists.withColumn("salt", F.when(heavy, F.pmod(F.xxhash64("sid"), F.lit(SALTS))).otherwise(0))
-    from pyspark.sql import Window
-
-    together = Window.partitionBy("token", "kind", "salt")
-    lists = lists.withColumn("many", F.count("*").over(together)).filter(heavy | (F.col("many") > 1))
-    lists = keep(lists.select("kind", "token", "sid", "n", "pos", "light").dropDuplicates(["kind", "token", "sid"]), "lists")
+    lists = lists.select("kind", "sid", "n", "light", F.posexplode("tokens").alias("pos", "key")).select("key", "sid", _packed().alias("about"))
+    together = Window.partitionBy("key")
+    lists = lists.withColumn("many", F.count("*").over(together)).filter(_heavy() | (F.col("many") > 1))
+    lists = keep(lists.groupBy("key", "sid").agg(F.min("about").alias("about")), "lists").select(*_unpacked())
 
     alive, known, links, members = lists, None, None, None
     slack, rows_at_first = 1 - num / den, 0
     for turn in range(ROUNDS + 1):
-        lengths = alive.groupBy("kind", "token").agg(F.count("*").alias("c"), F.min(F.struct((F.col("light") / F.col("n")).alias("own"), "sid", "n")).alias("centre")).filter("c > 1")
+        lengths = alive.groupBy("kind", "token").agg(F.count("*").alias("c"), F.min(F.struct("own", "sid", "n")).alias("centre")).filter("c > 1")
         lengths = keep(lengths, "lists-lengths")
         total, pairs = lengths.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.expr("c * (c - 1) / 2")), F.lit(0))).first()
         rows_at_first = rows_at_first or total
@@ -335,7 +359,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         found = _overlaps(met, members)
         known = found if known is None else known.unionByName(found)
         near = found.filter(_linked(num, den)).select(F.col("x").alias("sid"), "y")
-        alive = keep(alive.join(near, ["sid", "y"], "left_anti").select("kind", "token", "sid", "n", "pos", "light"), "alive")
+        alive = keep(alive.join(near, ["sid", "y"], "left_anti").select("kind", "token", "sid", "n", "pos", "own"), "alive")
     if total:
         # Short lists: a pair counts from the first shingle that both have, if enough can follow it.
         alive = keep(alive.join(lengths.select("kind", "token"), ["kind", "token"], "left_semi"), "alive")
