@@ -1,11 +1,11 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact containment verifies them.
 
-A text's word shingles are cut into windows of WINDOW positions that overlap by half, so that a notice of up to half a
-window lies whole in one of them. The least hashes of a window under HASHES functions are compared with those of the
-templates (cut the same way), band by band. A template of s shingles has a Jaccard index of at least s / WINDOW with
-the window that holds it, and bands of one row find it with a chance of 1 - (1 - s / WINDOW) ** HASHES; for templates
-of four shingles and more that is above 1 - 1e-7. A window that meets a template in any band is verified: the share of
-the template's shingles that the window and its neighbour hold.
+Templates are put into classes by their number of shingles, from a power of two up to the next. A class has windows of
+four times its least size, which overlap by half, so that a notice lies whole in one of them and its Jaccard index with
+that window is at least a quarter. The least values of a window under HASHES functions are compared with those of the
+class's templates, a band for each function: a notice is met with a chance of 1 - (3/4) ** HASHES, which is above
+1 - 1e-5. A window that meets a template in any band is verified: the exact share of the template's shingles that it
+holds.
 
 Templates are notices, a few kilobytes that travel with the task.
 """
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,10 +38,13 @@ NOTICES = {
 }
 #: Words of a shingle at most; shorter templates take as many words as they have.
 SHINGLE = 5
-WINDOW, HASHES = 16, 64
+HASHES = 48
 #: Share of a template's shingles that a place must hold.
 CONTAINMENT = 0.75
-_SEEDS = stream64(HASHES, 1234)
+#: The hash functions: odd factors and summands over hashes that are well spread already.
+_FACTORS, _SUMMANDS = (stream64(HASHES, 1234) | np.uint64(1))[:, None], stream64(HASHES, 77)[:, None]
+#: Shingles that are hashed at a time.
+PIECE = 1 << 14
 
 
 def _runs(words: np.ndarray, k: int) -> np.ndarray:
@@ -69,41 +72,25 @@ class Scanner:
     def __init__(self, notices: dict[str, str], containment: float = CONTAINMENT) -> None:
         self.names = sorted(notices)
         self.containment = containment
-        self.by_length: dict[int, list[tuple[int, np.ndarray, int]]] = {}
+        self.classes: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
         for i, name in enumerate(self.names):
             words = hasher().words(_bare(notices[name].encode()))
             if len(words):
                 k = min(SHINGLE, len(words))
-                self.by_length.setdefault(k, []).append((i, np.unique(_runs(words, k)), len(words)))
-        self.bands = {k: self._bands(found) for k, found in self.by_length.items()}
-
-    @staticmethod
-    def _bands(found: list[tuple[int, np.ndarray, int]]) -> list[np.ndarray]:
-        """For each hash function the sorted least values of the templates' windows."""
-        out = []
-        for seed in _SEEDS:
-            least = set()
-            for _, members, _ in found:
-                h = mix64(members ^ seed)
-                least.add(int(h.min()))
-            out.append(np.array(sorted(least), np.uint64))
-        return out
+                members = np.unique(_runs(words, k))
+                self.classes.setdefault((k, 1 << (len(members).bit_length() - 1)), []).append((i, members))
+        self.bands = {c: np.stack([_least(m) for _, m in found], axis=1) for c, found in self.classes.items()}
 
     def __call__(self, text: str | None) -> list[tuple[str, float, int]]:
         """(license, containment, first word) of each template's best place in the text; the first of equals."""
         words = hasher().words(_bare((text or "").encode("utf-8", "replace")))
         out: dict[int, tuple[float, int]] = {}
-        for k, templates in self.by_length.items():
-            runs = _runs(words, k)
-            if not len(runs):
-                continue
-            half = max(WINDOW, *(len(m) for _, m, _ in templates)) // 2
-            # Only what a template also holds can be a template's least hash.
-            candidate = self._candidates(runs, k, half)
-            for w in candidate:
-                a, b = w * half, min(len(runs), (w + 2) * half)
-                place = runs[a:b]
-                for i, members, _ in templates:
+        runs_of: dict[int, np.ndarray] = {}
+        for (k, size), templates in self.classes.items():
+            runs = runs_of[k] = runs_of[k] if k in runs_of else _runs(words, k)
+            for a in self._candidates(runs, size, self.bands[k, size]):
+                place = runs[a : a + 4 * size]
+                for i, members in templates:
                     share = float(np.isin(members, place).sum()) / len(members)
                     if share >= self.containment:
                         at = a + int(np.flatnonzero(np.isin(place, members))[0])
@@ -111,17 +98,23 @@ class Scanner:
                             out[i] = (share, at)
         return [(self.names[i], share, at) for i, (share, at) in sorted(out.items())]
 
-    def _candidates(self, runs: np.ndarray, k: int, half: int) -> np.ndarray:
-        """Windows whose least hash equals a template's, in any band."""
-        n = len(runs)
-        starts = np.arange(0, n, half)
-        hit = np.zeros(len(starts), bool)
-        for seed, known in zip(_SEEDS, self.bands[k], strict=True):
-            h = mix64(runs ^ seed)
-            least = np.minimum.reduceat(h, starts)
-            least[:-1] = np.minimum(least[:-1], least[1:])  # a window is two halves
-            hit |= np.isin(least, known)
-        return np.flatnonzero(hit)
+    @staticmethod
+    def _candidates(runs: np.ndarray, size: int, bands: np.ndarray) -> list[int]:
+        """Starts of windows whose least value equals a template's, in any band. A window is two halves of 2 * size."""
+        half, found = 2 * size, []
+        step = max(half, PIECE // half * half)
+        for at in range(0, len(runs), step):
+            part = runs[at : at + step + half]
+            least = np.minimum.reduceat(part[None, :] * _FACTORS + _SUMMANDS, np.arange(0, len(part), half), axis=1)
+            if least.shape[1] > 1:
+                least[:, :-1] = np.minimum(least[:, :-1], least[:, 1:])
+            hit = (least[:, :, None] == bands[:, None, :]).any(axis=(0, 2))
+            found += [at + int(w) * half for w in np.flatnonzero(hit) if w * half < step]
+        return found
+
+
+def _least(members: np.ndarray) -> np.ndarray:
+    return (members[None, :] * _FACTORS + _SUMMANDS).min(axis=1)
 
 
 def scan(spark, notices: dict[str, str] | None = None, containment: float = CONTAINMENT):
@@ -149,7 +142,3 @@ def licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     find = scan(docs.sparkSession, notices, containment)
     found = docs.select(F.col(id_col), find(F.col(text_col)).alias("found")).filter(F.size("found") > 0)
     return found.select(id_col, F.explode("found").alias("m")).select(id_col, F.col("m.license").alias("license"), F.col("m.containment").alias("containment"), F.col("m.first_word").alias("first_word"))
-
-
-def column_of(found: str) -> Column:
-    return F.transform(F.col(found), lambda m: m.getField("license"))

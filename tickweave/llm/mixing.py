@@ -105,8 +105,9 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     blocks = keep(blocks, "mix-blocks")
 
     rows = base.withColumn("__s", src).withColumn("__h", dealt)
-    rows = rows.join(small(totals.join(plan.select("__s", "blocks"), "__s").select("__s", "blocks"), BROADCAST_ROWS), "__s").withColumn("block", F.pmod(F.pmod("__h", F.lit(BLOCKS)), F.col("blocks"))).drop("blocks")
-    rows = rows.withColumnRenamed("block", "__b").join(small(blocks.withColumnRenamed("block", "__b").withColumnsRenamed({c: f"__{c}" for c in ("n", "full", "rest", "blocks", "before", "part")}), BROADCAST_ROWS), ["__s", "__b"])
+    rows = rows.join(small(plan.select("__s", F.col("blocks").alias("__k")), BROADCAST_ROWS), "__s").withColumn("__b", F.pmod(F.pmod("__h", F.lit(BLOCKS)), F.col("__k"))).drop("__k")
+    named = blocks.select("__s", F.col("block").alias("__b"), "repeat_rate", *(F.col(c).alias(f"__{c}") for c in ("full", "rest", "before", "part")))
+    rows = rows.join(small(named, BROADCAST_ROWS), ["__s", "__b"])
     last = F.col("__full") - F.when(F.col("__part") == "all", 0).otherwise(1)
     complete = rows.filter(last >= 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), last)))
     running = Window.partitionBy("__s", "__b").orderBy("__h")
