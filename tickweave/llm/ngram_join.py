@@ -9,8 +9,9 @@ enumerating becomes dearer than scanning, from the counted sizes and list length
 Lists can be long: groups of near copies, and passages that many texts share. Shingles found to be common are put last
 in the order, so that passages rarely enter a prefix. A long list is not paired off. Its most central member is
 compared with all others first; the comparison gives exact distances, and as the Jaccard distance is a metric, the rest
-splits into *near* members (linked), a *shell* that may link with near ones, and far ones, which go to a further round.
-Shell members that are already connected need no further comparison. What remains in short lists is compared pairwise.
+splits into *near* members (linked), a *shell* that may link with near ones, and far ones; all but the near go to a
+further round. Pairs that share too few shingles of their prefixes to link, whatever stands behind them, are not
+measured. Shell members that are already connected need no further comparison. What remains in short lists is compared pairwise.
 No link between different sets is lost as far as connected groups are concerned.
 
 Shingles are 64-bit hashes; equal sets are recognised by a 128-bit digest. Rows meet in shuffles on
@@ -229,21 +230,33 @@ def _size(members: str) -> Column:
 
 def _sets(texts: DataFrame, ids: DataFrame, wanted: DataFrame) -> DataFrame:
     """The members of wanted sets, each computed again from one text that has it."""
-    chosen = keep(ids.join(wanted, "sid", "left_semi").select("id"), "set-ids")
+    chosen = keep(ids.join(small(wanted, BROADCAST_ROWS), "sid", "left_semi").select("id"), "set-ids")
     sets = texts.join(small(chosen, BROADCAST_ROWS), "id", "left_semi").select("text")
     sets = keep(sets.mapInArrow(_members, "sid binary, members binary"), "sets")
     n, k = sets.agg(F.count("*"), F.countDistinct("sid")).first()
     return sets if n == k else keep(sets.groupBy("sid").agg(F.min("members").alias("members")), "sets")
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """x, y, their sizes a and b and the count o of common members, for each different pair of sets."""
-    pairs = keep(pairs.select("x", "y").distinct(), "pairs")
+def _overlaps(pairs: DataFrame, texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """x, y, their sizes a and b and the count o of common members, for each of some kept pairs of sets."""
+    sides = keep(pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct(), "pair-sides")
+    sets = _sets(texts, ids, sides)
     left = sets.toDF("x", "mx").join(small(pairs, BROADCAST_ROWS), "x")
-    right = sets.toDF("y", "my").join(small(pairs.select("y").distinct(), BROADCAST_ROWS), "y", "left_semi")
+    right = sets.toDF("y", "my").join(small(keep(pairs.select("y").distinct(), "pair-centres"), BROADCAST_ROWS), "y", "left_semi")
     return keep(left.join(right, "y").select("x", "y", _size("mx").alias("a"), _size("my").alias("b"), _common_count("mx", "my").alias("o")), "overlaps")
 
 
+def _may_link(nx: Column, cx: Column, ny: Column, cy: Column, num: int, den: int) -> Column:
+    """Whether two sets can link, from sizes n and the numbers c of their prefix shingles that any other set shares.
+
+    Of the set whose prefix ends first in the order, whatever the two have in common is in both prefixes or behind that
+    prefix; so the overlap is at most the smaller c and what stands behind the prefix of the one or the other.
+    """
+    behind = lambda n: F.ceil(n * num / F.lit(float(den)) - 1e-9).cast("int") - 1
+    fits = F.least(nx, ny) * den >= F.greatest(nx, ny) * num
+    return fits & (F.least(cx, cy) + F.greatest(behind(nx), behind(ny)) >= least_overlap_column(nx, ny, num, den))
+
+
 def _links_between(num: int, den: int):
     """Per group, the links of members on one side with members on the other, by products of 0/1 matrices."""
 
@@ -269,7 +282,6 @@ def _links_between(num: int, den: int):
 
 def _shell_links(shell: DataFrame, ball: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links between the shell (y, sid) and the ball (y, sid) of each centre y, in blocks of BLOCK_SETS on either side."""
-    ball = ball.join(shell.select("y").distinct(), "y", "left_semi")
     blocks = lambda df, name: df.groupBy("y").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias(name))
     split = keep(blocks(shell, "s").join(blocks(ball, "b"), "y"), "blocks")
     place = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
@@ -341,7 +353,19 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     lists = lists.withColumn("many", F.count("*").over(together)).filter(_heavy() | (F.col("many") > 1))
     lists = keep(lists.groupBy("key", "sid").agg(F.min("about").alias("about")), "lists").select(*_unpacked())
 
-    alive, known, links, members = lists, None, None, None
+    # Per set, how many shingles of its prefix other sets share. Sets that name subsets are not told apart by it.
+    shared_of = lists.groupBy("sid").agg(F.first("n").alias("n"), F.when(F.max("kind") == 1, F.first("n")).otherwise(F.count("*")).cast("int").alias("c"))
+    shared_of = keep(shared_of, "shared-counts")
+    side = lambda x, n, c: shared_of.select(F.col("sid").alias(x), F.col("n").alias(n), F.col("c").alias(c))
+    ids, known_texts = sets.select("sid", "id"), texts.filter("id is not null")
+
+    def measured(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Overlaps of the pairs that may link, and the others with their sizes and counts."""
+        both = pairs.select("x", "y").distinct().join(side("x", "nx", "cx"), "x").join(side("y", "ny", "cy"), "y")
+        both = keep(both.withColumn("may", _may_link(F.col("nx"), F.col("cx"), F.col("ny"), F.col("cy"), num, den)), "pairs")
+        return _overlaps(keep(both.filter("may").select("x", "y"), "pairs"), known_texts, ids), both.filter(~F.col("may")).drop("may")
+
+    alive, known, others, links = lists, None, None, None
     slack, rows_at_first = 1 - num / den, 0
     for turn in range(ROUNDS + 1):
         lengths = alive.groupBy("kind", "token").agg(F.count("*").alias("c"), F.min(F.struct("own", "sid", "n")).alias("centre")).filter("c > 1")
@@ -350,14 +374,11 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         rows_at_first = rows_at_first or total
         if not total or turn == ROUNDS or pairs <= PAIRS_PER_ROW * rows_at_first and turn:
             break
-        if members is None:
-            listed = lists.join(lengths.select("kind", "token"), ["kind", "token"], "left_semi").select("sid").distinct()
-            members = _sets(texts.filter("id is not null"), sets.select("sid", "id"), listed)
-        seat = lengths.select("kind", "token", F.col("centre.sid").alias("y"), F.col("centre.n").alias("b"))
+        seat = lengths.select("kind", "token", F.col("centre.sid").alias("y"))
         alive = alive.join(seat, ["kind", "token"]).filter("sid <> y")
-        met = alive.filter(F.least("n", "b") * 2 >= F.greatest("n", "b")).select(F.col("sid").alias("x"), "y")
-        found = _overlaps(met, members)
+        found, apart = measured(alive.select(F.col("sid").alias("x"), "y"))
         known = found if known is None else known.unionByName(found)
+        others = apart if others is None else others.unionByName(apart)
         near = found.filter(_linked(num, den)).select(F.col("x").alias("sid"), "y")
         alive = keep(alive.join(near, ["sid", "y"], "left_anti").select("kind", "token", "sid", "n", "pos", "own"), "alive")
     if total:
@@ -370,19 +391,30 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         follow = 1 + F.least(F.col("n_x") - F.col("pos_x") - 1, F.col("n_y") - F.col("pos_y") - 1) >= least
         fits = ordered & (F.col("n_x") * den >= F.col("n_y") * num) & ((F.col("kind") == 1) | follow)
         pairs_left = a.join(b, ["kind", "token"]).filter(fits).select(F.col("sid_x").alias("x"), F.col("sid_y").alias("y"))
-        links = _overlaps(pairs_left, members).filter(_linked(num, den)).select("x", "y")
+        links = measured(pairs_left)[0].filter(_linked(num, den)).select("x", "y")
     if known is not None:
         near = known.filter(_linked(num, den)).select("x", "y")
         links = near if links is None else links.union(near)
         group = components(links)
-        # The shell: within twice the distance of a centre, but not in its group. Only near members can link with it.
+        # The shell: sets outside a centre's group that may yet link with near members of it. Those at a measured
+        # distance of up to twice the slack, and those not measured that sizes and counts of near members allow.
         of = lambda side: group.withColumnRenamed("node", side).withColumnRenamed("root", f"of_{side}")
-        shell = known.filter(~_linked(num, den) & (_jaccard_distance() <= 2 * slack + 1e-9)).select("x", "y")
+        ball = near.join(side("x", "nz", "cz"), "x").groupBy("y").agg(F.min("nz").alias("n0"), F.max("nz").alias("n1"), F.max("cz").alias("cz"))
+        close = known.filter(~_linked(num, den) & (_jaccard_distance() <= 2 * slack + 1e-9)).select("x", "y")
+        open_ = others.join(ball, "y")
+        n0 = F.greatest("n0", F.ceil(F.col("nx") * num / F.lit(float(den)) - 1e-9)).cast("int")
+        n1 = F.least("n1", F.floor(F.col("nx") * den / F.lit(float(num)) + 1e-9)).cast("int")
+        behind = F.greatest(F.col("nx"), n1) * num / F.lit(float(den))
+        may = (n0 <= n1) & (F.least("cx", "cz") + behind >= least_overlap_column(F.col("nx"), n0, num, den))
+        shell = close.union(open_.filter(may).select("x", "y")).distinct()
         shell = shell.join(of("x"), "x", "left").join(of("y"), "y", "left")
         shell = keep(shell.filter(F.coalesce("of_x", "x") != F.coalesce("of_y", "y")).select("y", F.col("x").alias("sid")), "shell")
-        more = keep(_shell_links(shell, near.select("y", F.col("x").alias("sid")), members, num, den), "shell-links")
-        if not more.isEmpty():
-            group = components(links.union(more))
+        if not shell.isEmpty():
+            at_ball = keep(near.join(shell.select("y").distinct(), "y", "left_semi").select("y", F.col("x").alias("sid")), "ball")
+            members = _sets(known_texts, ids, keep(shell.select("sid").union(at_ball.select("sid")).distinct(), "shell-sides"))
+            more = keep(_shell_links(shell, at_ball, members, num, den), "shell-links")
+            if not more.isEmpty():
+                group = components(links.union(more))
         least = group.join(sets.select(F.col("sid").alias("node"), "id"), "node").groupBy("root").agg(F.min("id").alias("least"))
         group = group.join(least, "root").select(F.col("node").alias("sid"), "least")
         of_set = sets.join(group, "sid", "left").select("sid", F.coalesce("least", "id").alias("component"))
