@@ -56,24 +56,43 @@ def quality_score(sum_points: Column) -> Column:
     return F.least(sum_points, F.lit(30.0))
 
 
+#: Points of the scores, as (value, score) between which a score is a straight line.
+INFLOW_POINTS = [(0, 0), (1000, 10), (5000, 18), (10000, 22), (20000, 25)]
+PRESSURE_POINTS = [(0.1, 20), (0.3, 15), (0.5, 10), (0.8, 5), (1.0, 0)]
+#: Bonus by number of records, and by buys against sells.
+SEAT_BONUS = {1: 3.0, 2: 2.5, 3: 2.0, 4: 1.5, 5: 1.5}
+RATIO_BONUS = [(10, 2.0), (5, 1.5), (3, 1.0)]
+#: Words of concepts in fashion.
+HOT_WORDS = "人工智能 AI ChatGPT 算力 新能源 芯片 半导体 军工 医药 消费 5G 新材料 量子 光伏 储能 锂电池 汽车 游戏 传媒 元宇宙".split()
+INSTITUTION_WORDS = "机构专用 机构 基金 保险 社保 QFII RQFII 券商 信托".split()
+
+
 def inflow_score(net: Column) -> Column:
-    """Net inflow, 0 to 25, linear between 0, 10, 50 and 100 million."""
-    return F.when(net <= 0, 0.0).otherwise(_line(net / WAN, [(0, 0), (1000, 10), (5000, 18), (10000, 25)]))
+    """Net inflow, 0 to 25, by millions; nothing for an outflow."""
+    return F.when(net <= 0, 0.0).otherwise(_line(net / WAN, INFLOW_POINTS))
 
 
 def pressure_score(buy: Column, sell: Column) -> Column:
     """Sell pressure, 0 to 20: the lower the share of sells against buys, the better; 0 without buys."""
-    return F.when(buy <= 0, 0.0).otherwise(_line(sell / buy, [(0, 20), (0.1, 20), (0.3, 15), (0.5, 10), (0.8, 5), (1.2, 0)]))
+    return F.when(buy <= 0, 0.0).otherwise(_line(sell / buy, PRESSURE_POINTS))
 
 
-def institution_score(buyers: Column, others: Column) -> Column:
-    """Institutions buying, 0 to 15: five a seat up to ten, five more if other seats buy too."""
-    return F.least(buyers * 5.0, F.lit(10.0)) + F.when((buyers > 0) & (others > 0), 5.0).otherwise(0.0)
+def institution_score(houses: Column, others: Column) -> Column:
+    """Buying institutions, 0 to 15: most where other seats buy too; alone 8 and two each up to 12; other seats alone 5 and one each up to 10."""
+    alone = F.when(houses > 0, F.least(8.0 + houses * 2, F.lit(12.0))).when(others > 0, F.least(5.0 + others, F.lit(10.0))).otherwise(0.0)
+    return F.when((houses > 0) & (others > 0), 15.0).otherwise(alone)
 
 
-def bonus_score(seats: Column, hot: Column, repeats: Column, buy: Column, sell: Column) -> Column:
-    """Bonus, 0 to 10: seats, hot concepts (0.3 each, 3 at most), repeated seats and buys well above sells."""
-    return F.least(F.lit(10.0), F.least(seats * 0.5, F.lit(3.0)) + F.least(hot * 0.3, F.lit(3.0)) + F.when(repeats > 0, 1.0).otherwise(0.0) + F.when(buy / (sell + 1) > 2, 3.0).when(buy / (sell + 1) > 1, 1.5).otherwise(0.0))
+def bonus_score(records: Column, hot: Column, buy: Column, sell: Column) -> Column:
+    """Bonus, 0 to 10: few seats, concepts in fashion (0.3 each, 3 at most), repeats on the board, buys well above sells."""
+    few = F.lit(1.0)
+    for n, points in SEAT_BONUS.items():
+        few = F.when(records == n, points).otherwise(few)
+    again = F.least(F.lit(2.0), records - 1.0)
+    against = F.lit(0.0)
+    for least, points in reversed(RATIO_BONUS):
+        against = F.when((buy > 0) & (buy / (sell + 1) >= least), points).otherwise(against)
+    return F.least(F.lit(10.0), few + F.least(hot * 0.3, F.lit(3.0)) + again + against)
 
 
 def stock_scores(records: DataFrame, *, tier1: list[str], tier2: list[str], institutions: list[str], hot: list[str]) -> DataFrame:
@@ -84,7 +103,7 @@ def stock_scores(records: DataFrame, *, tier1: list[str], tier2: list[str], inst
     rows = records.select("stock_code", "stock_name", "youzi_name", "buy_amount", "sell_amount", "net_inflow", points.alias("p"), (first & buying).alias("f"), (house & buying).alias("h"), (~house & buying).alias("o"), F.size(F.filter(comma_list(F.coalesce("concepts", F.lit(""))), lambda c: _holds(c, hot))).alias("c"))
     g = rows.groupBy("stock_code").agg(
         F.min("stock_name").alias("stock_name"), F.sum("p").alias("points"), F.sum("net_inflow").alias("net_inflow"), F.sum("buy_amount").alias("buy_amount"), F.sum("sell_amount").alias("sell_amount"),
-        F.countDistinct("youzi_name").alias("seats"), F.count("*").alias("records"), F.count_if("h").alias("institution_count"), F.count_if("o").alias("other_buyers"), F.count_if("f").alias("tier1_count"), F.max("c").alias("hot"),
+        F.countDistinct("youzi_name").alias("seats"), F.count("*").alias("records"), F.count_if("h").alias("institution_count"), F.count_if("o").alias("other_buyers"), F.count_if("f").alias("tier1_count"), F.sum("c").alias("hot"),
     )
     buy, sell = F.col("buy_amount").cast("double"), F.col("sell_amount").cast("double")
     g = g.withColumns(
@@ -93,7 +112,7 @@ def stock_scores(records: DataFrame, *, tier1: list[str], tier2: list[str], inst
             "inflow": inflow_score(F.col("net_inflow").cast("double")),
             "sell_pressure": pressure_score(buy, sell),
             "institutions": institution_score(F.col("institution_count"), F.col("other_buyers")),
-            "bonus": bonus_score(F.col("seats"), F.col("hot"), F.col("records") - F.col("seats"), buy, sell),
+            "bonus": bonus_score(F.col("records"), F.col("hot"), buy, sell),
         }
     )
     parts = ("capital_quality", "inflow", "sell_pressure", "institutions", "bonus")

@@ -46,7 +46,7 @@ def arbr(df: DataFrame, n: int = 26, *, symbol: str = "symbol", time: str = "t")
 
 
 def arbr_signals(df: DataFrame) -> DataFrame:
-    """-1, 0 or 1 for each row from AR (150, 70) and BR (300, 50): both must point the same way or one be silent."""
+    """-1, 0 or 1 for each row: the sign of the marks of AR (above 150, under 70) and BR (above 300, under 50) together."""
     mark = lambda c, high, low: F.when(F.col(c) > high, -1).when(F.col(c) < low, 1).otherwise(0)
     return df.withColumn("signal", F.signum(mark("ar", 150, 70) + mark("br", 300, 50)).cast("int"))
 
@@ -56,7 +56,7 @@ def arbr_summary(df: DataFrame, *, symbol: str = "symbol") -> DataFrame:
     stats = [f(c).alias(f"{c}_{name}") for c in ("ar", "br") for name, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))]
     out = df.groupBy(symbol).agg(F.count("*").alias("rows"), *(F.count_if(F.col("signal") == v).alias(k) for k, v in (("buys", 1), ("sells", -1), ("neutrals", 0))), *stats)
     out = out.withColumns({f"{k}_ratio": F.col(k).cast("double") / F.col("rows") for k in ("buys", "sells", "neutrals")})
-    return out.withColumn("label", F.when(F.col("ar_mean") > 150, "overheated").when(F.col("ar_mean") < 70, "depressed").otherwise("balanced"))
+    return out.withColumn("label", F.when(F.col("ar_mean") > 180, "extremely overbought").when(F.col("ar_mean") > 150, "overbought").when(F.col("ar_mean") < 40, "extremely oversold").when(F.col("ar_mean") < 70, "oversold").otherwise("normal"))
 
 
 def _per_symbol(df: DataFrame, columns: list[str], symbol: str, time: str, make) -> DataFrame:

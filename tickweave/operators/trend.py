@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HORIZONS = ("1d", "1w", "1m", "long")
-#: Fixed values of the baseline: what each horizon adds to the probability of the stronger side, and the expected
-#: ranges (rise, fall; the long horizon also has a flat range).
+#: Fixed values of the baseline: what each horizon adds to the score; the tops of its rising, flat and falling ranges
+#: (rising from 0, flat either way, falling to 0), in percent.
 ADD_ON = {"1d": 0.0, "1w": 0.2, "1m": 0.3, "long": 0.0}
-RANGES = {"1d": (5.0, -2.0), "1w": (10.0, -3.0), "1m": (20.0, -5.0), "long": (50.0, -40.0)}
+RANGES = {"1d": (5.0, 2.0, -5.0), "1w": (10.0, 3.0, -10.0), "1m": (20.0, 5.0, -20.0), "long": (50.0, 10.0, -40.0)}
+#: Probabilities up, flat and down of a score of at least 2, of at most -2, and between.
+BULL, BEAR, PLAIN = (0.6, 0.25, 0.15), (0.2, 0.3, 0.5), (0.4, 0.3, 0.3)
 #: Fixed values of the adjustments: k, scale, weights by horizon, dead band.
 FACTORS = {
     "fundamental": (0.10, 2.0, (0.3, 0.5, 0.8, 1.0), 0.0),
@@ -25,25 +27,22 @@ def clip(x: Column, low: float, high: float) -> Column:
 
 
 def baseline(df: DataFrame, *, change: str = "pct_chg", rsi: str = "rsi", volume_ratio: str = "volume_ratio") -> DataFrame:
-    """A score from change, RSI and volume ratio, and for each horizon probabilities up, flat, down and an expected move.
+    """A score from change, RSI and volume ratio, and a row for each horizon: its probabilities (struct ``probs``) and expected move.
 
-    Nulls score nothing. The score is 1 or -1 for a change beyond 2 %, for an RSI of 50 to 70 or under 30 or above 80,
-    and 1 for a volume ratio above 1.5 with a rise.
+    A change beyond 0.5 % counts one, beyond 3 % two, in its direction; an RSI above 70 takes half a point, one under 30
+    gives it; a volume ratio above 1.5 gives half a point, one under 0.7 takes it. Nulls, and zeros, which sources write
+    for missing values, count as no change, 50 and 1. The expected move weighs the middles of the horizon's ranges.
     """
-    c, r, v = F.col(change), F.col(rsi), F.col(volume_ratio)
-    score = F.when(c > 2, 1).when(c < -2, -1).otherwise(0) + F.when(r.between(50, 70), 1).when((r > 80) | (r < 30), -1).otherwise(0) + F.when((v > 1.5) & (c > 0), 1).when((v > 1.5) & (c < 0), -1).otherwise(0)
-    out = df.withColumn("score", score)
-    s = F.col("score")
-    rows = F.array(*(F.struct(F.lit(h).alias("horizon"), F.lit(i).alias("horizon_no"), F.lit(ADD_ON[h]).alias("add"), F.lit(RANGES[h][0]).alias("rise"), F.lit(RANGES[h][1]).alias("fall")) for i, h in enumerate(HORIZONS)))
-    out = out.withColumn("h", F.explode(rows)).select("*", "h.*").drop("h")
-    up = F.when(s >= 2, 0.6).when(s <= -2, 0.2).otherwise(0.4)
-    down = F.when(s >= 2, 0.15).when(s <= -2, 0.5).otherwise(0.3)
-    strong = F.when(s >= 2, up + F.col("add") * 0.5).otherwise(up)
-    weak = F.when(s <= -2, down + F.col("add") * 0.5).otherwise(down)
-    total = F.greatest(strong + weak, F.lit(0.95))
-    out = out.withColumn("prob_up", strong / total * 0.95).withColumn("prob_down", weak / total * 0.95).withColumn("prob_flat", 1 - F.col("prob_up") - F.col("prob_down"))
-    out = out.withColumn("expected_move", F.col("prob_up") * F.col("rise") + F.col("prob_down") * F.col("fall")).drop("add", "rise", "fall")
-    return out.withColumn("probs", F.struct(F.col("prob_up").alias("up"), F.col("prob_down").alias("down"), F.col("prob_flat").alias("flat"))).drop("prob_up", "prob_down", "prob_flat")
+    known = lambda c, instead: F.coalesce(F.nullif(F.col(c).cast("double"), F.lit(0.0)), F.lit(instead))
+    c, r, v = known(change, 0.0), known(rsi, 50.0), known(volume_ratio, 1.0)
+    steps = F.when(F.abs(c) > 3, 2.0).when(F.abs(c) > 0.5, 1.0).otherwise(0.0) * F.signum(c)
+    score = steps + F.when(r > 70, -0.5).when(r < 30, 0.5).otherwise(0.0) + F.when(v > 1.5, 0.5).when(v < 0.7, -0.5).otherwise(0.0)
+    rows = F.array(*(F.struct(F.lit(h).alias("horizon"), F.lit(i).alias("horizon_no"), F.lit(ADD_ON[h]).alias("add"), F.lit(RANGES[h][0] / 2).alias("rise"), F.lit(RANGES[h][2] / 2).alias("fall")) for i, h in enumerate(HORIZONS)))
+    out = df.withColumn("score", score).withColumn("h", F.explode(rows)).select("*", "h.*").drop("h")
+    three = lambda p: F.struct(F.lit(p[0]).alias("up"), F.lit(p[2]).alias("down"), F.lit(p[1]).alias("flat"))
+    at = F.col("score") + F.col("add")
+    out = out.withColumn("probs", F.when(at >= 2, three(BULL)).when(at <= -2, three(BEAR)).otherwise(three(PLAIN)))
+    return out.withColumn("expected_move", F.col("probs.up") * F.col("rise") + F.col("probs.down") * F.col("fall")).drop("add", "rise", "fall")
 
 
 def adjust(df: DataFrame, factor: str, score: str) -> DataFrame:
@@ -75,10 +74,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.withColumns({f"prob_{x}": F.col(f"probs.{x}") for x in ("up", "down", "flat")}).drop("probs")
 
 
-def fundamental_score(pe: Column, pb: Column, growth: Column) -> Column:
+def fundamental_score(pe: Column, pb: Column, revenue: Column, profit: Column) -> Column:
     """From valuation and growth in percent, clipped to 2 either way; nulls add nothing."""
-    s = F.when((pe > 0) & (pe < 15), 1.0).when(pe > 60, -1.0).otherwise(0.0) + F.when((pb > 0) & (pb < 1.5), 0.5).when(pb > 8, -0.5).otherwise(0.0) + F.when(growth > 20, 1.0).when(growth < -20, -1.0).otherwise(0.0)
-    return clip(s, -2.0, 2.0)
+    price = F.when(pe < 10, 1.0).when(pe < 20, 0.5).when(pe > 60, -1.0).when(pe > 40, -0.5).otherwise(0.0)
+    book = F.when(pb < 1, 0.5).when(pb > 5, -0.5).otherwise(0.0)
+    growth = [F.when(g > 10, 0.5).when(g < 0, -0.5).otherwise(0.0) for g in (revenue, profit)]
+    return clip(price + book + growth[0] + growth[1], -2.0, 2.0)
 
 
 def rating(expected: Column) -> Column:

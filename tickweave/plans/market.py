@@ -239,12 +239,13 @@ def a21_concepts(spark, d):
     f"""WITH {RECORDS}, s AS (SELECT *, buy_amount > 0 AS b, youzi_name || ' ' || yingye_bu AS w FROM records),
     k AS (SELECT *, (w LIKE '%0001%' OR w LIKE '%0002%') AS t1, w LIKE '%0003%' AS t2, w LIKE '%0004%' AS inst, len(list_filter(string_split(concepts, ','), lambda x: x LIKE '%STEEL%' OR x LIKE '%TIN%')) AS hot FROM s),
     g AS (SELECT stock_code, count(DISTINCT youzi_name) AS seats, count(*) AS n, sum(CASE WHEN NOT b THEN 0 WHEN t1 THEN 10 WHEN t2 THEN 5 ELSE 1.5 END)::DOUBLE AS pts, sum(net_inflow)::DOUBLE AS net, sum(buy_amount)::DOUBLE AS buy, sum(sell_amount)::DOUBLE AS sell,
-          count(*) FILTER (WHERE inst AND b) AS ib, count(*) FILTER (WHERE NOT inst AND b) AS ob, count(*) FILTER (WHERE t1 AND b) AS tc, max(hot) AS hot FROM k GROUP BY 1),
-    p AS (SELECT *, least(pts, 30) AS cq, CASE WHEN net <= 0 THEN 0 WHEN net / 10000 <= 1000 THEN net / 10000 / 100 WHEN net / 10000 <= 5000 THEN 10 + (net / 10000 - 1000) * 8 / 4000 WHEN net / 10000 <= 10000 THEN 18 + (net / 10000 - 5000) * 7 / 5000 ELSE 25 END AS inf,
-          CASE WHEN buy <= 0 THEN 0 WHEN sell / buy <= 0.1 THEN 20 WHEN sell / buy <= 0.3 THEN 20 - (sell / buy - 0.1) * 25 WHEN sell / buy <= 0.5 THEN 15 - (sell / buy - 0.3) * 25 WHEN sell / buy <= 0.8 THEN 10 - (sell / buy - 0.5) * 5 / 0.3 WHEN sell / buy <= 1.2 THEN 5 - (sell / buy - 0.8) * 12.5 ELSE 0 END AS pr,
-          least(ib * 5, 10) + CASE WHEN ib > 0 AND ob > 0 THEN 5 ELSE 0 END AS ins,
-          least(10, least(seats * 0.5, 3) + least(hot * 0.3, 3) + CASE WHEN n > seats THEN 1 ELSE 0 END + CASE WHEN buy / (sell + 1) > 2 THEN 3 WHEN buy / (sell + 1) > 1 THEN 1.5 ELSE 0 END) AS bo FROM g)
-    SELECT stock_code, seats, ib AS institution_count, tc AS tier1_count, round(cq + inf + pr + ins + bo, 4) + 0.0 AS score FROM p""",
+          count(*) FILTER (WHERE inst AND b) AS ib, count(*) FILTER (WHERE NOT inst AND b) AS ob, count(*) FILTER (WHERE t1 AND b) AS tc, sum(hot) AS hot FROM k GROUP BY 1),
+    p AS (SELECT *, least(pts, 30) AS cq, CASE WHEN net <= 0 THEN 0 WHEN net / 10000 <= 1000 THEN net / 10000 / 100 WHEN net / 10000 <= 5000 THEN 10 + (net / 10000 - 1000) * 8 / 4000 WHEN net / 10000 <= 10000 THEN 18 + (net / 10000 - 5000) * 4 / 5000 WHEN net / 10000 <= 20000 THEN 22 + (net / 10000 - 10000) * 3 / 10000 ELSE 25 END AS inf,
+          CASE WHEN buy <= 0 THEN 0 WHEN sell / buy <= 0.1 THEN 20 WHEN sell / buy <= 0.3 THEN 20 - (sell / buy - 0.1) * 25 WHEN sell / buy <= 0.5 THEN 15 - (sell / buy - 0.3) * 25 WHEN sell / buy <= 0.8 THEN 10 - (sell / buy - 0.5) * 5 / 0.3 WHEN sell / buy <= 1 THEN 5 - (sell / buy - 0.8) * 25 ELSE 0 END AS pr,
+          CASE WHEN ib > 0 AND ob > 0 THEN 15 WHEN ib > 0 THEN least(8 + ib * 2, 12) WHEN ob > 0 THEN least(5 + ob, 10) ELSE 0 END AS ins,
+          least(10, CASE WHEN n = 1 THEN 3 WHEN n = 2 THEN 2.5 WHEN n = 3 THEN 2 WHEN n <= 5 THEN 1.5 ELSE 1 END + least(hot * 0.3, 3) + least(2, n - 1)
+                + CASE WHEN buy <= 0 THEN 0 WHEN buy / (sell + 1) >= 10 THEN 2 WHEN buy / (sell + 1) >= 5 THEN 1.5 WHEN buy / (sell + 1) >= 3 THEN 1 ELSE 0 END) AS bo FROM g)
+    SELECT stock_code, seats, ib AS institution_count, tc AS tier1_count, round((cq + inf + pr + ins + bo)::DOUBLE, 4) + 0.0 AS score FROM p""",
 )
 def c7_stock_scores(spark, d):
     records = c.billboard(spark, d)

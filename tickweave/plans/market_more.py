@@ -171,7 +171,7 @@ def c8_breadth(spark, d):
     return breadth.breadth(c.quotes(spark, d)).select("trade_date", "total", "up", "down", "flat", "limit_up", "limit_down", "sentiment", "limit_ratio", "fear_greed")
 
 
-@query("c12_labels", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 20 THEN 'very hot' WHEN l_quantity > 10 THEN 'hot' WHEN l_quantity > 5 THEN 'active' WHEN l_quantity > 2 THEN 'normal' ELSE 'quiet' END AS turnover, CASE WHEN l_tax * 100 > 10 THEN 'high' WHEN l_tax * 100 > 3 THEN 'medium' WHEN l_tax * 100 > 1 THEN 'low' ELSE 'very low' END AS margin FROM lineitem")
+@query("c12_labels", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 20 THEN 'very high' WHEN l_quantity > 10 THEN 'high' WHEN l_quantity > 5 THEN 'normal' WHEN l_quantity > 2 THEN 'low' ELSE 'very low' END AS turnover, CASE WHEN l_tax * 100 > 10 THEN 'high' WHEN l_tax * 100 > 3 THEN 'medium' WHEN l_tax * 100 > 1 THEN 'low' ELSE 'very low' END AS margin FROM lineitem")
 def c12_labels(spark, d):
     return c.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", breadth.turnover_label(F.col("l_quantity")).alias("turnover"), breadth.margin_label(F.col("l_tax") * 100).alias("margin"))
 
@@ -183,14 +183,17 @@ def c15_net_flows(spark, d):
 
 @query(
     "c14_chip_changes",
-    f"""WITH {BARS}, g AS (SELECT ts_code, count(*) AS days, arg_min(low_li, trade_date)::DOUBLE AS a5, arg_max(low_li, trade_date)::DOUBLE AS b5, arg_min(close_li, trade_date)::DOUBLE AS a50, arg_max(close_li, trade_date)::DOUBLE AS b50,
-    arg_max(high_li, trade_date)::DOUBLE AS b85, arg_max(low_li, trade_date)::DOUBLE AS b15 FROM bars WHERE trade_date >= DATE '1998-01-01' GROUP BY 1)
-    SELECT ts_code, days, {r6("(b50 - a50) * 100 / a50", "cost_50pct_change")}, {r6("(b85 - b15) * 100 / b50", "concentration")}, CASE WHEN (b50 - a50) * 100 / a50 > 1 THEN 'up' WHEN (b50 - a50) * 100 / a50 < -1 THEN 'down' ELSE 'flat' END AS peak_direction, {r6("(b50 - a50) * 100 / a50 / greatest(days - 1, 1)", "peak_speed")} FROM g""",
+    f"""WITH {BARS}, g AS (SELECT ts_code, count(*) AS days, arg_min(low_li, trade_date)::DOUBLE AS a15, arg_max(low_li, trade_date)::DOUBLE AS b15, arg_min(open_li, trade_date)::DOUBLE AS aw, arg_max(open_li, trade_date)::DOUBLE AS bw,
+    arg_min(close_li, trade_date)::DOUBLE AS a50, arg_max(close_li, trade_date)::DOUBLE AS b50, arg_min(high_li, trade_date)::DOUBLE AS a85, arg_max(high_li, trade_date)::DOUBLE AS b85 FROM bars WHERE trade_date >= DATE '1998-01-01' GROUP BY 1),
+    k AS (SELECT *, (a85 - a15) * 100 / a50 AS c0, (b85 - b15) * 100 / b50 AS c1, b50 - a50 AS d50, bw - aw AS dw, b85 - a85 AS d85, b15 - a15 AS d15 FROM g),
+    s AS (SELECT *, CASE WHEN c1 < c0 AND c1 <= 30 THEN 2 ELSE 0 END + CASE WHEN dw > 0 AND d50 > 0 AND d85 > 0 AND abs(d85) > abs(d15) * 1.5 THEN -3 ELSE 0 END + CASE WHEN c1 > c0 AND c1 > 30 THEN -2 ELSE 0 END + CASE WHEN abs(d15) < abs(a15) * 0.1 AND d50 > 0 THEN 1 ELSE 0 END AS behaviour FROM k)
+    SELECT ts_code, days, {r6("d50 * 100 / a50", "cost_50pct_change")}, {r6("c1", "concentration")}, CASE WHEN dw > 0 AND d50 > 0 THEN 'up' WHEN dw < 0 AND d50 < 0 THEN 'down' ELSE 'swinging' END AS peak_direction, behaviour,
+    CASE WHEN behaviour >= 3 THEN 'accumulating' WHEN behaviour >= 1 THEN 'perhaps accumulating' WHEN behaviour <= -3 THEN 'distributing' WHEN behaviour <= -1 THEN 'perhaps distributing' ELSE 'consolidating' END AS behaviour_label FROM s""",
 )
 def c14_chip_changes(spark, d):
     b = c.daily_bars(spark, d).filter(F.col("trade_date") >= F.lit("1998-01-01").cast("date"))
-    costs = b.select("ts_code", "trade_date", *(F.col(x).cast("double").alias(k) for k, x in (("cost_5pct", "low_li"), ("cost_15pct", "low_li"), ("cost_50pct", "close_li"), ("cost_85pct", "high_li"), ("cost_95pct", "high_li"), ("weight_avg", "close_li"))))
-    return flows.chip_changes(costs).select("ts_code", "days", "cost_50pct_change", "concentration", "peak_direction", "peak_speed")
+    costs = b.select("ts_code", "trade_date", *(F.col(x).cast("double").alias(k) for k, x in (("cost_5pct", "low_li"), ("cost_15pct", "low_li"), ("cost_50pct", "close_li"), ("cost_85pct", "high_li"), ("cost_95pct", "high_li"), ("weight_avg", "open_li"))))
+    return flows.chip_changes(costs).select("ts_code", "days", "cost_50pct_change", "concentration", "peak_direction", "behaviour", "behaviour_label")
 
 
 POSITIVE, NEGATIVE, TOPICS = ["the", "ing", "que"], ["schaft", "ation", "en"], ["th", "er", "an", "la", "de"]
