@@ -375,11 +375,11 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         if not total or turn == ROUNDS or pairs <= PAIRS_PER_ROW * rows_at_first and turn:
             break
         seat = lengths.select("kind", "token", F.col("centre.sid").alias("y"))
-        alive = alive.join(seat, ["kind", "token"]).filter("sid <> y")
+        alive = keep(alive.join(seat, ["kind", "token"]).filter("sid <> y"), "seated")
         found, apart = measured(alive.select(F.col("sid").alias("x"), "y"))
         known = found if known is None else known.unionByName(found)
         others = apart if others is None else others.unionByName(apart)
-        near = found.filter(_linked(num, den)).select(F.col("x").alias("sid"), "y")
+        near = small(keep(found.filter(_linked(num, den)).select(F.col("x").alias("sid"), "y"), "near"), BROADCAST_ROWS)
         alive = keep(alive.join(near, ["sid", "y"], "left_anti").select("kind", "token", "sid", "n", "pos", "own"), "alive")
     if total:
         # Short lists: a pair counts from the first shingle that both have, if enough can follow it.

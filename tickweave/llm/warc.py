@@ -22,7 +22,6 @@ import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
