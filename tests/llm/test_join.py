@@ -94,3 +94,19 @@ def test_boundary_follows_costs():
     assert boundary({}, 1.0, 75, 100) == 0
     assert boundary({3: 1000}, 1e6, 75, 100) >= 3
     assert boundary({12: 1000}, 0.0, 75, 100) < 12
+
+
+def test_small_sets_one_shingle_apart_meet_beside_long_lists(spark, monkeypatch):
+    monkeypatch.setattr("tickweave.llm.ngram_join.boundary", lambda *_: 12)
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = " ".join(word() for _ in range(40))
+    texts = [passage + " " + " ".join(word() for _ in range(rng.randint(3, 50))) for _ in range(60)]
+    for size in range(7, 14):
+        for _ in range(12):
+            base = [word() for _ in range(size)]
+            texts += [" ".join(base), " ".join([*base, word()])]
+    rows = list(enumerate(texts, 100))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sorted(map(tuple, ngram_join(df).collect())) == brute(rows)

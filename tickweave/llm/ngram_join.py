@@ -175,8 +175,11 @@ LAST_PLACE = (1 << 22) - 1
 
 
 def _packed() -> Column:
-    """Size, place, the share of light shingles in the prefix (in 127ths of the size), heavy and kind, in one number."""
-    own, heavy = F.floor(F.col("light") * 127 / F.col("n")).cast("long"), (F.col("pos") >= F.col("light")).cast("long")
+    """Size, place, the share of light shingles in the prefix (in 127ths of the size), heavy and kind, in one number.
+
+    Subset keys (kind 1) may be more than their set has shingles, and are never salted: heavy is for prefixes only.
+    """
+    own, heavy = F.floor(F.col("light") * 127 / F.col("n")).cast("long"), ((F.col("kind") == 0) & (F.col("pos") >= F.col("light"))).cast("long")
     place = F.least(F.col("pos"), F.lit(LAST_PLACE)).cast("long")
     return F.shiftleft(F.col("n").cast("long"), 31).bitwiseOR(F.shiftleft(place, 9)).bitwiseOR(F.shiftleft(own, 2)).bitwiseOR(F.shiftleft(heavy, 1)).bitwiseOR(F.col("kind").cast("long"))
 
