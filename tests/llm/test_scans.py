@@ -154,3 +154,19 @@ def test_pipeline_stages(spark, tmp_path):
             assert kept[1] > 0.97 and kept[0] < 0.3
     assert sizes[3] < sizes[2] and sizes[4] < sizes[3]
     assert p.run(spark, d).count() == sizes[-1]
+
+
+def test_license_bodies_and_headers_in_altered_copies(spark):
+    rng = random.Random(3)
+    rows, want = [], set()
+    for n, (name, texts) in enumerate(sorted(licenses.templates().items())):
+        for m, body in enumerate(texts):
+            words = body.split()
+            for _ in range(len(words) // 40):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            filler = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+            rows.append((n * 100 + m, " ".join(filler[:1234]) + " " + " ".join(words) + " " + " ".join(filler[1234:])))
+            want.add((n * 100 + m, name))
+    rows.append((-1, "The MIT License (MIT)"))
+    got = {(r["doc_id"], r["license"]) for r in licenses.licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert want <= got and (-1, "MIT") in got
