@@ -26,32 +26,58 @@ _fallback: dict[str, str] = {}
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path below the folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where that setting is absent, as in local tests, a temporary folder is used and kept for the session.
+    Where that setting is absent, a local session uses a temporary folder; on a cluster that is an error, as executors
+    would write to disks of their own.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = _fallback.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="tickweave-"))
     return f"{base.rstrip('/')}/tickweave/{label}-{uuid.uuid4().hex}"
 
 
+#: Settings of the session while a table is written; shuffle files go as soon as the table stands.
+_WRITING = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write a table into the shared folder and read it again: cuts the lineage and survives lost executors."""
-    path, conf, key = shared_path(df.sparkSession, label), df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(key)
-    conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    path, conf = shared_path(df.sparkSession, label), df.sparkSession.conf
+    before = {key: conf.get(key) for key in _WRITING}
     try:
+        for key, value in _WRITING.items():
+            conf.set(key, value)
         df.write.parquet(path)
     finally:
-        conf.set(key, before)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+        for key, value in before.items():
+            conf.set(key, value)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    vars(kept)["kept_at"] = path
+    return kept
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete kept tables that nothing reads any more; anything else is left alone."""
+    for table in tables:
+        path = table is not None and vars(table).pop("kept_at", None)
+        if path:
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Bytes of a table that may be broadcast, as its rows' JSON.
+BROADCAST_BYTES = 64 << 20
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
-    """Hint a broadcast if the table has at most ``rows`` rows; beyond that it is joined by a shuffle.
+    """Hint a broadcast if the table has at most ``rows`` rows and BROADCAST_BYTES bytes; else it is joined by a shuffle.
 
-    The count is exact, so the table should be a kept one.
+    Both are counted, so the table should be a kept one.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.sum(F.length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= BROADCAST_BYTES else df
 
 
 def learnable(doc_id: str = "doc_id") -> F.Column:

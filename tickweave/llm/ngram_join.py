@@ -14,13 +14,15 @@ further round. Pairs that share too few shingles of their prefixes to link, what
 measured. Shell members that are already connected need no further comparison. What remains in short lists is compared pairwise.
 No link between different sets is lost as far as connected groups are concerned.
 
-Shingles are 64-bit hashes; equal sets are recognised by a 128-bit digest. Rows meet in shuffles on
-(list, salt) or on set digests; tables that are broadcast are counted first or have a fixed bound.
+Shingles are 64-bit hashes; equal sets are recognised by a 128-bit digest, of which half names the set (the other half
+where two sets share the first). Rows meet in shuffles on (list, salt) or on set names; tables that are broadcast are
+counted first or have a fixed bound. Tables between steps and shuffle files are deleted once the next step stands.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from .common import hasher, keep, mix64, raw_texts, shingles, small, stream64
+from .common import forget, hasher, keep, mix64, raw_texts, shingles, small, stream64
 
 #: A task counts common shingles over so many at a time, and names those that it meets in so many sets. Prefixes are
 #: mostly made of the hashes below FRONT, so there fewer are enough.
@@ -41,12 +43,11 @@ CHUNK_SHINGLES, COMMON_IN_CHUNK, COMMON_IN_FRONT, FRONT = 1_000_000, 4, 2, np.ui
 MOST_COMMON = 1_000_000
 #: Subsets are never considered for sets above this size.
 LARGEST_SMALL = 12
-#: Lists are split by a central member until this many times the rows would do as pairs, in so many rounds at most.
-PAIRS_PER_ROW, ROUNDS = 8, 4
-#: Members of sets are compared by so many bytes of their hashes; for sets of 1000 a count is off with a chance under 1e-8.
-MEMBER_BYTES = 6
-#: Sets on one side of a block of comparisons.
-BLOCK_SETS = 512
+#: Lists are split by a central member until this many times the rows would do as pairs, or until a round leaves more
+#: than this share of the pairs. The rest is compared in blocks of so many list entries.
+PAIRS_PER_ROW, STALLED, BLOCK_ENTRIES = 8, 0.9, 256
+#: Sets on one side of a block of comparisons, their members in all, and the shingles that are counted at a time.
+BLOCK_SETS, BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 1 << 20, 4096
 #: Rows of a table of pairs or ids that may be broadcast.
 BROADCAST_ROWS = 500_000
 SALTS = 32
@@ -60,13 +61,19 @@ def least_overlap(a, b, num: int, den: int):
 _SALTS = stream64(SALTS, 3)
 
 
-def _digest(members: np.ndarray) -> bytes:
-    return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
+def _digest(members: np.ndarray) -> tuple[int, int]:
+    """The set's digest as two longs."""
+    return struct.unpack("<qq", hashlib.blake2b(members.tobytes(), digest_size=16).digest())
+
+
+def _name(digest: tuple[int, int], taken: frozenset[int]) -> int:
+    """A set is named by the first half of its digest, or by the second where different sets share the first."""
+    return digest[1] if digest[0] in taken else digest[0]
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per text a row (kind 0) with its set's size and digest; per common shingle a row (kind 1); list lengths (kind 2)."""
-    seen: set[bytes] = set()
+    seen: set[tuple[int, int]] = set()
     held: list[np.ndarray] = []
     count = 0
 
@@ -79,9 +86,10 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(np.append(np.ones(k, np.int32), 2).astype(np.int32)),
                 pa.array(np.append(tokens[often].view(np.int64), np.int64((times.astype(np.int64) ** 2).sum()))),
                 pa.array(np.append(times[often], times.sum()).astype(np.int64)),
-                pa.nulls(k + 1, pa.binary()),
+                pa.nulls(k + 1, pa.int64()),
+                pa.nulls(k + 1, pa.int64()),
             ],
-            ["kind", "id", "n", "sid"],
+            ["kind", "id", "n", "sid", "rest"],
         )
 
     for batch in batches:
@@ -98,8 +106,8 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield tally()
                     held, count = [], 0
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(len(sizes), np.int32)), ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())],
-            ["kind", "id", "n", "sid"],
+            [pa.array(np.zeros(len(sizes), np.int32)), ids.cast(pa.int64()), pa.array(sizes, pa.int64()), *(pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1))],
+            ["kind", "id", "n", "sid", "rest"],
         )
     if held:
         yield tally()
@@ -130,20 +138,20 @@ def boundary(sizes: dict[int, int], list_length: float, num: int, den: int) -> i
     return min(range(LARGEST_SMALL + 1), key=cost)
 
 
-def _entries(common, limit: int, num: int, den: int):
+def _entries(common, taken: frozenset[int], limit: int, num: int, den: int):
     """Rows of list entries: a set's subsets (kind 1) or its prefix in the order (kind 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked = common.value
         order = np.argsort(ranked[0], kind="stable")
         known, rank = ranked[0][order], ranked[1][order]
-        seen: set[bytes] = set()
+        seen: set[int] = set()
         for batch in batches:
             rows: list[tuple] = []
             for words in hasher().many(raw_texts(batch.column(0))):
                 members = shingles(words)
                 n = len(members)
-                if not n or (d := _digest(members)) in seen:
+                if not n or (d := _name(_digest(members), taken)) in seen:
                     continue
                 seen.add(d)
                 if n <= limit:
@@ -156,14 +164,14 @@ def _entries(common, limit: int, num: int, den: int):
                     if len(heavy):
                         heavy = heavy[np.argsort(rank[at[hit]], kind="stable")]
                     p = n - -(-num * n // den) + 1
-                    salted = heavy ^ _SALTS[d[0] % SALTS]
+                    salted = heavy ^ _SALTS[d % SALTS]
                     rows.append((0, d, n, min(p, len(light)), np.concatenate([light, salted])[:p]))
             if rows:
                 kinds, ds, ns, lights, arrays = zip(*rows, strict=True)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(kinds, pa.int32()), pa.array(ds, pa.binary()), pa.array(ns, pa.int32()), pa.array(lights, pa.int32()), tokens],
+                    [pa.array(kinds, pa.int32()), pa.array(ds, pa.int64()), pa.array(ns, pa.int32()), pa.array(lights, pa.int32()), tokens],
                     ["kind", "sid", "n", "light", "tokens"],
                 )
 
@@ -192,29 +200,32 @@ def _unpacked() -> list[Column]:
     """kind, token, sid, n, pos, own of a packed entry; a salted token gets its own value back."""
     bits = lambda by, mask: F.shiftright("about", by).bitwiseAND(F.lit(mask)).cast("int")
     salts = F.array(*(F.lit(int(x)) for x in _SALTS.view(np.int64)))
-    salt = F.element_at(salts, F.pmod(F.conv(F.hex(F.substring("sid", 1, 1)), 16, 10).cast("int"), F.lit(SALTS)) + 1)
+    salt = F.element_at(salts, F.pmod("sid", F.lit(SALTS)).cast("int") + 1)
     token = F.when(_heavy(), F.col("key").bitwiseXOR(salt)).otherwise(F.col("key"))
-    return [bits(0, 1).alias("kind"), token.alias("token"), "sid", F.shiftright("about", 31).cast("int").alias("n"), bits(9, LAST_PLACE).alias("pos"), bits(2, 127).alias("own")]
+    n, own = F.shiftright("about", 31).cast("int").alias("n"), bits(2, 127).alias("own")
+    return [bits(0, 1).alias("kind"), token.alias("token"), F.col("sid"), n, bits(9, LAST_PLACE).alias("pos"), own, _heavy().alias("heavy")]
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (digest, sorted members cut to MEMBER_BYTES each)."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        ds, sets = [], []
-        for words in hasher().many(raw_texts(batch.column(0))):
-            members = shingles(words)
-            if (d := _digest(members)) not in seen:
-                seen.add(d)
-                ds.append(d)
-                sets.append(members.view(np.uint8).reshape(-1, 8)[:, 8 - MEMBER_BYTES :].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ds, pa.binary()), pa.array(sets, pa.binary())], ["sid", "members"])
+def _members(taken: frozenset[int]):
+    """Rows (name, sorted members) of the sets of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            ds, sets = [], []
+            for words in hasher().many(raw_texts(batch.column(0))):
+                members = shingles(words)
+                if (d := _name(_digest(members), taken)) not in seen:
+                    seen.add(d)
+                    ds.append(d)
+                    sets.append(members.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ds, pa.int64()), pa.array(sets, pa.binary())], ["sid", "members"])
+
+    return run
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // MEMBER_BYTES, 8), np.uint8)
-    out[:, :MEMBER_BYTES] = np.frombuffer(blob, np.uint8).reshape(-1, MEMBER_BYTES)
-    return out.view(np.uint64).ravel()
+    return np.frombuffer(blob, np.uint64)
 
 
 @F.pandas_udf(IntegerType())
@@ -228,25 +239,38 @@ def _common_count(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _size(members: str) -> Column:
-    return (F.length(members) / MEMBER_BYTES).cast("int")
+    return (F.length(members) / 8).cast("int")
 
 
-def _sets(texts: DataFrame, ids: DataFrame, wanted: DataFrame) -> DataFrame:
+class _Sets:
     """The members of wanted sets, each computed again from one text that has it."""
-    chosen = keep(ids.join(small(wanted, BROADCAST_ROWS), "sid", "left_semi").select("id"), "set-ids")
-    sets = texts.join(small(chosen, BROADCAST_ROWS), "id", "left_semi").select("text")
-    sets = keep(sets.mapInArrow(_members, "sid binary, members binary"), "sets")
-    n, k = sets.agg(F.count("*"), F.countDistinct("sid")).first()
-    return sets if n == k else keep(sets.groupBy("sid").agg(F.min("members").alias("members")), "sets")
 
+    def __init__(self, texts: DataFrame, ids: DataFrame, taken: frozenset[int]) -> None:
+        self.texts, self.ids, self.taken = texts, ids, taken
 
-def _overlaps(pairs: DataFrame, texts: DataFrame, ids: DataFrame) -> DataFrame:
+    def __call__(self, wanted: DataFrame) -> DataFrame:
+        chosen = keep(self.ids.join(small(wanted, BROADCAST_ROWS), "sid", "left_semi").select("id"), "set-ids")
+        sets = self.texts.join(small(chosen, BROADCAST_ROWS), "id", "left_semi").select("text")
+        sets = keep(sets.mapInArrow(_members(self.taken), "sid long, members binary"), "sets")
+        forget(chosen)
+        n, k = sets.agg(F.count("*"), F.countDistinct("sid")).first()
+        if n == k:
+            return sets
+        once = keep(sets.groupBy("sid").agg(F.min("members").alias("members")), "sets")
+        forget(sets)
+        return once
+
+
+def _overlaps(pairs: DataFrame, sets_of: _Sets) -> DataFrame:
     """x, y, their sizes a and b and the count o of common members, for each of some kept pairs of sets."""
     sides = keep(pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct(), "pair-sides")
-    sets = _sets(texts, ids, sides)
+    centres = keep(pairs.select("y").distinct(), "pair-centres")
+    sets = sets_of(sides)
     left = sets.toDF("x", "mx").join(small(pairs, BROADCAST_ROWS), "x")
-    right = sets.toDF("y", "my").join(small(keep(pairs.select("y").distinct(), "pair-centres"), BROADCAST_ROWS), "y", "left_semi")
-    return keep(left.join(right, "y").select("x", "y", _size("mx").alias("a"), _size("my").alias("b"), _common_count("mx", "my").alias("o")), "overlaps")
+    right = sets.toDF("y", "my").join(small(centres, BROADCAST_ROWS), "y", "left_semi")
+    out = keep(left.join(right, "y").select("x", "y", _size("mx").alias("a"), _size("my").alias("b"), _common_count("mx", "my").alias("o")), "overlaps")
+    forget(sides, centres, sets)
+    return out
 
 
 def _may_link(nx: Column, cx: Column, ny: Column, cy: Column, num: int, den: int) -> Column:
@@ -261,22 +285,28 @@ def _may_link(nx: Column, cx: Column, ny: Column, cy: Column, num: int, den: int
 
 
 def _links_between(num: int, den: int):
-    """Per group, the links of members on one side with members on the other, by products of 0/1 matrices."""
+    """Per group, the links of members on one side with members on the other, by products of 0/1 matrices.
+
+    Only shingles that both sides have are counted, BLOCK_SHINGLES at a time.
+    """
 
     def run(ball: pd.DataFrame, shell: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(ball) and len(shell):
-            sets = [[_unpack(m) for m in side["members"]] for side in (ball, shell)]
-            vocabulary = np.unique(np.concatenate(sets[0] + sets[1]))
-            grid = []
-            for side in sets:
-                g = np.zeros((len(side), len(vocabulary)), np.float32)
-                for i, m in enumerate(side):
-                    g[i, np.searchsorted(vocabulary, m)] = 1
-                grid.append(g)
-            o = grid[1] @ grid[0].T
-            n = [np.array([len(m) for m in side], np.float32) for side in sets]
-            hits = np.argwhere(o * den >= (n[1][:, None] + n[0][None, :] - o) * num)
+            sides = [[_unpack(m) for m in side["members"]] for side in (shell, ball)]
+            both = np.intersect1d(*(np.unique(np.concatenate(side)) for side in sides), assume_unique=True)
+            o = np.zeros((len(shell), len(ball)), np.float32)
+            for at in range(0, len(both), BLOCK_SHINGLES):
+                some = both[at : at + BLOCK_SHINGLES]
+                grid = [np.zeros((len(side), len(some)), np.float32) for side in sides]
+                for side, g in zip(sides, grid, strict=True):
+                    for i, m in enumerate(side):
+                        m = m[np.searchsorted(m, some[0]) : np.searchsorted(m, some[-1], "right")]
+                        place = np.minimum(np.searchsorted(some, m), len(some) - 1)
+                        g[i, place[some[place] == m]] = 1
+                o += grid[0] @ grid[1].T
+            n = [np.array([len(m) for m in side], np.float64) for side in sides]
+            hits = np.argwhere(o * den >= (n[0][:, None] + n[1][None, :] - o) * num)
             out = [(shell["sid"].iloc[i], ball["sid"].iloc[j]) for i, j in hits]
         return pd.DataFrame(out, columns=["x", "y"])
 
@@ -284,8 +314,10 @@ def _links_between(num: int, den: int):
 
 
 def _shell_links(shell: DataFrame, ball: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between the shell (y, sid) and the ball (y, sid) of each centre y, in blocks of BLOCK_SETS on either side."""
-    blocks = lambda df, name: df.groupBy("y").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias(name))
+    """Links between the shell (y, sid) and the ball (y, sid) of each centre y, in blocks bounded in sets and members."""
+    sizes = sets.select("sid", _size("members").alias("n"))
+    number = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_MEMBERS)).cast("int")
+    blocks = lambda df, name: df.join(sizes, "sid").groupBy("y").agg(number.alias(name))
     split = keep(blocks(shell, "s").join(blocks(ball, "b"), "y"), "blocks")
     place = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -293,7 +325,25 @@ def _shell_links(shell: DataFrame, ball: DataFrame, sets: DataFrame, num: int, d
     shell = shell.join(split, "y").select("y", "sid", place("s").alias("i"), every("b").alias("j"))
     ball = ball.join(sets.toDF("sid", "members"), "sid").groupBy("y", "i", "j")
     shell = shell.join(sets.toDF("sid", "members"), "sid").groupBy("y", "i", "j")
-    return ball.cogroup(shell).applyInPandas(_links_between(num, den), "x binary, y binary")
+    links = keep(ball.cogroup(shell).applyInPandas(_links_between(num, den), "x long, y long"), "shell-links")
+    forget(split)
+    return links
+
+
+def _pairs_in_lists(alive: DataFrame, lengths: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (x, y) that stand in a common list and may link; a long list is compared in blocks of BLOCK_ENTRIES."""
+    per = alive.join(lengths.select("kind", "token", F.ceil(F.col("c") / BLOCK_ENTRIES).cast("int").alias("blocks")), ["kind", "token"])
+    per = per.withColumn("at", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    fields = ("sid", "n", "pos", "shared")
+    a = per.select("kind", "token", *(F.col(c).alias(f"{c}_x") for c in fields), F.col("at").alias("i"), F.explode(F.sequence("at", F.col("blocks") - 1)).alias("j"))
+    b = per.select("kind", "token", *(F.col(c).alias(f"{c}_y") for c in fields), F.explode(F.sequence(F.lit(0), "at")).alias("i"), F.col("at").alias("j"))
+    one, two = F.struct("n_x", "sid_x"), F.struct("n_y", "sid_y")
+    # A pair counts from the first shingle that both have, if enough can follow it.
+    least = least_overlap_column(F.col("n_x"), F.col("n_y"), num, den)
+    follow = 1 + F.least(F.col("n_x") - F.col("pos_x") - 1, F.col("n_y") - F.col("pos_y") - 1) >= least
+    fits = _may_link(F.col("n_x"), F.col("shared_x"), F.col("n_y"), F.col("shared_y"), num, den) & ((F.col("kind") == 1) | follow)
+    met = a.join(b, ["kind", "token", "i", "j"]).filter(((F.col("i") < F.col("j")) | (one < two)) & fits)
+    return met.select(F.when(one < two, F.col("sid_x")).otherwise(F.col("sid_y")).alias("x"), F.when(one < two, F.col("sid_y")).otherwise(F.col("sid_x")).alias("y"))
 
 
 def least_overlap_column(a: Column, b: Column, num: int, den: int) -> Column:
@@ -309,12 +359,14 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     now = keep(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("root")), label)
     while True:
         around = both.join(now.select(F.col("node").alias("y"), "root"), "y").groupBy(F.col("x").alias("node")).agg(F.min("root").alias("least"))
-        met = now.join(around, "node").select("node", "root", F.least("root", "least").alias("nearer"))
+        met = now.select("node", "root").join(around, "node").select("node", "root", F.least("root", "least").alias("nearer"))
         jump = now.select(F.col("node").alias("nearer"), F.col("root").alias("further"))
         after = keep(met.join(jump, "nearer", "left").select("node", F.least("nearer", F.coalesce("further", "nearer")).alias("root"), "root").toDF("node", "root", "before"), label)
+        forget(now)
         if after.filter("root <> before").isEmpty():
+            forget(both)
             return after.select("node", "root")
-        now = after.select("node", "root")
+        now = after
 
 
 def _jaccard_distance() -> Column:
@@ -337,8 +389,13 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    first = keep(texts.mapInArrow(_set_rows, "kind int, id long, n long, sid binary"), "shingle-sets")
-    rows = first.filter("kind = 0").select("id", "n", "sid")
+    first = keep(texts.mapInArrow(_set_rows, "kind int, id long, n long, sid long, rest long"), "shingle-sets")
+    rows = first.filter("kind = 0").select("id", "n", "sid", "rest")
+    halves = rows.filter("n > 0").groupBy("sid").agg(F.min("rest").alias("low"), F.max("rest").alias("high"))
+    # Expected are n * n / 2 ** 65 of n sets: none below a billion, some hundred in a hundred billion.
+    taken = frozenset(r.sid for r in halves.filter("low <> high").select("sid").collect())
+    if taken:
+        rows = rows.withColumn("sid", F.when(F.col("sid").isin(list(taken)), F.col("rest")).otherwise(F.col("sid")))
     sets = keep(rows.filter("n > 0 and id is not null").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").cast("int").alias("n")), "distinct-sets")
 
     common = first.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(MOST_COMMON).toPandas()
@@ -349,52 +406,60 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     sizes = {r[0]: r[1] for r in sets.filter(F.col("n") <= 2 * LARGEST_SMALL).groupBy("n").count().collect()}
     limit = boundary(sizes, length, num, den)
 
-    # Which lists hold more than one set? Common shingles' lists are long, so they are salted and taken as shared.
-    lists = texts.filter("id is not null").select("text").mapInArrow(_entries(shared, limit, num, den), "kind int, sid binary, n int, light int, tokens array<long>")
-    lists = lists.select("kind", "sid", "n", "light", F.posexplode("tokens").alias("pos", "key")).select("key", "sid", _packed().alias("about"))
+    # Which lists hold more than one set? All that counts a list's entries runs where its key was dealt: one shuffle.
+    # Common shingles' lists are long, so they are salted and taken as shared; their parts are counted together below.
+    known_texts = texts.filter("id is not null")
+    lists = known_texts.select("text").mapInArrow(_entries(shared, taken, limit, num, den), "kind int, sid long, n int, light int, tokens array<long>")
+    lists = lists.select("sid", "kind", "n", "light", F.posexplode("tokens").alias("pos", "key")).select("sid", "key", _packed().alias("about"))
     together = Window.partitionBy("key")
     lists = lists.withColumn("many", F.count("*").over(together)).filter(_heavy() | (F.col("many") > 1))
-    lists = keep(lists.groupBy("key", "sid").agg(F.min("about").alias("about")), "lists").select(*_unpacked())
+    lists = lists.groupBy("key", "sid").agg(F.min("about").alias("about")).select("key", *_unpacked())
+    lists = lists.withColumn("c", F.count("*").over(together)).withColumn("centre", F.min(F.struct("own", "sid", "n")).over(together))
+    lists = keep(lists.filter("heavy or c > 1").drop("key"), "lists")
 
     # Per set, how many shingles of its prefix other sets share. Sets that name subsets are not told apart by it.
     shared_of = lists.groupBy("sid").agg(F.first("n").alias("n"), F.when(F.max("kind") == 1, F.first("n")).otherwise(F.count("*")).cast("int").alias("c"))
     shared_of = keep(shared_of, "shared-counts")
     side = lambda x, n, c: shared_of.select(F.col("sid").alias(x), F.col("n").alias(n), F.col("c").alias(c))
-    ids, known_texts = sets.select("sid", "id"), texts.filter("id is not null")
+    sets_of = _Sets(known_texts, sets.select("sid", "id"), taken)
 
     def measured(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Overlaps of the pairs that may link, and the others with their sizes and counts."""
-        both = pairs.select("x", "y").distinct().join(side("x", "nx", "cx"), "x").join(side("y", "ny", "cy"), "y")
+        both = pairs.distinct().join(side("x", "nx", "cx"), "x").join(side("y", "ny", "cy"), "y")
         both = keep(both.withColumn("may", _may_link(F.col("nx"), F.col("cx"), F.col("ny"), F.col("cy"), num, den)), "pairs")
-        return _overlaps(keep(both.filter("may").select("x", "y"), "pairs"), known_texts, ids), both.filter(~F.col("may")).drop("may")
-
-    alive, known, others, links = lists, None, None, None
-    slack, rows_at_first = 1 - num / den, 0
-    for turn in range(ROUNDS + 1):
-        lengths = alive.groupBy("kind", "token").agg(F.count("*").alias("c"), F.min(F.struct("own", "sid", "n")).alias("centre")).filter("c > 1")
-        lengths = keep(lengths, "lists-lengths")
-        total, pairs = lengths.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.expr("c * (c - 1) / 2")), F.lit(0))).first()
-        rows_at_first = rows_at_first or total
-        if not total or turn == ROUNDS or pairs <= PAIRS_PER_ROW * rows_at_first and turn:
-            break
-        seat = lengths.select("kind", "token", F.col("centre.sid").alias("y"))
-        alive = keep(alive.join(seat, ["kind", "token"]).filter("sid <> y"), "seated")
-        found, apart = measured(alive.select(F.col("sid").alias("x"), "y"))
+        chosen = keep(both.filter("may").select("x", "y"), "pairs")
+        found = _overlaps(chosen, sets_of)
+        forget(chosen)
+        return found, both.filter(~F.col("may")).drop("may")
+
+    known, others, links = None, None, None
+    slack, rows_at_first, before = 1 - num / den, 0, None
+    heavy = keep(lists.filter("heavy").groupBy("kind", "token").agg(F.count("*").alias("c"), F.min(F.struct("own", "sid", "n")).alias("centre")), "lists-lengths")
+    seats = small(heavy.filter("c > 1"), MOST_COMMON)
+    alive = lists.filter("not heavy").unionByName(lists.filter("heavy").drop("c", "centre").join(seats, ["kind", "token"])).drop("heavy")
+    total, pairs = lists.filter("not heavy").select("c").union(heavy.filter("c > 1").selectExpr("c * c as c")).agg(F.coalesce(F.count("*"), F.lit(0)), F.sum("c")).first()
+    while total:
+        # Of sets whose sizes keep them apart from whatever the centre is linked with, nothing need be known.
+        near_size = F.least("n", "n_y") * den * den >= F.greatest("n", "n_y") * num * num
+        seated = alive.withColumn("y", F.col("centre.sid")).withColumn("n_y", F.col("centre.n")).filter("sid <> y")
+        found, apart = measured(seated.filter(near_size).select(F.col("sid").alias("x"), "y"))
         known = found if known is None else known.unionByName(found)
         others = apart if others is None else others.unionByName(apart)
         near = small(keep(found.filter(_linked(num, den)).select(F.col("x").alias("sid"), "y"), "near"), BROADCAST_ROWS)
-        alive = keep(alive.join(near, ["sid", "y"], "left_anti").select("kind", "token", "sid", "n", "pos", "own"), "alive")
+        rest = keep(seated.join(near, ["sid", "y"], "left_anti").select("kind", "token", "sid", "n", "pos", "own"), "alive")
+        forget(lists, heavy, alive)
+        lengths = rest.groupBy("kind", "token").agg(F.count("*").alias("c"), F.min(F.struct("own", "sid", "n")).alias("centre")).filter("c > 1")
+        heavy = lengths = keep(lengths, "lists-lengths")
+        total, pairs = lengths.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.expr("c * (c - 1) / 2")), F.lit(0))).first()
+        rows_at_first = rows_at_first or total
+        alive = keep(rest.join(lengths, ["kind", "token"]), "alive") if total else None
+        forget(rest)
+        if pairs <= PAIRS_PER_ROW * rows_at_first or before is not None and pairs > STALLED * before:
+            break
+        before = pairs
     if total:
-        # Short lists: a pair counts from the first shingle that both have, if enough can follow it.
-        alive = keep(alive.join(lengths.select("kind", "token"), ["kind", "token"], "left_semi"), "alive")
-        a = alive.select("kind", "token", *(F.col(c).alias(f"{c}_x") for c in ("sid", "n", "pos")))
-        b = alive.select("kind", "token", *(F.col(c).alias(f"{c}_y") for c in ("sid", "n", "pos")))
-        ordered = (F.col("n_x") < F.col("n_y")) | (F.col("n_x") == F.col("n_y")) & (F.col("sid_x") < F.col("sid_y"))
-        least = least_overlap_column(F.col("n_x"), F.col("n_y"), num, den)
-        follow = 1 + F.least(F.col("n_x") - F.col("pos_x") - 1, F.col("n_y") - F.col("pos_y") - 1) >= least
-        fits = ordered & (F.col("n_x") * den >= F.col("n_y") * num) & ((F.col("kind") == 1) | follow)
-        pairs_left = a.join(b, ["kind", "token"]).filter(fits).select(F.col("sid_x").alias("x"), F.col("sid_y").alias("y"))
-        links = measured(pairs_left)[0].filter(_linked(num, den)).select("x", "y")
+        left = alive.drop("c", "centre").join(shared_of.select("sid", F.col("c").alias("shared")), "sid")
+        links = measured(_pairs_in_lists(left, lengths, num, den))[0].filter(_linked(num, den)).select("x", "y")
     if known is not None:
         near = known.filter(_linked(num, den)).select("x", "y")
         links = near if links is None else links.union(near)
@@ -414,8 +479,10 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         shell = keep(shell.filter(F.coalesce("of_x", "x") != F.coalesce("of_y", "y")).select("y", F.col("x").alias("sid")), "shell")
         if not shell.isEmpty():
             at_ball = keep(near.join(shell.select("y").distinct(), "y", "left_semi").select("y", F.col("x").alias("sid")), "ball")
-            members = _sets(known_texts, ids, keep(shell.select("sid").union(at_ball.select("sid")).distinct(), "shell-sides"))
-            more = keep(_shell_links(shell, at_ball, members, num, den), "shell-links")
+            sides = keep(shell.select("sid").union(at_ball.select("sid")).distinct(), "shell-sides")
+            members = sets_of(sides)
+            more = _shell_links(shell, at_ball, members, num, den)
+            forget(sides, members, at_ball)
             if not more.isEmpty():
                 group = components(links.union(more))
         least = group.join(sets.select(F.col("sid").alias("node"), "id"), "node").groupBy("root").agg(F.min("id").alias("least"))
