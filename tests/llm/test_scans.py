@@ -170,3 +170,54 @@ def test_license_bodies_and_headers_in_altered_copies(spark):
     rows.append((-1, "The MIT License (MIT)"))
     got = {(r["doc_id"], r["license"]) for r in licenses.licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert want <= got and (-1, "MIT") in got
+
+
+def plain_shingles(text):
+    words = text.lower().translate(dict.fromkeys(map(ord, ".,;:!?\"'()[]{}<>*#&%$|/\\"), " ")).split()
+    return lambda k: [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
+
+
+def test_damaged_notices_against_exact_containment(spark):
+    """Recall and precision where a notice holds 0.6 to 1.0 of its shingles, against exact counts over all windows."""
+    rng = random.Random(11)
+    known = {name: tuple(t for t in texts if len(t.split()) < 400) for name, texts in licenses.templates().items()}
+    known = {name: texts for name, texts in known.items() if texts}
+    rows, named = [], []
+    for n in range(400):
+        name = rng.choice(sorted(known))
+        words = rng.choice(known[name]).split()
+        for _ in range(rng.randint(0, max(1, len(words) // 15))):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        head = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(0, 400))]
+        rows.append((n, " ".join(head + words + [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(0, 400))])))
+        named.append(len(head))
+    rows += [(1000, "All rights reserved. Again: all rights reserved")] * 2
+    got = {}
+    for r in licenses.licenses(spark.createDataFrame(rows, "doc_id bigint, text string"), notices=known).collect():
+        got.setdefault((r["doc_id"], r["license"]), []).append((r["containment"], r["first_word"]))
+    passed = missed = 0
+    for k, text in rows[:400]:
+        of = plain_shingles(text)
+        for name, texts in known.items():
+            best = 0.0
+            for template in texts:
+                runs = plain_shingles(template)(5) or plain_shingles(template)(len(plain_shingles(template)(1)))
+                want, size = set(runs), len(runs[0])
+                hits = [i for i, s in enumerate(of(size)) if s in want]
+                if len(hits) >= 0.75 * len(want):
+                    span = 2 * (1 << (len(runs).bit_length() - 1))
+                    shingles = of(size)
+                    best = max([best] + [len(want & set(shingles[i : i + span])) / len(want) for i in hits])
+            if best >= 0.75:
+                passed += 1
+                missed += (k, name) not in got
+            elif (k, name) in got:
+                assert got[k, name][0][0] >= 0.75  # held within a window of four sizes, not of two
+    assert passed > 200 and missed <= 0.02 * passed
+    assert got[1000, "all-rights-reserved"] == [(1.0, 0)] * 2
+
+
+def test_first_word_counts_words_of_the_text(spark):
+    rows = [(1, "a/b c.d  (e) , f Licensed under the MIT License"), (2, "All rights reserved")]
+    got = {(r["doc_id"], r["license"]): r["first_word"] for r in licenses.licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1, "MIT"] == 5 and got[2, "all-rights-reserved"] == 0

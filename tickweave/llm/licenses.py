@@ -182,7 +182,8 @@ class Scanner:
 
     def __call__(self, text: str | None) -> list[tuple[str, float, int]]:
         """(license, containment, first word) of each license's best place in the text; the first of equals."""
-        words = hasher().words(_bare((text or "").encode("utf-8", "replace")))
+        raw = (text or "").encode("utf-8", "replace")
+        words = hasher().words(_bare(raw))
         out: dict[int, tuple[float, int]] = {}
         runs_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for (k, size), found in self.classes.items():
@@ -203,7 +204,10 @@ class Scanner:
                         at = a + int(np.flatnonzero(np.isin(place, members))[0])
                         if i not in out or (-share, at) < (-out[i][0], out[i][1]):
                             out[i] = (share, at)
-        return [(self.names[i], share, at) for i, (share, at) in sorted(out.items())]
+        if not out:
+            return []
+        own, bare = _word_starts(raw), _word_starts(_bare(raw))
+        return [(self.names[i], share, int(np.searchsorted(own, bare[at], "right")) - 1) for i, (share, at) in sorted(out.items())]
 
     @staticmethod
     def _candidates(runs: np.ndarray, hits: np.ndarray, fewest: float, size: int, bands: np.ndarray) -> list[int]:
@@ -224,6 +228,13 @@ class Scanner:
         return found
 
 
+def _word_starts(raw: bytes) -> np.ndarray:
+    """Places of the first bytes of words."""
+    a = np.frombuffer(raw, np.uint8)
+    solid = (a != 32) & ((a < 9) | (a > 13))
+    return np.flatnonzero(np.diff(solid.view(np.int8), prepend=np.int8(0)) == 1)
+
+
 def _within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Which values are in an ordered array that is not empty."""
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
@@ -254,7 +265,7 @@ def licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     Licenses that share their words (GNU headers, BSD) are all returned; the highest containment names the closest.
 
-    ``first_word`` counts words from 0. Null and wordless texts hold none. Repeated rows give repeated results, rows
+    ``first_word`` counts the text's words (runs without ASCII white space) from 0. Null and wordless texts hold none. Repeated rows give repeated results, rows
     with a null id are scanned too; ties between places go to the first. An empty table gives no rows. Other columns
     are not read.
     """
