@@ -80,6 +80,14 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if n <= rows and (size or 0) <= BROADCAST_BYTES else df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def learnable(doc_id: str = "doc_id") -> F.Column:
     """Rows that a model may learn from: crc32 of the id's decimal text leaves another remainder than 2 by 4."""
     return F.col(doc_id).isNotNull() & (F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 != 2)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PIECE_BYTES, learnable
+from .common import PIECE_BYTES, learnable, unused
 from .svm import balance, hinge_fit, logistic_fit, sigmoid
 
 SIZE = 1 << 16
@@ -121,8 +121,9 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
         got = [of(t) for t in text]
         return pd.DataFrame({"k": [k.astype(np.int32) for k, _ in got], "v": [v.astype(np.float32) for _, v in got]})
 
-    rows = thin.join(F.broadcast(ranked.select("id", "lang").distinct()), ["id", "lang"]).select("id", "lang", features("text").alias("f")).toPandas()  # at most sample ids a language
-    rows = rows.sort_values(["id", "lang"], kind="stable").drop_duplicates(["id", "lang"])
+    # One row an id and language before anything reaches the driver: ids may repeat, and at most sample a language are chosen.
+    chosen = thin.join(F.broadcast(ranked.select("id", "lang").distinct()), ["id", "lang"]).select("id", "lang", features("text").alias("f"))
+    rows = chosen.groupBy("id", "lang").agg(F.min("f").alias("f")).toPandas().sort_values(["id", "lang"], kind="stable")
     data = [(np.asarray(f["k"], np.int64), np.asarray(f["v"], float)) for f in rows["f"]]
     langs = rows["lang"].to_numpy()
     families: dict[str, list[str]] = {}
@@ -165,7 +166,7 @@ def language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     ``keep_columns`` all columns of docs are returned, and the two results replace any of the same names.
     """
     model = fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, sample=sample)
-    at = "__language"
+    at = unused(docs, "language")
     out = docs.withColumn(at, predictor(docs.sparkSession, model)(F.col(text_col)))
     out = out.withColumn("lang_pred", F.col(f"{at}.lang")).withColumn("score", F.col(f"{at}.score")).drop(at)
     return out if keep_columns else out.select(id_col, "lang_pred", "score")

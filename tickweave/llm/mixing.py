@@ -79,10 +79,13 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     """
     taken = ("epoch", "place", "repeat_rate")
     base = docs.drop(*taken)
+    own_ = "mix_"
+    while any(c.lower().startswith(own_) for c in base.columns):  # helper columns are named apart from all of docs
+        own_ = f"_{own_}"
     src, dealt = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null")), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed))
-    counted = base.select(src.alias("__s"), dealt.alias("__h"), tokens(F.col(text_col)).alias("__n"))
-    per_hash = keep(counted.groupBy("__s", F.pmod("__h", F.lit(BLOCKS)).alias("__b")).agg(F.sum("__n").alias("n"), F.count("*").alias("c")), "mix-cells")
-    per_source = per_hash.groupBy("__s").agg(F.sum("n").alias("tokens"), F.sum("c").alias("docs")).filter("tokens > 0")
+    counted = base.select(src.alias(f"{own_}s"), dealt.alias(f"{own_}h"), tokens(F.col(text_col)).alias(f"{own_}n"))
+    per_hash = keep(counted.groupBy(f"{own_}s", F.pmod(f"{own_}h", F.lit(BLOCKS)).alias(f"{own_}b")).agg(F.sum(f"{own_}n").alias("n"), F.count("*").alias("c")), "mix-cells")
+    per_source = per_hash.groupBy(f"{own_}s").agg(F.sum("n").alias("tokens"), F.sum("c").alias("docs")).filter("tokens > 0")
     whole = per_source.agg(F.sum("tokens")).first()[0]
     wanted = float(whole or 0) if budget is None else float(budget)
     totals = keep(per_source.withColumn("share", F.col("tokens") / F.lit(float(whole or 1))), "mix-sources")
@@ -96,24 +99,24 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     plan = plan.withColumn("blocks", F.least(F.lit(BLOCKS), F.ceil(F.col("docs") / BLOCK_DOCS)).cast("int"))
 
     # Blocks of a source, in the order of its partial epoch, with the words before them. Cells are the finest blocks.
-    cells = per_hash.join(plan, "__s").withColumn("block", F.pmod("__b", F.col("blocks")))
-    blocks = cells.groupBy("__s", "block").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("full", "rest", "blocks", "repeat_rate")))
-    order = Window.partitionBy("__s").orderBy(F.xxhash64("block", "full", F.lit(seed)), "block")
+    cells = per_hash.join(plan, f"{own_}s").withColumn("block", F.pmod(f"{own_}b", F.col("blocks")))
+    blocks = cells.groupBy(f"{own_}s", "block").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("full", "rest", "blocks", "repeat_rate")))
+    order = Window.partitionBy(f"{own_}s").orderBy(F.xxhash64("block", "full", F.lit(seed)), "block")
     before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))
     blocks = blocks.withColumn("before", F.coalesce(before, F.lit(0)))
     blocks = blocks.withColumn("part", F.when(F.col("before") + F.col("n") <= F.col("rest"), "all").when(F.col("before") < F.col("rest"), "edge").otherwise("none"))
     blocks = keep(blocks, "mix-blocks")
 
-    rows = base.withColumn("__s", src).withColumn("__h", dealt)
-    rows = rows.join(small(plan.select("__s", F.col("blocks").alias("__k")), BROADCAST_ROWS), "__s").withColumn("__b", F.pmod(F.pmod("__h", F.lit(BLOCKS)), F.col("__k"))).drop("__k")
-    named = blocks.select("__s", F.col("block").alias("__b"), "repeat_rate", *(F.col(c).alias(f"__{c}") for c in ("full", "rest", "before", "part")))
-    rows = rows.join(small(named, BROADCAST_ROWS), ["__s", "__b"])
-    last = F.col("__full") - F.when(F.col("__part") == "all", 0).otherwise(1)
+    rows = base.withColumn(f"{own_}s", src).withColumn(f"{own_}h", dealt)
+    rows = rows.join(small(plan.select(f"{own_}s", F.col("blocks").alias(f"{own_}k")), BROADCAST_ROWS), f"{own_}s").withColumn(f"{own_}b", F.pmod(F.pmod(f"{own_}h", F.lit(BLOCKS)), F.col(f"{own_}k"))).drop(f"{own_}k")
+    named = blocks.select(f"{own_}s", F.col("block").alias(f"{own_}b"), "repeat_rate", *(F.col(c).alias(f"{own_}{c}") for c in ("full", "rest", "before", "part")))
+    rows = rows.join(small(named, BROADCAST_ROWS), [f"{own_}s", f"{own_}b"])
+    last = F.col(f"{own_}full") - F.when(F.col(f"{own_}part") == "all", 0).otherwise(1)
     complete = rows.filter(last >= 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), last)))
-    running = Window.partitionBy("__s", "__b").orderBy("__h")
-    edge = rows.filter(F.col("__part") == "edge").withColumn("__used", F.sum(tokens(F.col(text_col))).over(running))
-    edge = edge.filter(F.col("__before") + F.col("__used") <= F.col("__rest")).withColumn("epoch", F.col("__full")).drop("__used")
+    running = Window.partitionBy(f"{own_}s", f"{own_}b").orderBy(f"{own_}h")
+    edge = rows.filter(F.col(f"{own_}part") == "edge").withColumn(f"{own_}used", F.sum(tokens(F.col(text_col))).over(running))
+    edge = edge.filter(F.col(f"{own_}before") + F.col(f"{own_}used") <= F.col(f"{own_}rest")).withColumn("epoch", F.col(f"{own_}full")).drop(f"{own_}used")
     out = complete.unionByName(edge)
-    turn = F.pmod(F.xxhash64("__b", "epoch", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    turn = F.pmod(F.xxhash64(f"{own_}b", "epoch", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
     place = F.least(F.lit(1.0), (F.col("epoch") + turn) / F.greatest(F.col("repeat_rate"), F.col("epoch") + F.lit(1e-9)))
     return out.withColumn("place", place).select(*base.columns, *taken)

@@ -74,7 +74,8 @@ class QualityModel:
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> QualityModel | None:
     """Learn from texts whose id may be learnt from and has a 0/1 label; None if there is nothing to learn from.
 
-    Ids labelled more than once take their largest label. Rows with null text, id or label are not learnt from.
+    Ids labelled more than once take their largest label. Rows with null text, id or label are not learnt from. Of
+    texts with one id the one of least features is taken.
     """
     known = labels.filter(F.col(label_col).isin(0, 1) & learnable(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     chosen = None
@@ -88,10 +89,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         of = Indicators()
         return pd.Series([of(t.encode("utf-8", "replace")) for t in text])
 
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "y", features("text").alias("f")).toPandas()  # at most 2 * sample ids
+    # One row an id before anything reaches the driver: ids may repeat, and at most 2 * sample are chosen.
+    rows = texts.join(F.broadcast(chosen), "id").select("id", "y", features("text").alias("f")).groupBy("id", "y").agg(F.min("f").alias("f")).toPandas()
     if not len(rows):
         return None
-    rows = rows.sort_values("id", kind="stable").drop_duplicates("id")
+    rows = rows.sort_values("id", kind="stable")
     y = np.where(rows["y"].to_numpy() > 0, 1.0, -1.0)
     found = [np.asarray(f, np.int64) for f in rows["f"]]
     count = {s: np.ones(SIZE) for s in (-1.0, 1.0)}
