@@ -35,8 +35,9 @@ def daily_close(bars: DataFrame, *, symbol: str = "ts_code", time: str = "bucket
 
 def opening_window(bars: DataFrame, start: str = "09:30", end: str = "09:35", *, symbol: str = "ts_code", time: str = "trade_time") -> DataFrame:
     """First and last price, change and volume of the bars from start to end (both included); null change unless open is positive."""
-    clock = F.date_format(time, "HH:mm")
-    rows = bars.filter((clock >= start) & (clock <= end))
+    clock = F.hour(time) * 60 + F.minute(time)
+    minutes = lambda text: int(text[:2]) * 60 + int(text[3:5])
+    rows = bars.filter(clock.between(minutes(start), minutes(end)))
     out = rows.groupBy(symbol, F.to_date(time).alias("trade_date")).agg(F.min_by("open_li", time).alias("first_li"), F.max_by("close_li", time).alias("last_li"), F.sum("volume_hand").alias("volume_hand"))
     return out.withColumn("pct", F.when(F.col("first_li") > 0, (F.col("last_li") - F.col("first_li")) / F.col("first_li").cast("double") * 100))
 

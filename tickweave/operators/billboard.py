@@ -27,8 +27,12 @@ def top_seats(records: DataFrame, n: int = 20) -> DataFrame:
 
 
 def top_stocks(records: DataFrame, n: int = 20) -> DataFrame:
-    out = records.groupBy("stock_code").agg(F.min("stock_name").alias("stock_name"), F.countDistinct("youzi_name").alias("seats"), *(F.sum(c).alias(c) for c in ("buy_amount", "sell_amount", "net_inflow")), ordered_concat(F.col("concepts")).alias("concepts"))
-    return out.orderBy(F.desc("net_inflow"), "stock_code").limit(n)
+    sums = [F.sum(c).alias(c) for c in ("buy_amount", "sell_amount", "net_inflow")]
+    top = records.groupBy("stock_code").agg(F.min("stock_name").alias("stock_name"), *sums).orderBy(F.desc("net_inflow"), "stock_code").limit(n)
+    # Only the chosen stocks' records are looked at again for their seats and concepts: n rows are broadcast.
+    own = records.join(F.broadcast(top.select("stock_code")), "stock_code", "left_semi").select("stock_code", "youzi_name", "concepts").distinct()
+    more = own.groupBy("stock_code").agg(F.countDistinct("youzi_name").alias("seats"), ordered_concat(F.col("concepts")).alias("concepts"))
+    return top.join(more, "stock_code")
 
 
 def summary(records: DataFrame) -> DataFrame:
@@ -51,6 +55,11 @@ def _line(x: Column, points: list[tuple[float, float]]) -> Column:
     return out.otherwise(points[-1][1])
 
 
+def _points_of(seat: Column, tier1: list[str], tier2: list[str]) -> Column:
+    """Points of a buying record by its seat's tier."""
+    return F.when(_holds(seat, tier1), 10.0).when(_holds(seat, tier2), 5.0).otherwise(1.5)
+
+
 def quality_score(sum_points: Column) -> Column:
     """Buyer quality, 0 to 30: ten points a first-tier seat, five a second-tier, 1.5 any other buying record."""
     return F.least(sum_points, F.lit(30.0))
@@ -98,13 +107,20 @@ def bonus_score(records: Column, hot: Column, buy: Column, sell: Column) -> Colu
 def stock_scores(records: DataFrame, *, tier1: list[str], tier2: list[str], institutions: list[str], hot: list[str]) -> DataFrame:
     """The composite score of every stock from its records, in one aggregation."""
     seat, buying = F.concat_ws(" ", "youzi_name", "yingye_bu"), F.col("buy_amount") > 0
-    first, second, house = _holds(seat, tier1), _holds(seat, tier2), _holds(seat, institutions)
-    points = F.when(~buying, 0.0).when(first, 10.0).when(second, 5.0).otherwise(1.5)
-    rows = records.select("stock_code", "stock_name", "youzi_name", "buy_amount", "sell_amount", "net_inflow", points.alias("p"), (first & buying).alias("f"), (house & buying).alias("h"), (~house & buying).alias("o"), F.size(F.filter(comma_list(F.coalesce("concepts", F.lit(""))), lambda c: _holds(c, hot))).alias("c"))
-    g = rows.groupBy("stock_code").agg(
-        F.min("stock_name").alias("stock_name"), F.sum("p").alias("points"), F.sum("net_inflow").alias("net_inflow"), F.sum("buy_amount").alias("buy_amount"), F.sum("sell_amount").alias("sell_amount"),
-        F.countDistinct("youzi_name").alias("seats"), F.count("*").alias("records"), F.count_if("h").alias("institution_count"), F.count_if("o").alias("other_buyers"), F.count_if("f").alias("tier1_count"), F.sum("c").alias("hot"),
+    first, house = _holds(seat, tier1), _holds(seat, institutions)
+    # Records come down to stock and seat, and to stock and concepts, before words are looked for.
+    amounts = ("buy_amount", "sell_amount", "net_inflow")
+    by_seat = records.groupBy("stock_code", "youzi_name", "yingye_bu", buying.alias("__buying")).agg(F.min("stock_name").alias("stock_name"), F.count("*").alias("n"), *(F.sum(c).alias(c) for c in amounts))
+    buys = F.when(F.col("__buying"), F.col("n")).otherwise(0)
+    marked = by_seat.select("stock_code", "stock_name", "youzi_name", "n", *amounts, (_points_of(seat, tier1, tier2) * buys).alias("p"), F.when(first, buys).otherwise(0).alias("f"), F.when(house, buys).otherwise(0).alias("h"), F.when(~house, buys).otherwise(0).alias("o"))
+    g = marked.groupBy("stock_code").agg(
+        F.min("stock_name").alias("stock_name"), F.sum("p").alias("points"), *(F.sum(c).alias(c) for c in amounts), F.countDistinct("youzi_name").alias("seats"),
+        F.sum("n").alias("records"), F.sum("h").alias("institution_count"), F.sum("o").alias("other_buyers"), F.sum("f").alias("tier1_count"),
     )
+    listed = records.groupBy("stock_code", F.coalesce("concepts", F.lit("")).alias("c")).agg(F.count("*").alias("n"))
+    warm = F.size(F.filter(comma_list(F.col("c")), lambda c: _holds(c, hot)))
+    heat = listed.groupBy(F.col("stock_code").alias("__code")).agg(F.sum(warm * F.col("n")).alias("hot"))
+    g = g.join(heat, F.col("stock_code").eqNullSafe(F.col("__code")))
     buy, sell = F.col("buy_amount").cast("double"), F.col("sell_amount").cast("double")
     g = g.withColumns(
         {

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.codes import any_date
 from .windows import by, islands
 
 
@@ -81,3 +82,12 @@ def dataset_stats(datasets: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """First and last day and rows of many tables, a row each."""
     parts = [df.agg(F.lit(name).alias("dataset"), F.min(F.to_date(time)).alias("first_day"), F.max(F.to_date(time)).alias("last_day"), F.count("*").alias("rows")) for name, (df, time) in datasets.items()]
     return reduce(DataFrame.unionByName, parts)
+
+
+def calendar_rows(raw: DataFrame, *, day: str = "cal_date", open_flag: str = "is_open") -> DataFrame:
+    """Calendar rows from vendor records: dates in three shapes, 1 and true are open; rows without a date are dropped.
+
+    To keep a calendar up to date, put these into it by ``cal_date`` (``sinks.merged`` or ``sinks.Table.upsert``).
+    """
+    flag = F.lower(F.trim(F.col(open_flag).cast("string")))
+    return raw.select(any_date(F.col(day).cast("string")).alias("cal_date"), F.coalesce(flag.isin("1", "true"), F.lit(False)).alias("is_trading")).filter("cal_date is not null")

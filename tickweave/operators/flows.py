@@ -19,7 +19,8 @@ def net_flows(flows: DataFrame, n: int | None = None, *, symbol: str = "ts_code"
 
 def main_ratio(main: Column, total: Column) -> Column:
     """Main flow as a share, as text; ``N/A`` without a total."""
-    return F.coalesce(F.format_string("%.2f%%", F.try_divide(main.cast("double"), total.cast("double")) * 100), F.lit("N/A"))
+    share = F.try_divide(main.cast("double"), total.cast("double")) * 100
+    return F.when(share.isNotNull(), F.format_string("%.2f%%", share)).otherwise("N/A")
 
 
 def chip_changes(costs: DataFrame, *, symbol: str = "ts_code", time: str = "trade_date", price: str | None = None) -> DataFrame:
@@ -57,3 +58,14 @@ def chip_changes(costs: DataFrame, *, symbol: str = "ts_code", time: str = "trad
     b = F.col("behaviour")
     g = g.withColumn("behaviour_label", F.when(b >= 3, "accumulating").when(b >= 1, "perhaps accumulating").when(b <= -3, "distributing").when(b <= -1, "perhaps distributing").otherwise("consolidating"))
     return g.select(symbol, "days", *change, "concentration", "concentration_label", "peak_direction", "peak_speed", "behaviour", "behaviour_label")
+
+
+def with_close(flows: DataFrame, quotes: DataFrame, *, symbol: str = "ts_code", time: str = "trade_date", close: str = "close_li", change: str = "pct_chg") -> DataFrame:
+    """Flow rows with the close and change of their day, where there is a quote."""
+    return flows.join(quotes.select(symbol, time, close, change), [symbol, time], "left")
+
+
+def liquidity(basics: DataFrame, daily: DataFrame, n: int = 5, *, symbol: str = "ts_code", time: str = "trade_date", columns: list[str]) -> DataFrame:
+    """The last n rows of valuation data of each symbol, with columns of the day's bar where there is one."""
+    last = latest(basics, n, key=symbol, order=[F.desc(time)])
+    return last.join(daily.select(symbol, time, *columns), [symbol, time], "left")

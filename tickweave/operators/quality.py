@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .windows import fill, outliers, pct_change
@@ -27,9 +27,11 @@ def missing_dates(df: DataFrame, calendar: DataFrame | None = None, *, symbol: s
     """Per instrument the days of a calendar (or of any instrument) that it lacks: their count and the first ones."""
     have = df.select(symbol, F.to_date(time).alias(day)).distinct()
     days = have.select(day).distinct() if calendar is None else calendar.select(day).distinct()
-    lacking = have.select(symbol).distinct().crossJoin(days).join(have, [symbol, day], "left_anti")  # instruments by days, as the report asks
-    ranked = lacking.withColumn("__r", F.row_number().over(Window.partitionBy(symbol).orderBy(day)))
-    return ranked.groupBy(symbol).agg(F.count("*").alias("missing"), F.concat_ws(",", F.array_sort(F.collect_list(F.when(F.col("__r") <= shown, F.col(day).cast("string"))))).alias("first_missing"))
+    every = days.agg(F.array_sort(F.collect_list(day)).alias("__days"))  # one row: the calendar, some 250 days a year
+    own = have.groupBy(symbol).agg(F.collect_set(day).alias("__own")).crossJoin(F.broadcast(every))
+    lacking = own.select(symbol, F.array_except("__days", "__own").alias("__lacking")).filter(F.size("__lacking") > 0)
+    first = F.transform(F.slice("__lacking", 1, shown), lambda x: x.cast("string"))
+    return lacking.select(symbol, F.size("__lacking").cast("long").alias("missing"), F.array_join(first, ",").alias("first_missing"))
 
 
 def fill_suspension(df: DataFrame, *, price: str = "ffill", volume: str = "zero", symbol: str = "instrument", time: str = "datetime") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import ordered_concat
+from .universe import resolve_column
 from .windows import by, latest
 
 
@@ -81,3 +82,30 @@ def indicator_pivot(df: DataFrame, periods: list[str], indicators: list[str], *,
     """Wide period columns to a row for each period, with a column for each chosen indicator."""
     long = df.filter(F.col(name).isin(indicators)).unpivot([name], periods, "period", "value")
     return long.groupBy("period").pivot(name, indicators).agg(F.first("value"))
+
+
+def top_by_flow(df: DataFrame, n: int, *, patterns: list[str], tie: str) -> DataFrame:
+    """The n rows of largest flow, nulls last; without a column that a pattern names, the first n by the tie column."""
+    column = resolve_column(df, patterns)
+    order = [F.col(tie)] if column is None else [F.desc_nulls_last(column), F.col(tie)]
+    return df.orderBy(*order).limit(n)
+
+
+def top_movers(df: DataFrame, n: int, *, by_amount: bool = False, change: str = "pct_chg", amount: str = "amount_li", tie: str = "ts_code") -> DataFrame:
+    """The n stocks of largest change, or of largest amount."""
+    return df.orderBy(F.desc_nulls_last(amount if by_amount else change), tie).limit(n)
+
+
+def northbound(flows: DataFrame, n: int = 20, *, time: str = "trade_date", value: str = "net") -> DataFrame:
+    """The last n days of a flow, newest first by ``rank``; the row of rank 1 is the latest, with the sum over all n."""
+    days = flows.orderBy(F.desc(time)).limit(n).withColumn("__k", F.lit(1))
+    rows = latest(days, n, key="__k", order=[F.desc(time)], rank="rank").drop("__k")
+    total = rows.agg(F.sum(value).alias(f"{value}_sum"))
+    return rows.crossJoin(F.broadcast(total))  # one row
+
+
+def news_within(news: DataFrame, now: str, hours: int, *, limit: int, time: str = "publish_time", important: str = "is_important", tie: str = "id") -> DataFrame:
+    """News of the last hours, important ones first, then the newest."""
+    at = F.lit(now).cast("timestamp")
+    rows = news.filter((F.col(time) <= at) & (F.col(time) >= at - F.make_dt_interval(hours=F.lit(hours))))
+    return newest(rows, time=time, tie=tie, limit=limit, first=[F.desc(F.col(important))])

@@ -92,3 +92,12 @@ def opening_screen(day: DataFrame, basics: DataFrame, averages: DataFrame, flows
     rows = day.join(basics, symbol).join(averages, symbol, "left").join(flows, symbol, "left")
     rows, _, _ = threshold_chain(rows, rules)
     return rows.orderBy(F.desc_nulls_last("pct_chg"), symbol).limit(n)
+
+
+def screen_summary(df: DataFrame, *, flow: str, change: str, industry: str, n: int = 10) -> DataFrame:
+    """One row: stocks, sum and mean of a flow, mean, least and largest change, and the n commonest industries with their counts."""
+    one = df.agg(F.count("*").alias("stocks"), F.sum(flow).alias("flow_sum"), F.avg(flow).alias("flow_mean"), F.avg(change).alias("change_mean"), F.min(change).alias("change_min"), F.max(change).alias("change_max"))
+    common = df.filter(F.col(industry).isNotNull()).groupBy(industry).agg(F.count("*").alias("c")).orderBy(F.desc("c"), industry).limit(n)
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), F.col(industry).alias("name"))))  # n rows
+    text = common.agg(F.array_join(F.transform(ordered, lambda x: F.concat(x["name"], F.lit(":"), (-x["c"]).cast("string"))), ",").alias("industries"))
+    return one.crossJoin(F.broadcast(text))  # one row

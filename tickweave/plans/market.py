@@ -125,15 +125,19 @@ def a2_latest_factor(spark, d):
     return prices.latest_factor(c.adj_factor(spark, d))
 
 
+_F32 = lambda x, name: r6(f"CAST({x} AS FLOAT)::DOUBLE", name)
+
+
 @query(
     "a3_adjusted_panel",
     f"""WITH {FACTORS}, f AS (SELECT ts_code, trade_date, adj_factor / max(adj_factor) OVER (PARTITION BY ts_code) AS factor FROM factors)
-    SELECT {day("trade_date", "datetime")}, ts_code AS instrument, {r6("CAST(close_li / 1000.0::DOUBLE * factor AS FLOAT)::DOUBLE", "close")}, {r6("CAST(factor AS FLOAT)::DOUBLE", "factor")} FROM bars JOIN f USING (ts_code, trade_date)""",
+    SELECT {day("trade_date", "datetime")}, ts_code AS instrument, {", ".join(_F32(f"{k}_li / 1000.0::DOUBLE * factor", k) for k in ("open", "high", "low", "close"))},
+    {_F32("volume_hand * 100 / factor", "volume")}, {_F32("factor", "factor")}, {_F32("amount_li / 1000.0::DOUBLE", "amount")} FROM bars JOIN f USING (ts_code, trade_date)""",
 )
 def a3_adjusted_panel(spark, d):
     f = prices.forward_factor(c.adj_factor(spark, d))
     out = prices.adjusted_panel(prices.with_factor(c.daily_bars(spark, d), f))
-    return out.select("datetime", "instrument", F.col("`$close`").alias("close"), F.col("`$factor`").alias("factor"))
+    return out.select("datetime", "instrument", *(F.col(f"`${k}`").alias(k) for k in ("open", "high", "low", "close", "volume", "factor", "amount")))
 
 
 @query(
@@ -148,9 +152,12 @@ def a5_adjusted_series(spark, d):
     return prices.adjusted_series(c.daily_bars(spark, d), f).select("ts_code", "trade_date", "close_qfq", "close_hfq", "volume_hand")
 
 
-@query("a6_flow_panel", f"WITH {FLOWS} SELECT {day('trade_date', 'datetime')}, ts_code AS instrument, buy_sm_vol * 100 AS mf_sm_buy_vol, sell_elg_amount * 10000 AS mf_elg_sell_amt, net_mf_vol * 100 AS mf_net_vol, net_mf_amount * 10000 AS mf_net_amt FROM flows")
+_FLOW_COLUMNS = {f"mf_{size}_{side}_{short}": f"{side}_{size}_{kind} * {unit}" for size in ("sm", "md", "lg", "elg") for side in ("buy", "sell") for kind, short, unit in (("vol", "vol", 100), ("amount", "amt", 10000))}
+
+
+@query("a6_flow_panel", f"WITH {FLOWS} SELECT {day('trade_date', 'datetime')}, ts_code AS instrument, {', '.join(f'{v} AS {k}' for k, v in _FLOW_COLUMNS.items())}, net_mf_vol * 100 AS mf_net_vol, net_mf_amount * 10000 AS mf_net_amt FROM flows")
 def a6_flow_panel(spark, d):
-    return prices.flow_panel(c.money_flow(spark, d)).select("datetime", "instrument", "mf_sm_buy_vol", "mf_elg_sell_amt", "mf_net_vol", "mf_net_amt")
+    return prices.flow_panel(c.money_flow(spark, d))
 
 
 @query("a8_resample_15m", f"WITH {MINUTES} SELECT ts_code, {ts('time_bucket(INTERVAL 15 MINUTE, trade_time)', 'bucket')}, arg_min(open_li, trade_time) AS open_li, max(high_li) AS high_li, min(low_li) AS low_li, arg_max(close_li, trade_time) AS close_li, CAST(sum(volume_hand) AS BIGINT) AS volume_hand, CAST(sum(amount_li) AS BIGINT) AS amount_li, '15m' AS freq FROM minutes GROUP BY ts_code, time_bucket(INTERVAL 15 MINUTE, trade_time)")
@@ -245,12 +252,12 @@ def a21_concepts(spark, d):
           CASE WHEN ib > 0 AND ob > 0 THEN 15 WHEN ib > 0 THEN least(8 + ib * 2, 12) WHEN ob > 0 THEN least(5 + ob, 10) ELSE 0 END AS ins,
           least(10, CASE WHEN n = 1 THEN 3 WHEN n = 2 THEN 2.5 WHEN n = 3 THEN 2 WHEN n <= 5 THEN 1.5 ELSE 1 END + least(hot * 0.3, 3) + least(2, n - 1)
                 + CASE WHEN buy <= 0 THEN 0 WHEN buy / (sell + 1) >= 10 THEN 2 WHEN buy / (sell + 1) >= 5 THEN 1.5 WHEN buy / (sell + 1) >= 3 THEN 1 ELSE 0 END) AS bo FROM g)
-    SELECT stock_code, seats, ib AS institution_count, tc AS tier1_count, round((cq + inf + pr + ins + bo)::DOUBLE, 4) + 0.0 AS score FROM p""",
+    SELECT stock_code, seats, ib AS institution_count, tc AS tier1_count, round(cq::DOUBLE, 6) + 0.0 AS capital_quality, round(inf::DOUBLE, 6) + 0.0 AS inflow, round(pr::DOUBLE, 6) + 0.0 AS sell_pressure, ins::DOUBLE AS institutions, round(bo::DOUBLE, 6) + 0.0 AS bonus, round((cq + inf + pr + ins + bo)::DOUBLE, 4) + 0.0 AS score FROM p""",
 )
 def c7_stock_scores(spark, d):
     records = c.billboard(spark, d)
     scored = billboard.stock_scores(records, tier1=["0001", "0002"], tier2=["0003"], institutions=["0004"], hot=["STEEL", "TIN"])
-    return scored.select("stock_code", "seats", "institution_count", "tier1_count", "score")
+    return scored.drop("stock_name")
 
 
 # --- indicators and windows -----------------------------------------------------------------------------------------
@@ -259,14 +266,34 @@ def w1_moving_averages(spark, d):
     return indicators.moving_averages(panel(spark, d)).select("symbol", "t", "ma5", "ma10", "ma20", "ma60")
 
 
-@query("w3_rsi")
+def _smoothed(x: str, a: float, n: str, w: str) -> str:
+    """An exponential mean in closed form: the first value and the later ones weighted by powers of 1 - a, over a window."""
+    q = f"(1 - {a!r}::DOUBLE)"
+    return f"(power({q}, {n}) * sum(CASE WHEN {n} = 0 THEN {x} ELSE {a!r}::DOUBLE * ({x}) * power({q}, -{n}) END) OVER {w})"
+
+
+_RUN = "(PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+@query(
+    "w3_rsi",
+    f"""WITH {PANEL}, l AS (SELECT symbol, t, close - lag(close) OVER (PARTITION BY symbol ORDER BY t) AS x, row_number() OVER (PARTITION BY symbol ORDER BY t) - 1 AS n FROM p),
+    s AS (SELECT symbol, t, n, {_smoothed("greatest(coalesce(x, 0), 0)", 1 / 14, "n", _RUN)} AS up, {_smoothed("greatest(coalesce(-x, 0), 0)", 1 / 14, "n", _RUN)} AS down FROM l)
+    SELECT symbol, {day("t")}, CASE WHEN n >= 13 THEN round(CASE WHEN down = 0 THEN 100 ELSE 100 - 100 / (1 + up / down) END, 3) + 0.0 END AS rsi FROM s""",
+)
 def w3_rsi(spark, d):
-    return indicators.rsi(panel(spark, d)).select("symbol", "t", "rsi")
+    return indicators.rsi(panel(spark, d)).select("symbol", "t", F.round("rsi", 3).alias("rsi"))
 
 
-@query("w4_macd")
+@query(
+    "w4_macd",
+    f"""WITH {PANEL}, l AS (SELECT symbol, t, close, row_number() OVER (PARTITION BY symbol ORDER BY t) - 1 AS n FROM p),
+    e AS (SELECT symbol, t, n, {_smoothed("close", 2 / 13, "n", _RUN)} - {_smoothed("close", 2 / 27, "n", _RUN)} AS line FROM l),
+    m AS (SELECT symbol, t, line, n - 25 AS m FROM e WHERE n >= 25), g AS (SELECT symbol, t, m, line, {_smoothed("line", 2 / 10, "m", _RUN)} AS mean FROM m)
+    SELECT symbol, {day("t")}, round(line, 3) + 0.0 AS macd, CASE WHEN m >= 8 THEN round(mean, 3) + 0.0 END AS macd_signal, CASE WHEN m >= 8 THEN round(line - mean, 3) + 0.0 END AS macd_hist FROM l LEFT JOIN g USING (symbol, t)""",
+)
 def w4_macd(spark, d):
-    return indicators.macd(panel(spark, d)).select("symbol", "t", "macd", "macd_signal", "macd_hist")
+    return indicators.macd(panel(spark, d)).select("symbol", "t", *(F.round(k, 3).alias(k) for k in ("macd", "macd_signal", "macd_hist")))
 
 
 W20 = "(PARTITION BY symbol ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
@@ -305,9 +332,19 @@ def w9_arbr(spark, d):
     return indicators.arbr_signals(indicators.arbr(panel(spark, d))).select("symbol", "t", F.round("ar", 4).alias("ar"), F.round("br", 4).alias("br"), "signal")
 
 
-@query("w10_arbr_summary")
+_ARBR_STATS = ", ".join(f"round({f}({k}), 4) + 0.0 AS {k}_{name}" for k in ("ar", "br") for name, f in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max")))
+
+
+@query(
+    "w10_arbr_summary",
+    f"""WITH {ARBR}, marks AS (SELECT *, sign(CASE WHEN ar > 150 THEN -1 WHEN ar < 70 THEN 1 ELSE 0 END + CASE WHEN br > 300 THEN -1 WHEN br < 50 THEN 1 ELSE 0 END) AS g FROM ab WHERE ar IS NOT NULL AND br IS NOT NULL)
+    SELECT symbol, count(*) AS rows, count(*) FILTER (WHERE g = 1) AS buys, count(*) FILTER (WHERE g = -1) AS sells, count(*) FILTER (WHERE g = 0) AS neutrals, {_ARBR_STATS}, {r6("count(*) FILTER (WHERE g = 1) / count(*)::DOUBLE", "buys_ratio")},
+    CASE WHEN avg(ar) > 180 THEN 'extremely overbought' WHEN avg(ar) > 150 THEN 'overbought' WHEN avg(ar) < 40 THEN 'extremely oversold' WHEN avg(ar) < 70 THEN 'oversold' ELSE 'normal' END AS label FROM marks GROUP BY 1""",
+)
 def w10_arbr_summary(spark, d):
-    return indicators.arbr_summary(indicators.arbr_signals(indicators.arbr(panel(spark, d))))
+    out = indicators.arbr_summary(indicators.arbr_signals(indicators.arbr(panel(spark, d))))
+    rounded = {f"{k}_{name}": F.round(f"{k}_{name}", 4) for k in ("ar", "br") for name in ("mean", "std", "min", "max")}
+    return out.withColumns(rounded).drop("sells_ratio", "neutrals_ratio")
 
 
 @query("w12_log_return", f"WITH {PANEL} SELECT symbol, {day('t')}, {r6('ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY t))', 'log_return')} FROM p")
@@ -369,9 +406,16 @@ def w22_sequences(spark, d):
     return out.select("symbol", "t", F.size("x").alias("steps"), F.round(total, 4).alias("x_sum"), F.round(F.col("x")[0][0], 4).alias("x_first"), "y")
 
 
-@query("w23_last_sequence", f"WITH {PANEL} SELECT symbol, {day('max(t)', 't')}, 10 AS steps FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY t DESC) <= 10) GROUP BY symbol HAVING count(*) = 10")
+@query(
+    "w23_last_sequence",
+    f"""WITH {PANEL}, z AS (SELECT symbol, t, (close - avg(close) OVER w) / (stddev_pop(close) OVER w + 1e-8) AS a, (volume - avg(volume) OVER w) / (stddev_pop(volume) OVER w + 1e-8) AS b FROM p WINDOW w AS (PARTITION BY symbol)),
+    l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t DESC) AS r FROM z QUALIFY r <= 10)
+    SELECT symbol, {day("max(t)", "t")}, count(*) AS steps, {r6("arg_max(a, t)", "last_close")}, {r6("arg_min(b, t)", "first_volume")}, round(sum(a * (11 - r)), 4) + 0.0 AS weighted_close FROM l GROUP BY symbol HAVING count(*) = 10""",
+)
 def w23_last_sequence(spark, d):
-    return sequences.last_sequence(panel(spark, d), ["close", "volume"], 10).select("symbol", "t", F.size("x").alias("steps"))
+    out = sequences.last_sequence(panel(spark, d), ["close", "volume"], 10)
+    weighted = F.aggregate(F.transform("x", lambda v, i: v[0] * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return out.select("symbol", "t", F.size("x").cast("long").alias("steps"), F.element_at(F.element_at("x", -1), 1).alias("last_close"), F.col("x")[0][1].alias("first_volume"), F.round(weighted, 4).alias("weighted_close"))
 
 
 STATIC = f"""{BARS}, r AS (SELECT ts_code, amount_li, ln(close_li / CAST(lag(close_li) OVER (PARTITION BY ts_code ORDER BY trade_date) AS DOUBLE)) AS lr FROM bars),

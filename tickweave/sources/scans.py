@@ -19,16 +19,26 @@ def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def on_days(time: str, start: str, end: str) -> Column:
+    """Times from the first to the last of some days: a range of the stored column, which reaches the files."""
+    first, after = F.lit(start).cast("date"), F.date_add(F.lit(end).cast("date"), 1)
+    return (F.col(time) >= first.cast("timestamp")) & (F.col(time) < after.cast("timestamp"))
+
+
 def codes_and_dates(df: DataFrame, codes: list[str] | DataFrame | None, start: str, end: str, *, symbol: str = "ts_code", day: str = "trade_date") -> DataFrame:
     """Rows of some codes between two dates, both included: daily bars, boards, members, minute bars by their date partition."""
-    rows = df.filter(F.col(day).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    return of_codes(df.filter(F.col(day).between(F.lit(start).cast("date"), F.lit(end).cast("date"))), codes, symbol=symbol)
+
+
+def of_codes(rows: DataFrame, codes: list[str] | DataFrame | None, *, symbol: str = "ts_code") -> DataFrame:
+    """Rows of some codes; all rows without codes."""
     if isinstance(codes, DataFrame):
         return rows.join(codes.select(symbol).distinct(), symbol, "left_semi")
     if codes is None:
         return rows
     if len(codes) <= CODES_IN_FILTER:
         return rows.filter(F.col(symbol).isin(codes))
-    wanted = df.sparkSession.createDataFrame([(c,) for c in codes], f"{symbol} string")
+    wanted = rows.sparkSession.createDataFrame([(c,) for c in codes], f"{symbol} string")
     return rows.join(wanted, symbol, "left_semi")
 
 
@@ -37,7 +47,7 @@ def minute_scan(df: DataFrame, codes: list[str] | DataFrame | None, start: str,
     rows = df.filter(F.col("freq") == freq)
     if "trade_date" in df.columns:
         return codes_and_dates(rows, codes, start, end)
-    return codes_and_dates(rows.withColumn("trade_date", F.to_date(time)), codes, start, end).drop("trade_date")
+    return of_codes(rows.filter(on_days(time, start, end)), codes)
 
 
 def board_index(df: DataFrame, start: str, end: str, kinds: list[str] | None = None) -> DataFrame:
@@ -98,6 +108,32 @@ RAW_DAILY = [
 ]
 
 
+#: Columns of vendor tables that are landed: keys, dates and texts as they are, numbers as doubles.
+_SIZES = [f"{side}_{size}_{kind}" for size in ("sm", "md", "lg", "elg") for side in ("buy", "sell") for kind in ("vol", "amount")]
+VENDOR_TABLES: dict[str, dict[str, list[str]]] = {
+    "adj_factor": {"keys": ["ts_code", "trade_date"], "numbers": ["adj_factor"]},
+    "moneyflow": {"keys": ["ts_code", "trade_date"], "numbers": [*_SIZES, "net_mf_vol", "net_mf_amount"]},
+    "moneyflow_ind": {"keys": ["ts_code", "trade_date"], "texts": ["name"], "numbers": ["pct_change", "close", "net_amount", "net_amount_rate"]},
+    "daily_basic": {"keys": ["ts_code", "trade_date"], "numbers": "close turnover_rate turnover_rate_f volume_ratio pe pe_ttm pb ps ps_ttm dv_ratio dv_ttm total_share float_share free_share total_mv circ_mv".split()},
+    "stock_basic": {"keys": ["ts_code"], "texts": "symbol name area industry market exchange list_status is_hs".split(), "dates": ["list_date", "delist_date"]},
+    "stock_st": {"keys": ["ts_code", "trade_date"], "texts": ["name", "type", "type_name"]},
+    "bak_basic": {"keys": ["ts_code", "trade_date"], "texts": ["name", "industry", "area"], "numbers": "pe float_share total_share total_assets liquid_assets fixed_assets eps bvps pb rev_yoy profit_yoy gpr npr holder_num".split(), "dates": ["list_date"]},
+    "index_basic": {"keys": ["ts_code"], "texts": "name fullname market publisher index_type category weight_rule".split(), "numbers": ["base_point"], "dates": ["base_date", "list_date", "exp_date"]},
+    "index_daily": {"keys": ["ts_code", "trade_date"], "numbers": "open high low close pre_close change pct_chg vol amount".split()},
+    "board_index": {"keys": ["ts_code", "trade_date"], "texts": ["name", "idx_type", "idx_count"], "numbers": ["total_share", "float_share", "total_mv", "float_mv"]},
+    "board_member": {"keys": ["ts_code", "con_code", "trade_date"], "texts": ["con_name"]},
+    "board_daily": {"keys": ["ts_code", "trade_date"], "numbers": "open high low close pre_close change pct_change vol amount".split()},
+}
+
+
+def vendor_fields(table: str) -> tuple[list[Field], list[str]]:
+    """Fields of a vendor table and its key columns, for ``land``."""
+    of = VENDOR_TABLES[table]
+    kinds = {c: "date" if c == "trade_date" else "string" for c in of["keys"]}
+    kinds |= {c: "string" for c in of.get("texts", [])} | {c: "date" for c in of.get("dates", [])} | {c: "double" for c in of.get("numbers", [])}
+    return [Field(c, (c,), kind) for c, kind in kinds.items()], of["keys"]
+
+
 def minute_time(day: Column, text: Column) -> Column:
     """A UTC time from a bare ``HH:MM`` or ``HH:MM:SS`` of a day at +08:00, or from ISO text (naive text is UTC)."""
     t = F.trim(text)

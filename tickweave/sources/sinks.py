@@ -1,26 +1,45 @@
 """Keyed writes, incremental state and snapshots on Parquet.
 
-A table that is changed is never read and overwritten in one plan: the new state is written beside it, and a pointer
-file that names the current version is replaced last.
+A table that is changed is never read and overwritten in one plan. A ``Table`` writes its new state beside the old one
+and names it in a new pointer file last. Tables that grow by time are put in by partition (``upsert_partitions``): only
+the partitions that a delta touches are written again, by way of a staging folder.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.windows import latest
+from .scans import on_days
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _winner(columns: list[str], order: str | None) -> list[Column]:
+    """Which of a delta's rows of one key wins: the largest order, then the largest row, so that results are always the same."""
+    row = F.to_json(F.struct(*(F.col(f"`{c}`") for c in columns)))
+    return [*([F.desc_nulls_last(order)] if order else []), F.desc(row)]
 
 
 def merged(base: DataFrame, delta: DataFrame, keys: list[str], *, order: str | None = None) -> DataFrame:
-    """Base with delta's rows put in by key, delta winning; among delta's rows of one key the largest ``order``.
+    """Base with delta's rows put in by key, delta winning; among delta's rows of one key the largest ``order``, then row.
 
     Null keys are equal to each other, unlike in an insert that ignores conflicts.
     """
     tagged = base.withColumn("__new", F.lit(0)).unionByName(delta.withColumn("__new", F.lit(1)), allowMissingColumns=True)
-    return latest(tagged, key=keys, order=[F.desc("__new"), *([F.desc_nulls_last(order)] if order else [])]).drop("__new")
+    return latest(tagged, key=keys, order=[F.desc("__new"), *_winner(delta.columns, order)]).drop("__new")
 
 
 def absent(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
@@ -46,31 +65,52 @@ def first_stored(df: DataFrame, *, id_col: str = "id") -> DataFrame:
 
 
 class Table:
-    """A Parquet table of versions below a folder; readers see the version that the pointer names."""
+    """A Parquet table of versions below a folder; readers see the version that the last pointer file names.
+
+    Pointer files are numbered and created only if absent, so of two writers at once one fails and may try again.
+    The version before stays for readers that are under way; older ones are deleted.
+    """
+
+    KEPT_VERSIONS = 2
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _pointer(self) -> DataFrame:
-        return self.spark.read.schema("n long, version string").json(f"{self.folder}/_versions")
+    def _versions(self) -> list[tuple[int, str]]:
+        """Number and version of each pointer file, oldest first: a handful."""
+        if not self.exists():
+            return []
+        rows = self.spark.read.schema("n long, version string").json(f"{self.folder}/_versions").collect()
+        return sorted((r["n"], r["version"]) for r in rows)
 
     def exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/_versions")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return _exists(self.spark, f"{self.folder}/_versions")
 
     def read(self) -> DataFrame:
-        version = self._pointer().orderBy(F.desc("n")).first()["version"]
-        return self.spark.read.parquet(f"{self.folder}/{version}")
+        if _exists(self.spark, f"{self.folder}/parts"):
+            return self.spark.read.parquet(f"{self.folder}/parts")
+        return self.spark.read.parquet(f"{self.folder}/{self._versions()[-1][1]}")
 
     def replace(self, df: DataFrame, partition_by: list[str] | None = None) -> None:
         """Write a new version, then point to it. A failed write leaves the old version current."""
-        n = (self._pointer().agg(F.max("n")).first()[0] or 0) + 1 if self.exists() else 1
+        known = self._versions()
+        n = known[-1][0] + 1 if known else 1
         version = f"v{n:08d}-{uuid.uuid4().hex[:8]}"
         df.write.partitionBy(*(partition_by or [])).parquet(f"{self.folder}/{version}")
-        self.spark.createDataFrame([(n, version)], "n long, version string").coalesce(1).write.mode("append").json(f"{self.folder}/_versions")
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/_versions/{n:08d}.json")
+        out = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(at, False)
+        out.write(bytearray(json.dumps({"n": n, "version": version}).encode()))
+        out.close()
+        for m, old in known[: -(self.KEPT_VERSIONS - 1)]:
+            _delete(self.spark, f"{self.folder}/_versions/{m:08d}.json")
+            _delete(self.spark, f"{self.folder}/{old}")
 
     def upsert(self, delta: DataFrame, keys: list[str], *, order: str | None = None) -> None:
-        self.replace(merged(self.read(), delta, keys, order=order) if self.exists() else latest(delta, key=keys, order=[F.desc(order) if order else F.lit(1)]))
+        self.replace(merged(self.read(), delta, keys, order=order) if self.exists() else latest(delta, key=keys, order=_winner(delta.columns, order)))
+
+    def put(self, delta: DataFrame, keys: list[str], *, partition: str, order: str | None = None) -> None:
+        """Put rows in by key where the table is kept by a partition column and not by versions."""
+        upsert_partitions(delta, f"{self.folder}/parts", keys, partition=partition, order=order)
 
     def insert_absent(self, delta: DataFrame, keys: list[str]) -> None:
         self.replace(self.read().unionByName(absent(self.read(), delta, keys)) if self.exists() else absent(delta.limit(0), delta, keys))
@@ -80,29 +120,66 @@ class Table:
         self.replace(self.read().filter(F.col(time) >= F.lit(since).cast("timestamp")))
 
 
+def upsert_partitions(delta: DataFrame, folder: str, keys: list[str], *, partition: str, order: str | None = None) -> None:
+    """Put rows into a table by key, reading and writing only the partitions that they touch.
+
+    A key belongs to one partition. A delta that comes twice changes nothing. A run that fails while it stages leaves
+    the table as it was; one that fails while it puts the partitions in is mended by the same delta again.
+    """
+    spark = delta.sparkSession
+    if not _exists(spark, folder):
+        latest(delta, key=keys, order=_winner(delta.columns, order)).repartition(partition).write.partitionBy(partition).parquet(folder)
+        return
+    touched = delta.select(partition).distinct()
+    old = spark.read.parquet(folder).withColumn(partition, F.col(partition).cast(delta.schema[partition].dataType)).join(touched, partition, "left_semi")
+    staging = f"{folder.rstrip('/')}-staging-{uuid.uuid4().hex}"
+    merged(old.select(*delta.columns), delta, keys, order=order).write.parquet(staging)
+    spark.read.parquet(staging).repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(folder)
+    _delete(spark, staging)
+
+
 def instrument_spans(bars: DataFrame, *, symbol: str = "instrument", time: str = "datetime") -> DataFrame:
     return bars.groupBy(symbol).agg(F.min(F.to_date(time)).alias("first_day"), F.max(F.to_date(time)).alias("last_day"))
 
 
-def write_snapshot(bars: DataFrame, folder: str, *, name: str, symbol: str = "instrument", time: str = "datetime") -> None:
-    """bars/ (by date), instruments/, calendars/ and meta/ of a snapshot."""
-    bars.withColumn("date", F.to_date(time)).write.mode("overwrite").partitionBy("date").parquet(f"{folder}/bars")
-    stored = bars.sparkSession.read.parquet(f"{folder}/bars")
+def write_snapshot(bars: DataFrame, folder: str, *, name: str, symbol: str = "instrument", time: str = "datetime", grain: str = "day") -> None:
+    """bars/ (by ``date``), instruments/, calendars/ and meta/ of a snapshot. Daily bars, few a day, may go by ``month``."""
+    bars.withColumn("date", F.date_trunc(grain, time).cast("date")).repartition("date").write.mode("overwrite").partitionBy("date").parquet(f"{folder}/bars")
+    _describe_snapshot(bars.sparkSession, folder, name=name, symbol=symbol, time=time)
+
+
+def _describe_snapshot(spark: SparkSession, folder: str, *, name: str, symbol: str, time: str) -> None:
+    """Spans, calendar and meta of the bars that a snapshot holds."""
+    stored = spark.read.parquet(f"{folder}/bars")
     instrument_spans(stored, symbol=symbol, time=time).write.mode("overwrite").parquet(f"{folder}/instruments")
-    stored.select("date").distinct().write.mode("overwrite").parquet(f"{folder}/calendars")
-    meta = stored.agg(F.lit(name).alias("snapshot"), F.count("*").alias("rows"), F.min("date").alias("first_day"), F.max("date").alias("last_day"))
+    day = F.to_date(time)
+    stored.select(day.alias("date")).distinct().write.mode("overwrite").parquet(f"{folder}/calendars")
+    meta = stored.agg(F.lit(name).alias("snapshot"), F.count("*").alias("rows"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
     meta.write.mode("overwrite").parquet(f"{folder}/meta")
 
 
-def append_snapshot(delta: DataFrame, folder: str, keys: list[str], *, time: str = "datetime") -> None:
-    """Put new rows into a snapshot by key; only the date partitions that they touch are written again, by way of a staging folder."""
+def append_snapshot(delta: DataFrame, folder: str, keys: list[str], *, symbol: str = "instrument", time: str = "datetime", grain: str = "day") -> None:
+    """Put new rows into a snapshot by key, their partitions only, and describe it anew; ``grain`` as it was written with."""
     spark = delta.sparkSession
-    new = delta.withColumn("date", F.to_date(time))
-    touched = new.select("date").distinct()
-    old = spark.read.parquet(f"{folder}/bars").join(touched, "date", "left_semi")
-    staging = f"{folder}/_staging-{uuid.uuid4().hex}"
-    merged(old.select(*new.columns), new, keys).write.parquet(staging)
-    spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(f"{folder}/bars")
+    name = spark.read.parquet(f"{folder}/meta").first()["snapshot"]  # one row
+    upsert_partitions(delta.withColumn("date", F.date_trunc(grain, time).cast("date")), f"{folder}/bars", keys, partition="date")
+    _describe_snapshot(spark, folder, name=name, symbol=symbol, time=time)
+
+
+def watermark(state: DataFrame, snapshot: str, kind: str) -> DataFrame:
+    """The state row of a snapshot's data type, or none."""
+    return state.filter((F.col("snapshot_id") == snapshot) & (F.col("data_type") == kind))
+
+
+def with_watermark(state: DataFrame, new: DataFrame) -> DataFrame:
+    """State with the last times of some snapshots and data types set."""
+    return merged(state, new, ["snapshot_id", "data_type"], order="last_datetime")
+
+
+def without_watermark(state: DataFrame, snapshot: str, kind: str | None = None) -> DataFrame:
+    """State without a snapshot, or without one of its data types."""
+    gone = F.col("snapshot_id") == snapshot
+    return state.filter(~(gone if kind is None else gone & (F.col("data_type") == kind)))
 
 
 def export_start(state: DataFrame, snapshot: str, kind: str, end: str, *, step: str = "1 day", back_days: int = 30) -> DataFrame:
@@ -143,14 +220,10 @@ def latest_capture(captures: DataFrame, *, since: str | None = None) -> DataFram
 
 
 def day_check(bars: DataFrame, day: str, *, symbol: str = "ts_code", time: str = "trade_time") -> DataFrame:
-    rows = bars.filter(F.to_date(time) == F.lit(day).cast("date"))
+    rows = bars.filter(on_days(time, day, day))
     return rows.groupBy(symbol).agg(F.count("*").alias("rows"), F.min(time).alias("first_time"), F.max(time).alias("last_time"))
 
 
 def without_day(bars: DataFrame, day: str, *, time: str = "trade_time") -> DataFrame:
     """Everything but one day, for loading that day anew."""
-    return bars.filter(F.col(time).isNull() | (F.to_date(time) != F.lit(day).cast("date")))
-
-
-
-
+    return bars.filter(F.col(time).isNull() | ~on_days(time, day, day))

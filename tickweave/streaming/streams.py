@@ -47,14 +47,17 @@ def news_stream(news: DataFrame, delay: str = "2 days") -> DataFrame:
 def bucket_sink(ticks: Table, buckets: Table, minutes: int = 5) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: store the batch's ticks, then compute the buckets that it touches from all stored ticks.
 
-    A batch that is delivered again changes nothing, as both tables are written by key.
+    Both tables are kept by ``date``; a batch reads and writes the days that it touches, whatever the history. A batch
+    that is delivered again changes nothing, as both tables are written by key.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        ticks.upsert(batch, ["symbol", "seq"])
-        touched = batch.select("symbol", F.to_date("time").alias("__d")).distinct()
-        rows = ticks.read().withColumn("__d", F.to_date("time")).join(touched, ["symbol", "__d"], "left_semi").drop("__d")
-        buckets.upsert(tick_buckets(rows, minutes), ["symbol", "bucket_start_time"])
+        batch = batch.withColumn("date", F.to_date("time"))
+        ticks.put(batch, ["symbol", "seq", "date"], partition="date")
+        touched = batch.select("date", "symbol").distinct()
+        rows = ticks.read().join(touched, ["date", "symbol"], "left_semi").drop("date")
+        made = tick_buckets(rows, minutes).withColumn("date", F.to_date("bucket_start_time"))
+        buckets.put(made, ["symbol", "bucket_start_time"], partition="date")
 
     return run
 
