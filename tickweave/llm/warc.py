@@ -1,8 +1,7 @@
 """Deterministic sharded WARC writer, and its reader.
 
-Each record (regenerated headers with digests, and the payload) is compressed as a gzip member of its own where its
-row is read. The compressed records are range-sorted by id and each range is one task, which appends them to files and
-rolls to the next file by compressed size. A file is written under a temporary name, closed, and renamed to a name
+Rows are range-sorted by id and each range is one task, which compresses each record (regenerated headers with digests,
+and the payload) as a gzip member of its own, appends it to files and rolls to the next file by compressed size. A file is written under a temporary name, closed, and renamed to a name
 that only depends on its range and number; the task returns a line of the manifest for it. The manifest is written
 last, so an archive without one is unfinished, and a reader opens only the files that it lists. A task that runs again
 writes the same bytes under the same names.
@@ -91,7 +90,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, urls, payloads, digests, refers = (batch.column(i).to_pylist() for i in range(5))
         made = [record(p, u, x, d, r) for p, u, x, d, r in zip(ids, urls, payloads, digests, refers, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(urls, pa.string()), pa.array(made, pa.binary())], ["page_id", "url", "record"])
+        yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["record"])
 
 
 def _writer(folder: str, roll: int):
@@ -149,9 +148,9 @@ def write_warc(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_co
     # Copies that revisit another row, by row and digest: the two together name a record also where ids repeat.
     copies = keep(long.join(first, "digest").filter("page_id <> refers_to"), "warc-copies")
     rows = rows.join(small(copies, BROADCAST_ROWS), ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
-    made = rows.mapInArrow(_records, "page_id long, url string, record binary")
+    # Ranges are sampled from plain rows, and records are compressed once, where they are written.
     ranges = max(1, -(-pages.count() // RANGE_RECORDS))
-    placed = made.repartitionByRange(ranges, "page_id", "url").sortWithinPartitions("page_id", "url", "record").select("record")
+    placed = rows.repartitionByRange(ranges, "page_id", "url").sortWithinPartitions("page_id", "url", "digest").mapInArrow(_records, "record binary")
     system, base = _folder(folder)
     system.create_dir(base, recursive=True)
     kinds = "file string, part int, number int, records long, bytes long, sha256 string"
