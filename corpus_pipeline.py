@@ -1,7 +1,11 @@
 """The corpus pipeline: five stages over ``documents``, each an operator of ``tickweave.llm``.
 
 A stage is written as Parquet and read again as the next stage's input; ``run`` does the same through the folder that
-the cluster shares. Stages keep the columns of documents, the last adds those of the mix.
+the cluster shares. Stages keep all columns of their input, whatever their names; the last adds those of the mix.
+
+All stages take empty tables (and give empty ones), texts of any length, repeated rows (each is judged by itself, but of
+a group of near copies one row stays) and rows with null ids, which are kept or dropped by their text alone. A null text
+is judged as an empty one.
 """
 
 from __future__ import annotations
@@ -21,22 +25,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on their labels, predicts to be good."""
+    """Documents that the classifier, fitted on their labels, predicts to be good: a score from ``quality.THRESHOLD`` on.
+
+    Without labelled texts of both kinds nothing is known against a document, and all stay.
+    """
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
     return docs.filter(quality.scorer(spark, model)(F.col("text")) >= quality.THRESHOLD)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that could be determined."""
-    predict = langid.predictor(spark, langid.fit(docs))
-    found = docs.withColumn("__language", predict(F.col("text")))
-    return found.filter((F.col("__language.lang") != langid.UNDETERMINED) & (F.col("__language.score") >= LANGUAGE_SCORE)).drop("__language")
+    """Documents in a language that could be determined, with a score of at least LANGUAGE_SCORE.
+
+    Null texts and texts without a letter have none and go, as do all where there is no language to learn from.
+    """
+    predict, at = langid.predictor(spark, langid.fit(docs)), common.unused(docs, "language")
+    found = docs.withColumn(at, predict(F.col("text")))
+    return found.filter((F.col(f"{at}.lang") != langid.UNDETERMINED) & (F.col(f"{at}.score") >= LANGUAGE_SCORE)).drop(at)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least id; of rows that share that id, one.
 
-    Documents with a null id are in no group and stay.
+    Documents with a null id are in no group and stay. Documents without words are linked with nothing and stay.
     """
     groups = ngram_join.ngram_join(docs)
     stays = common.keep(groups.filter("doc_id = component_id").select("doc_id").distinct(), "pipeline-stays")
@@ -49,12 +59,19 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark, within the edits that ``decontaminate`` allows.
+
+    Null and empty texts hold none; empty and null items are in no document.
+    """
     return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources brought half the way to equal weights, each repeated four times at most, in as many words as came in."""
+    """Sources brought half the way to equal weights, each repeated four times at most, in as many words as came in.
+
+    A null source is a source of its own; one without any words has no weight and is left out. Columns named ``epoch``,
+    ``place`` and ``repeat_rate`` are replaced.
+    """
     return mixing.mix(docs)
 
 
