@@ -85,6 +85,17 @@ QUERIES = {
     "op10_language": op10_language,
 }
 ORACLES: dict[str, str] = {
+    "op2_ngram_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                  ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+        e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS an, b.n AS bn, count(*) AS o FROM e AS a JOIN e AS b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p WHERE 100 * o >= 75 * (an + bn - o)),
+        links AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r AS (SELECT doc_id, doc_id AS root FROM s UNION SELECT links.b, r.root FROM r JOIN links ON links.a = r.doc_id)
+        SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, (SELECT min(root) FROM r WHERE r.doc_id = s.doc_id) AS component_id FROM s
+    """,
     "op6_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
                    FROM embeddings
