@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tickweave.llm import decontaminate, licenses, mixing
+from tickweave.llm import common, decontaminate, licenses, mixing
 
 
 def edit_search(pattern, text):
@@ -58,8 +58,34 @@ def test_matches_equal_brute_force(spark):
 def test_items_in_blocks_give_the_same(spark, monkeypatch):
     docs, items = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     one = sorted(map(tuple, decontaminate.decontaminate(docs, items).collect()))
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 4000)
+    kept = sorted(r["doc_id"] for r in decontaminate.clean(docs, items).collect())
+    length = items.selectExpr("sum(length(text))").first()[0]
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", length)
     assert one == sorted(map(tuple, decontaminate.decontaminate(docs, items).collect())) and one
+    stage = common.keep(docs, "stage")
+    rows = decontaminate.clean(stage, items)
+    assert rows.columns == docs.columns and kept == sorted(r["doc_id"] for r in rows.collect())
+    assert stage.count() == docs.count()  # the caller's own table stays
+
+
+def test_one_block_of_items_is_held_at_a_time(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta epsilon"), (2, "nothing of the kind"), (3, "zeta eta theta iota kappa lambda")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "beta gamma delta epsilon"), (2, "eta theta iota kappa"), (3, None)], "item_id bigint, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 10)
+    held, made = set(), spark.sparkContext.broadcast
+
+    def broadcast(value):
+        shared = made(value)
+        held.add(id(shared))
+        assert len(held) == 1
+        end = shared.destroy
+        shared.destroy = lambda *a: (held.discard(id(shared)), end(*a))
+        return shared
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    assert sorted(map(tuple, decontaminate.decontaminate(docs, items).select("doc_id", "item_id", "distance").collect())) == [(1, 1, 0), (3, 2, 0)]
+    assert [r["doc_id"] for r in decontaminate.clean(docs, items).collect()] == [2]
+    assert not held
 
 
 def test_licenses_are_found_wherever_they_stand(spark):

@@ -5,22 +5,28 @@ An item of m folded characters may be matched with k = m // chars_per_error edit
 edits cannot touch all of them, so any match holds one piece exactly. One Aho-Corasick automaton finds all pieces in a
 text, and Myers' bit-parallel algorithm verifies each place, giving the exact edit distance.
 
-Items go to the tasks in blocks of at most BLOCK_CHARS characters; each block is one more pass of the same scan.
+Items go to the tasks in blocks of about BLOCK_CHARS characters at most. One block is one lazy pass; of more, each is a
+pass of its own whose result is written before the next block is read, so that neither the driver nor a task ever holds
+more than one block.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import forget, keep
+
 #: One edit is allowed for so many folded characters of an item (rounded down).
 CHARS_PER_ERROR = 16
-#: Folded characters of items that one pass carries, a bound on what is broadcast.
+#: Characters of items that one pass carries, a bound on what is collected and broadcast.
 BLOCK_CHARS = 2_000_000
 _OTHERS = re.compile(r"[\W_]+")
 
@@ -106,25 +112,18 @@ class Matcher:
         return sorted((i, d, end) for i, (d, end) in found.items())
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str):
-    """Folded items with their ids, in lists of at most BLOCK_CHARS characters or one item each."""
-    rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text is not null")
+def _block_count(rows: DataFrame) -> int:
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-total * 2 // BLOCK_CHARS))
-    for block in range(n):
-        by: dict[str, list] = defaultdict(list)
-        for r in rows.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == block).collect():
-            if key := fold(r["text"]):
-                by[key].append(r["id"])
-        yield [(key, sorted(set(by[key]), key=lambda x: (x is None, x))) for key in sorted(by)]
+    return max(1, -(-total * 2 // BLOCK_CHARS))
 
 
-def matches(spark, items: DataFrame, *, id_col: str = "item_id", text_col: str = "text", chars_per_error: int = CHARS_PER_ERROR):
-    """A column function text -> array of (item, distance, end)."""
+def _passes(items: DataFrame, id_col: str, text_col: str, chars_per_error: int) -> Iterator[tuple[Callable, Broadcast, bool]]:
+    """For each block of items a function text -> array of (item, distance, end), its broadcast, and whether there are more blocks."""
     kind = T.ArrayType(T.StructType([T.StructField("item", T.LongType()), T.StructField("distance", T.IntegerType()), T.StructField("end", T.LongType())]))
+    rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text is not null")
+    n = _block_count(rows)
 
-    def of_block(block):
-        shared = spark.sparkContext.broadcast(block)
+    def finder(shared: Broadcast) -> Callable:
         made: list[Matcher] = []
 
         @F.pandas_udf(kind)
@@ -136,13 +135,13 @@ def matches(spark, items: DataFrame, *, id_col: str = "item_id", text_col: str =
 
         return find
 
-    finders = [of_block(b) for b in _blocks(items, id_col, text_col)]
-
-    def column(text: Column) -> Column:
-        got = [f(text) for f in finders]
-        return got[0] if len(got) == 1 else F.concat(*got)
-
-    return column
+    for block in range(n):
+        by: dict[str, list] = defaultdict(list)
+        for r in rows.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == block).collect():
+            if key := fold(r["text"]):
+                by[key].append(r["id"])
+        shared = items.sparkSession.sparkContext.broadcast([(key, sorted(set(by[key]), key=lambda x: (x is None, x))) for key in sorted(by)])
+        yield finder(shared), shared, n > 1
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", chars_per_error: int = CHARS_PER_ERROR) -> DataFrame:
@@ -153,12 +152,25 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     items are matched each; repeated texts give repeated rows; ties between places go to the first. Rows with a null
     id are matched and returned with it. Empty tables on either side give no rows. Other columns are not read.
     """
-    find = matches(docs.sparkSession, items, id_col=item_col, text_col=item_text_col, chars_per_error=chars_per_error)
-    found = docs.select(F.col(id_col), find(F.col(text_col)).alias("found")).filter(F.size("found") > 0)
-    return found.select(id_col, F.explode("found").alias("m")).select(id_col, F.col("m.item").alias("item_id"), F.col("m.distance").alias("distance"), F.col("m.end").alias("end"))
+    out = None
+    for find, shared, more in _passes(items, item_col, item_text_col, chars_per_error):
+        found = docs.select(F.col(id_col), find(F.col(text_col)).alias("found")).filter(F.size("found") > 0)
+        found = found.select(id_col, F.explode("found").alias("m")).select(id_col, F.col("m.item").alias("item_id"), F.col("m.distance").alias("distance"), F.col("m.end").alias("end"))
+        if more:
+            found = keep(found, "decontaminate-found")
+            shared.destroy()
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def clean(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", chars_per_error: int = CHARS_PER_ERROR) -> DataFrame:
-    """The rows of docs that hold no test item, with their columns."""
-    find = matches(docs.sparkSession, items, id_col=item_col, text_col=item_text_col, chars_per_error=chars_per_error)
-    return docs.filter(F.size(find(F.col(text_col))) == 0)
+    """The rows of docs that hold no test item, with their columns. Of several blocks each sees what the last one kept."""
+    rows, before = docs, None
+    for find, shared, more in _passes(items, item_col, item_text_col, chars_per_error):
+        rows = rows.filter(F.size(find(F.col(text_col))) == 0)
+        if more:
+            rows = keep(rows, "decontaminate-clean")
+            shared.destroy()
+            forget(before)
+            before = rows
+    return rows
