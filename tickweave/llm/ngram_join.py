@@ -142,9 +142,7 @@ def _entries(common, taken: frozenset[int], limit: int, num: int, den: int):
     """Rows of list entries: a set's subsets (kind 1) or its prefix in the order (kind 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranked = common.value
-        order = np.argsort(ranked[0], kind="stable")
-        known, rank = ranked[0][order], ranked[1][order]
+        known, rank = common.value
         seen: set[int] = set()
         for batch in batches:
             rows: list[tuple] = []
@@ -399,8 +397,10 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     sets = keep(rows.filter("n > 0 and id is not null").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").cast("int").alias("n")), "distinct-sets")
 
     common = first.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(MOST_COMMON).toPandas()
-    table = np.stack([common["id"].to_numpy(np.int64).view(np.uint64), common["n"].rank(method="first").to_numpy(np.uint64) if len(common) else np.zeros(0, np.uint64)])
-    shared = spark.sparkContext.broadcast(table)
+    # Sorted here once, as every worker holds it: the shingles and their ranks, rarest first.
+    tokens = common["id"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(tokens, kind="stable")
+    shared = spark.sparkContext.broadcast((tokens[order], common["n"].rank(method="first").to_numpy(np.uint32)[order]))
     counted = first.filter("kind = 2").agg(F.sum(F.col("id").cast("double")), F.sum("n")).first()
     length = counted[0] / counted[1] if counted[1] else 1.0
     sizes = {r[0]: r[1] for r in sets.filter(F.col("n") <= 2 * LARGEST_SMALL).groupBy("n").count().collect()}
@@ -416,6 +416,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     lists = lists.groupBy("key", "sid").agg(F.min("about").alias("about")).select("key", *_unpacked())
     lists = lists.withColumn("c", F.count("*").over(together)).withColumn("centre", F.min(F.struct("own", "sid", "n")).over(together))
     lists = keep(lists.filter("heavy or c > 1").drop("key"), "lists")
+    shared.destroy()
 
     # Per set, how many shingles of its prefix other sets share. Sets that name subsets are not told apart by it.
     shared_of = lists.groupBy("sid").agg(F.first("n").alias("n"), F.when(F.max("kind") == 1, F.first("n")).otherwise(F.count("*")).cast("int").alias("c"))
