@@ -22,6 +22,9 @@ COLUMNS = {
     "op8_chat": {"conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"},
     "op9_warc": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
     "op10_language": {"doc_id", "held_out", "lang_pred", "score"},
+    "op11_divergence": {"lang", "source", "part", "item", "value", "rank"},
+    "op12_filter_audit": {"part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"},
+    "op13_line_dedup": {"doc_id", "n_lines", "n_dropped", "kept_sha256"},
 }
 
 

@@ -1,22 +1,26 @@
 """Source divergence audit: how far the term shares of sources lie apart, by three-dimensional cube partitioning.
 
-Terms are counted by language and source in one pass over the texts. The kept terms of a language are dealt into term
-blocks, its sources into group blocks. A cell of the cube is a pair of group blocks and a term block: a task has the
-slices of these sources in this term block, as dense integers, and gives the partial divergence of each pair. A slice is
-copied to as many cells as there are group blocks. Partial divergences are summed along the term axis. All is counted
-in integers, so results do not depend on how the cube is cut.
+Two passes over the texts count terms: the documents of a language that hold each, which tells the kept ones, then their
+occurrences in each source; between them stands a Bloom filter of the kept terms, so that rare terms, most of all, are
+never shuffled with their source. The kept terms of a language are dealt into term blocks, its sources into group
+blocks. A cell of the cube is a pair of group blocks and a term block: a task has the slices of these sources in this
+term block, as dense integers, and gives the partial divergence of each pair. A slice is copied to as many cells as
+there are group blocks. Partial divergences are summed along the term axis. All is counted in integers, so results do
+not depend on how the cube is cut.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bloom import Bits, filter_of
 from .common import PIECE_BYTES, forget, keep, raw_texts, small
 
 #: Fixed values of the shares: what each count is raised by, and the whole that they are parts of.
@@ -24,7 +28,7 @@ PRIOR, SCALE = 5, 1_000_000_000
 #: Sources and kept terms of a block, on average: a cell compares so many by so many over so many.
 GROUP_BLOCK, TERM_BLOCK = 16, 512
 #: Terms of all sources that a task counts before it passes the counts on, and rows of a batch of them.
-FLUSH, BATCH = 200_000, 20_000
+FLUSH, BATCH = 500_000, 20_000
 #: Rows of the tables of sources, languages and blocks that may be broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -43,29 +47,28 @@ def terms(raw: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of each term in each source, and documents that hold it; '' stands for the source itself."""
-    counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+def _rows(names: list[str], of: tuple[str, ...], found: list[bytes], *counts: Counter) -> Iterator[pa.RecordBatch]:
+    for some in (found[i : i + BATCH] for i in range(0, len(found), BATCH)):
+        fixed = [pa.array([x] * len(some), pa.string()) for x in of]
+        numbers = [pa.array([c[t] for t in some], pa.int64()) for c in counts]
+        yield pa.RecordBatch.from_arrays([*fixed, pa.array(some, pa.binary()).cast(pa.string()), *numbers], names)
+
+
+def _count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of a language that hold each term."""
+    docs: dict[str, Counter] = {}
     size = 0
 
     def rows() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, docs) in counts.items():
-            found = list(n)
-            for some in (found[i : i + BATCH] for i in range(0, len(found), BATCH)):
-                of = [pa.array([x] * len(some), pa.string()) for x in (lang, source)]
-                numbers = [pa.array([c[t] for t in some], pa.int64()) for c in (n, docs)]
-                yield pa.RecordBatch.from_arrays([*of, pa.array(some, pa.binary()).cast(pa.string()), *numbers], ["lang", "source", "term", "n", "docs"])
-        counts.clear()
+        for lang, n in docs.items():
+            yield from _rows(["lang", "term", "docs"], (lang,), list(n), n)
+        docs.clear()
 
     for batch in batches:
-        langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for lang, source, raw in zip(langs, sources, raw_texts(batch.column(2)), strict=True):
-            n, docs = counts.setdefault((lang, source), (Counter({b"": 0}), Counter()))
-            before, seen = len(n), set()
-            for piece in terms(raw):
-                n.update(piece)
-                seen.update(piece)
-            docs.update(seen)
+        for lang, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
+            n = docs.setdefault(lang, Counter())
+            before = len(n)
+            n.update(set().union(*terms(raw)))
             size += len(n) - before
             if size >= FLUSH:
                 yield from rows()
@@ -73,6 +76,37 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows()
 
 
+def _count_kept(kept) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Occurrences in each source of the terms that a filter knows; '' stands for the source itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Bits.of(kept.value)
+        counts: dict[tuple[str, str], Counter] = {}
+        size = 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for (lang, source), n in counts.items():
+                found, seed = list(n), xxhash.xxh64_intdigest(lang.encode(), 42)
+                hashes = np.fromiter((xxhash.xxh64_intdigest(t, seed) for t in found), np.uint64, len(found))
+                found = [found[i] for i in np.flatnonzero(known.holds(hashes))]
+                yield from _rows(["lang", "source", "term", "n"], (lang, source), [b"", *found], n)
+            counts.clear()
+
+        for batch in batches:
+            for lang, source, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2)), strict=True):
+                n = counts.setdefault((lang, source), Counter())
+                before = len(n)
+                for piece in terms(raw):
+                    n.update(piece)
+                size += len(n) - before
+                if size >= FLUSH:
+                    yield from rows()
+                    size = 0
+        yield from rows()
+
+    return run
+
+
 def _share(n: Column, total: Column, kept: Column) -> Column:
     """1 + floor(SCALE * (n + PRIOR) / (total + PRIOR * kept)), in exact decimals."""
     wide = lambda c: c.cast("decimal(20,0)")
@@ -120,11 +154,14 @@ def source_divergence(docs: DataFrame, *, least_docs: int = 30, top: int = 50, g
     taken whole; other columns are ignored. An empty table gives no rows.
     """
     rows = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    counted = rows.mapInArrow(_count, "lang string, source string, term string, n long, docs long")
-    counts = keep(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "divergence-counts")
-    words = counts.filter("term <> ''")
-    kept = words.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).filter(F.col("docs") >= least_docs).drop("docs")
-    kept = keep(kept, "divergence-kept")
+    held = rows.select("lang", "text").mapInArrow(_count_documents, "lang string, term string, docs long")
+    common = keep(held.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs).select("lang", "term"), "divergence-terms")
+    known = docs.sparkSession.sparkContext.broadcast(filter_of(common.select(F.xxhash64("lang", "term").alias("h"))))  # of fixed size
+    counted = rows.mapInArrow(_count_kept(known), "lang string, source string, term string, n long")
+    counts = keep(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), "divergence-counts")
+    words = counts.filter("term <> ''").join(common, ["lang", "term"], "left_semi")
+    kept = keep(words.groupBy("lang", "term").agg(F.sum("n").alias("lang_n")), "divergence-kept")
+    forget(common)
 
     # Languages with their kept terms and blocks; kept terms with their block and place in it.
     sources = counts.filter("term = ''").select("lang", "source")
@@ -133,14 +170,13 @@ def source_divergence(docs: DataFrame, *, least_docs: int = 30, top: int = 50, g
     langs = keep(langs.withColumn("term_blocks", F.greatest(F.lit(1), F.ceil(F.col("v") / term_block)).cast("int")), "divergence-langs")
     named = kept.join(small(langs.select("lang", "term_blocks"), BROADCAST_ROWS), "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.col("term_blocks")).cast("int")).drop("term_blocks")
     named = named.withColumn("at", F.row_number().over(Window.partitionBy("lang", "block").orderBy("term")) - 1)
-    entries = keep(words.drop("docs").join(named, ["lang", "term"]), "divergence-entries")
-    forget(kept)
+    entries = keep(counts.join(named, ["lang", "term"]), "divergence-entries")
 
     total = entries.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = sources.join(total, ["lang", "source"], "left").na.fill(0, ["total"]).join(small(langs, BROADCAST_ROWS), "lang")
     groups = groups.withColumn("own", F.pmod(F.xxhash64("source"), F.col("group_blocks")).cast("int"))
     groups = keep(groups.withColumn("rest", F.when(F.col("v") > 0, _share(F.lit(0), F.col("total"), F.col("v"))).otherwise(0).cast("long")), "divergence-groups")
-    forget(counts)
+    forget(counts, kept)
     shares = entries.join(small(groups.select("lang", "source", "total", "v", "lang_total"), BROADCAST_ROWS), ["lang", "source"])
     shares = shares.withColumn("share", _share(F.col("n"), F.col("total"), F.col("v")))
 

@@ -10,7 +10,6 @@ the exact count clears again; past some hundred million lines nearly all lines a
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
@@ -20,12 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bloom import BITS, SEGMENT_BITS, Bits, pack, unpack
 from .common import forget, keep, raw_texts
 
-#: Bits of a filter: the most that a task holds twice and the driver broadcasts once is an eighth of that, 16 MB.
-BITS = 1 << 27
-#: A line's three bits lie in one segment of so many bits, by which filters are merged.
-SEGMENT_BITS = 1 << 16
 #: Suspects that a task counts before it passes the counts on, and rows of a batch.
 FLUSH, BATCH = 100_000, 1000
 #: Confirmed lines whose digests (16 bytes each) every task may hold; beyond, decisions are joined to the documents.
@@ -45,32 +41,9 @@ def hashes(found: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in found), np.uint64, len(found))
 
 
-class Bits:
-    """A Bloom filter in segments; a hash names a segment by its upper bits and three bits of it by its lower ones."""
-
-    def __init__(self, raw: np.ndarray) -> None:
-        self.raw = raw
-        self.segments = np.uint64(len(raw) * 8 // SEGMENT_BITS)
-
-    def _places(self, h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        base = ((h >> np.uint64(48)) % self.segments) * np.uint64(SEGMENT_BITS // 8)
-        bits = [(h >> np.uint64(s)) & np.uint64(SEGMENT_BITS - 1) for s in (0, 16, 32)]
-        return [((base + (b >> np.uint64(3))).astype(np.int64), np.uint8(1) << (b & np.uint64(7)).astype(np.uint8)) for b in bits]
-
-    def holds(self, h: np.ndarray) -> np.ndarray:
-        out = np.ones(len(h), bool)
-        for at, bit in self._places(h):
-            out &= (self.raw[at] & bit) != 0
-        return out
-
-    def add(self, h: np.ndarray) -> None:
-        for at, bit in self._places(h):
-            np.bitwise_or.at(self.raw, at, bit)
-
-
 def _filters(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = Bits(np.zeros(bits // 8, np.uint8)), Bits(np.zeros(bits // 8, np.uint8))
+        once, twice = Bits(bits), Bits(bits)
         for batch in batches:
             for texts in (batch.column(0).slice(i, BATCH) for i in range(0, batch.num_rows, BATCH)):
                 found = [h for raw in raw_texts(texts) if len(h := hashes(list({k for k in keys(raw) if k})))]
@@ -78,42 +51,31 @@ def _filters(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                     h, n = np.unique(np.concatenate(found), return_counts=True)
                     twice.add(h[once.holds(h) | (n > 1)])
                     once.add(h)
-        size = SEGMENT_BITS // 8
-        parts = once.raw.reshape(-1, size), twice.raw.reshape(-1, size)
+        parts = once.parts(), twice.parts()
         used = np.flatnonzero(parts[0].any(axis=1))
-        for some in (used[i : i + 256] for i in range(0, len(used), 256)):
-            packed = [pa.array([zlib.compress(p[i].tobytes(), 1) for i in some], pa.binary()) for p in parts]
+        for some in (used[i : i + 64] for i in range(0, len(used), 64)):
+            packed = [pa.array([pack(p[i]) for i in some], pa.binary()) for p in parts]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *packed], ["segment", "once", "twice"])
 
     return run
 
 
-def _merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     once, twice = np.zeros(SEGMENT_BITS // 8, np.uint8), np.zeros(SEGMENT_BITS // 8, np.uint8)
     for batch in batches:
         for a, b in zip(batch.column("once").to_pylist(), batch.column("twice").to_pylist(), strict=True):
-            a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
+            a, b = unpack(a), unpack(b)
             twice |= b | (once & a)
             once |= a
     if twice.any():
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())], ["segment", "twice"])
-
-
-_merge.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-
-
-def _unpacked(segments: list[tuple[int, bytes]], bits: int) -> Bits:
-    raw = np.zeros(bits // 8, np.uint8)
-    for i, packed in segments:
-        raw[i * SEGMENT_BITS // 8 : (i + 1) * SEGMENT_BITS // 8] = np.frombuffer(zlib.decompress(packed), np.uint8)
-    return Bits(raw)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([pack(twice)], pa.binary())], ["segment", "twice"])
 
 
 def _suspects(twice, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Digests of suspected lines with the documents of this task that hold them, and the first place of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, kind = _unpacked(twice.value, bits), pa.null()
+        known, kind = Bits.of(twice.value, bits), pa.null()
         held: dict[bytes, list] = {}  # documents, and the first place: whether the id is null, id, line
 
         def rows() -> pa.RecordBatch:
@@ -159,7 +121,7 @@ def _drop_known(twice, bits: int, confirmed, keep_first: bool) -> Callable[[Iter
     """Drop the lines whose digest is confirmed; ``confirmed`` has sorted digests and the first place of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (digests, firsts) = _unpacked(twice.value, bits), confirmed.value
+        known, (digests, firsts) = Bits.of(twice.value, bits), confirmed.value
         for big in batches:
             for batch in (big.slice(i, BATCH) for i in range(0, big.num_rows, BATCH)):
                 decided = []
@@ -179,7 +141,7 @@ def _places(twice, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     """Row, line and digest of every suspected line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _unpacked(twice.value, bits)
+        known = Bits.of(twice.value, bits)
         for big in batches:
             for batch in (big.slice(i, BATCH) for i in range(0, big.num_rows, BATCH)):
                 out = []
