@@ -117,16 +117,22 @@ def test_alerts_at_59_60_and_61_minutes(spark):
     assert sorted((r["time"] - at).seconds // 60 for r in streams.alerts(found).collect()) == [0, 60, 121]
 
 
-def test_alert_stream_equals_batch(spark, tmp_path):
+def test_alert_stream_equals_batch_over_a_restart(spark, tmp_path):
     at = dt.datetime(2025, 1, 1, 9)
-    rows = [(s, "entry", at + dt.timedelta(minutes=m), float(m)) for s in "ab" for m in (0, 10, 61, 70, 125, 300)]
-    found = spark.createDataFrame(rows, "symbol string, kind string, time timestamp, price double")
-    found.repartition(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(found.schema).parquet(f"{tmp_path}/in")
-    run = streams.alert_stream(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    run.awaitTermination()
-    got = spark.read.schema(found.schema).parquet(f"{tmp_path}/out")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, streams.alerts(found).collect()))
+    minutes = [0, 10, 61, 70, 62, 125, 119, 300, 301, 362]
+    quotes = [(s, at + dt.timedelta(minutes=m), 1.0 + m % 3 / 10) for s in "ab" for m in minutes]
+    schema = "symbol string, time timestamp, price double"
+    monitors = spark.createDataFrame([("a", 1.0, 2.0, 9.0, 0.5, True), ("b", 1.0, 2.0, 9.0, 0.5, True)], "symbol string, entry_min double, entry_max double, take_profit double, stop_loss double, notification_enabled boolean")
+    files = [quotes[:3] + quotes[10:12], quotes[3:5] + quotes[12:16], quotes[5:10] + quotes[16:], [("b", at - dt.timedelta(days=1), 1.0)], [("z", at + dt.timedelta(days=3), 1.0)]]
+    for some in (files[:2], files[2:]):
+        for rows in some:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        with streams.keyed_state(spark):
+            run = streams.alert_stream(stream, monitors, "90 minutes").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        run.awaitTermination()
+    got = spark.read.schema("symbol string, kind string, time timestamp, price double").parquet(f"{tmp_path}/out")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, streams.alerts(streams.triggers(spark.createDataFrame(quotes, schema), monitors)).collect()))
 
 
 def test_bucket_sink_equals_batch_and_replays(spark, tmp_path):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("market", "market_more", "market_proof")
+MODULES = ("market", "market_more", "market_proof", "market_store")
 
 
 def _merged(name: str) -> dict:

@@ -1,19 +1,22 @@
 """Streams: buckets, live bars, news without repeats, alerts and due checks.
 
 Additive aggregates run as windows with a watermark. What needs the order of trades within a bucket is computed again
-for the buckets that a micro-batch touches. Alerts keep a time for each stock and kind in keyed state.
+for the buckets that a micro-batch touches. Alerts keep their last time and what waits for the watermark in keyed state.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..operators.orderflow import SHARES, tick_buckets
+from ..sources.keyed import KeyedStore
 from ..sources.sinks import Table, merged
 
 #: Minutes in which an alert of one kind for one stock is not repeated.
@@ -39,9 +42,33 @@ def live_bars(ticks: DataFrame, minutes: int, delay: str = "10 minutes") -> Data
 
 
 def news_stream(news: DataFrame, delay: str = "2 days") -> DataFrame:
-    """News without repeats of (source, external id, time); items without an external id go by their title."""
+    """News without what arrived already within ``delay``, by (source, external id, time); without an id, by title.
+
+    The state goes by the time of arrival, so that late news are not lost. What comes again after the delay comes
+    through, and is stopped by the keys that ``news_sink`` has stored.
+    """
     keyed = news.withColumn("dedup_id", F.coalesce("external_id", F.concat(F.lit("title:"), F.coalesce("title", F.lit("")))))
-    return keyed.withWatermark("publish_time", delay).dropDuplicatesWithinWatermark(["source", "dedup_id", "publish_time"]).drop("dedup_id")
+    arrived = keyed.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", delay)
+    return arrived.dropDuplicatesWithinWatermark(["source", "dedup_id", "publish_time"]).drop("arrived")
+
+
+def news_store(spark: SparkSession, folder: str) -> KeyedStore:
+    """Where ``news_sink`` stores news: by day, each key once for all time."""
+    return KeyedStore(spark, folder, ["source", "dedup_id", "publish_time"], partition="day")
+
+
+def news_sink(store: KeyedStore, most_pieces: int = 64) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` behind ``news_stream``: add a batch's news that are not stored yet.
+
+    A batch reads only the stored days whose filters hold one of its keys, and writes only what is new; one that is
+    delivered again, or repeats news of any age, writes nothing.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        store.insert(batch.withColumn("day", F.to_date("publish_time")))
+        store.compact(most_pieces)
+
+    return run
 
 
 def bucket_sink(ticks: Table, buckets: Table, minutes: int = 5) -> Callable[[DataFrame, int], None]:
@@ -82,23 +109,78 @@ def quiet(times: list[int], last: int | None, minutes: int = QUIET_MINUTES) -> t
     return told, last
 
 
-def _suppress(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    rows = pd.concat(list(batches)).sort_values(["time", "price"], kind="stable")
-    last = state.get[0] if state.exists else None
-    told, last = quiet([t.value // 1000 for t in rows["time"]], last)
-    if last is not None:
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + QUIET_MINUTES * 60_000 + 1)
-    yield rows[told][["symbol", "kind", "time", "price"]]
+class QuietAlerts(StatefulProcessor):
+    """Tells one stock's triggers of one kind in the order of their time, with QUIET_MINUTES after each that is told.
 
+    A trigger waits in state until the watermark has passed its time; no earlier one can come then, so what is told
+    depends neither on micro-batches nor on the order within them. One state value holds the last time told and the
+    waiting triggers, at most those of the watermark's delay; a timer stands at the first of them, and then where the
+    quiet time ends and the state can go.
+    """
 
-def alert_stream(found: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Alerts of a stream of triggers, each stock and kind at most once in QUIET_MINUTES; state goes after that time."""
-    keyed = found.withWatermark("time", delay).groupBy("symbol", "kind")
-    return keyed.applyInPandasWithState(_suppress, "symbol string, kind string, time timestamp, price double", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("alerts", "last long, times array<long>, prices array<double>")
+
+    def _store(self, last: int | None, waiting: dict[int, float], watermark: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if not waiting and (last is None or last + QUIET_MINUTES * 60_000_000 <= watermark * 1000):
+            self.state.clear()
+            return
+        times = sorted(waiting)
+        self.state.update((last, times, [waiting[t] for t in times]))
+        self.handle.registerTimer(max(watermark + 1, -(-times[0] // 1000) if times else last // 1000 + QUIET_MINUTES * 60_000 + 1))
+
+    def _stored(self) -> tuple[int | None, dict[int, float]]:
+        if not self.state.exists():
+            return None, {}
+        last, times, prices = self.state.get()
+        return last, dict(zip(times, prices, strict=True))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        last, waiting = self._stored()
+        for some in rows:  # of triggers at one time the one of the least price is told
+            least = some.groupby("time")["price"].min()
+            for t, price in zip(least.index.astype("datetime64[us]").astype("int64"), least, strict=True):
+                waiting[int(t)] = min(float(price), waiting.get(int(t), float(price)))
+        self._store(last, waiting, timerValues.getCurrentWatermarkInMs())
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        last, waiting = self._stored()
+        due = sorted(t for t in waiting if t <= watermark * 1000)
+        told, last = quiet(due, last)
+        out = [t for t, ok in zip(due, told, strict=True) if ok]
+        prices = [waiting[t] for t in out]
+        for t in due:
+            del waiting[t]
+        self._store(last, waiting, watermark)
+        if out:
+            yield pd.DataFrame({"symbol": key[0], "kind": key[1], "time": pd.to_datetime(out, unit="us"), "price": prices})
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their state in the store that ``alert_stream`` needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def alert_stream(quotes: DataFrame, monitors: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Alerts of a stream of quotes, each stock and kind at most once in QUIET_MINUTES; start it within ``keyed_state``.
+
+    All quotes move the watermark, with or without an alert; an alert comes out when the watermark has passed it, so
+    after ``delay``. Quotes that come later than that are left out. State outlives restarts from the checkpoint.
+    """
+    found = triggers(quotes.withWatermark("time", delay), monitors)
+    return found.groupBy("symbol", "kind").transformWithStateInPandas(QuietAlerts(), "symbol string, kind string, time timestamp, price double", "append", "EventTime")
 
 
 def alerts(found: DataFrame) -> DataFrame:
