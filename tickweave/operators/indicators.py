@@ -1,11 +1,11 @@
-"""Technical indicators over a symbol's bars. Windows where a row frame can say it; recursions run per symbol in Arrow batches."""
+"""Technical indicators over a symbol's bars: windows where a row frame can say it, recursions as scans over blocks."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import BLOCK_DAYS, carried_lag, smoothed
 from .windows import by, latest
 
 
@@ -59,41 +59,32 @@ def arbr_summary(df: DataFrame, *, symbol: str = "symbol") -> DataFrame:
     return out.withColumn("label", F.when(F.col("ar_mean") > 180, "extremely overbought").when(F.col("ar_mean") > 150, "overbought").when(F.col("ar_mean") < 40, "extremely oversold").when(F.col("ar_mean") < 70, "oversold").otherwise("normal"))
 
 
-def _per_symbol(df: DataFrame, columns: list[str], symbol: str, time: str, make) -> DataFrame:
-    """Columns that depend on all earlier rows of a symbol. A symbol's series fits a task: one row a bar."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + "".join(f", `{c}` double" for c in columns)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time, kind="stable")
-        for name, values in make(pdf).items():
-            pdf[name] = values
-        return pdf
-
-    return df.groupBy(symbol).applyInPandas(run, kinds)
-
-
-def rsi(df: DataFrame, n: int = 14, *, value: str = "close", symbol: str = "symbol", time: str = "t") -> DataFrame:
-    """Relative strength with Wilder's smoothing (weight 1/n, started on the first change), null for the first n - 1 rows."""
-
-    def make(pdf: pd.DataFrame) -> dict:
-        change = pdf[value].astype(float).diff()
-        up, down = (x.where(x > 0, 0.0).ewm(alpha=1 / n, adjust=False, min_periods=n).mean() for x in (change, -change))
-        return {"rsi": (100 - 100 / (1 + up / down)).where(down != 0, 100.0).where(up.notna())}
-
-    return _per_symbol(df, ["rsi"], symbol, time, make)
-
-
-def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, *, value: str = "close", symbol: str = "symbol", time: str = "t") -> DataFrame:
-    """Difference of exponential means, its own mean and the rest; each null until its period is full."""
-
-    def make(pdf: pd.DataFrame) -> dict:
-        v = pdf[value].astype(float)
-        ema = lambda x, n: x.ewm(span=n, adjust=False, min_periods=n).mean()
-        line = ema(v, fast) - ema(v, slow)
-        mean = ema(line, signal)
-        return {"macd": line, "macd_signal": mean, "macd_hist": line - mean}
-
-    return _per_symbol(df, ["macd", "macd_signal", "macd_hist"], symbol, time, make)
+def rsi(df: DataFrame, n: int = 14, *, value: str = "close", symbol: str = "symbol", time: str = "t", days: int = BLOCK_DAYS) -> DataFrame:
+    """Relative strength with Wilder's smoothing (weight 1/n, started on the first change), null for the first n - 1 rows.
+
+    A missing value makes no change to it and none from it. A symbol's rows are smoothed in blocks of so many days.
+    """
+    before = carried_lag(df, value, symbol=symbol, time=time, days=days, out="__before")
+    change = F.col(value).cast("double") - F.col("__before")
+    rise = lambda x: F.when(x > 0, x).otherwise(0.0)
+    out = smoothed(before, {"__up": (rise(change), 1 / n), "__down": (rise(-change), 1 / n)}, symbol=symbol, time=time, days=days)
+    strength = F.when(F.col("__down") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("__up") / F.col("__down")))
+    return out.withColumn("rsi", F.when(F.col("__index") >= n - 1, strength)).drop("__before", "__up", "__down", "__index")
+
+
+def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, *, value: str = "close", symbol: str = "symbol", time: str = "t", days: int = BLOCK_DAYS) -> DataFrame:
+    """Difference of exponential means, its own mean and the rest; each null until its period is full.
+
+    Values are not null. A symbol's rows are smoothed in blocks of so many days.
+    """
+    weight = lambda k: 2 / (k + 1)
+    at = {"symbol": symbol, "time": time, "days": days}
+    x, least = F.col(value), max(fast, slow) - 1
+    out = smoothed(df, {"__fast": (x, weight(fast)), "__slow": (x, weight(slow))}, **at).withColumn("macd", F.when(F.col("__index") >= least, F.col("__fast") - F.col("__slow"))).drop("__fast", "__slow")
+    full = smoothed(out.filter(F.col("__index") >= least), {"macd_signal": (F.col("macd"), weight(signal))}, **at, index="__line")
+    full = full.withColumn("macd_signal", F.when(F.col("__line") >= signal - 1, F.col("macd_signal"))).withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+    short = out.filter(F.col("__index") < least).withColumns({"macd_signal": F.lit(None).cast("double"), "macd_hist": F.lit(None).cast("double")})
+    return full.drop("__index", "__line").unionByName(short.drop("__index"))
 
 
 def all_indicators(df: DataFrame, *, symbol: str = "symbol", time: str = "t") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import by
+from .windows import fill
 
 
 def forward_factor(factors: DataFrame, *, base: str = "max", base_date: str | None = None, symbol: str = "ts_code", time: str = "trade_date", value: str = "adj_factor", out: str = "factor") -> DataFrame:
@@ -57,13 +57,10 @@ def adjusted_series(bars: DataFrame, factors: DataFrame, *, symbol: str = "ts_co
     Factors are laid on the bars' dates and filled forward, then backward, then with 1. qfq is against the last factor,
     hfq against the first; prices are rounded half to even, volume stays.
     """
-    w = by(symbol, time)
     joined = bars.join(factors.select(symbol, F.col(time).cast("date").alias(time), F.col("adj_factor").alias("__a")), [symbol, time], "left")
-    forward = F.last("__a", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    backward = F.first("__a", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    joined = joined.withColumn("__f", F.coalesce(forward, backward, F.lit(1.0)))
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    joined = joined.withColumn("__q", F.col("__f") / F.last("__f").over(whole)).withColumn("__h", F.col("__f") / F.first("__f").over(whole))
+    joined = fill(joined, ["__a"], symbol=symbol, time=time, how="both").withColumn("__f", F.coalesce("__a", F.lit(1.0)))
+    ends = joined.groupBy(symbol).agg(F.min_by("__f", time).alias("__first"), F.max_by("__f", time).alias("__last"))
+    joined = joined.join(ends, symbol).withColumn("__q", F.col("__f") / F.col("__last")).withColumn("__h", F.col("__f") / F.col("__first"))
     made = [F.bround(F.col(f"{c}_li") * F.col(k)).cast("int").alias(f"{c}_{name}") for name, k in (("qfq", "__q"), ("hfq", "__h")) for c in ("open", "high", "low", "close")]
     return joined.select(symbol, time, *made, "volume_hand", "amount_li")
 

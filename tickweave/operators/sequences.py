@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import BLOCK_DAYS, carried
 from .windows import by, latest, log_return
 
 EPSILON = 1e-8
@@ -40,13 +41,15 @@ def training_set(seqs: DataFrame, static: DataFrame, *, symbol: str = "symbol")
     return seqs.join(static, symbol).join(ids, symbol)
 
 
-def as_of(left: DataFrame, right: DataFrame, *, key: str, time: str, right_time: str, values: list[str]) -> DataFrame:
-    """Each left row with the values of the latest right row at or before its time: one shuffle, no range join."""
-    a = left.select(F.lit(1).alias("__side"), F.col(key), F.col(time).alias("__t"), F.struct(*left.columns).alias("__row"), *(F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values), F.lit(None).cast("boolean").alias("__is"))
-    b = right.select(F.lit(0).alias("__side"), F.col(key), F.col(right_time).alias("__t"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), *values, F.lit(True).alias("__is"))
-    w = by(key, "__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    packed = F.when(F.col("__is"), F.struct(*values))
-    out = a.unionByName(b).withColumn("__v", F.last(packed, ignorenulls=True).over(w)).filter("__side = 1")
+def as_of(left: DataFrame, right: DataFrame, *, key: str, time: str, right_time: str, values: list[str], days: int = BLOCK_DAYS) -> DataFrame:
+    """Each left row with the values of the latest right row at or before its time: a union, and no range join.
+
+    The last right row is carried within a key's blocks of so many days, then from block to block, so that a key with a
+    long history is split. Of right rows of one key and time the largest values count.
+    """
+    a = left.select(F.lit(1).alias("__side"), F.col(key).alias("__key"), F.col(time).alias("__t"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("__right"))
+    b = right.select(F.lit(0).alias("__side"), F.col(key).alias("__key"), F.col(right_time).alias("__t"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.struct(*values).alias("__right"))
+    out = carried(a.unionByName(b), {"__v": F.col("__right")}, keys=["__key"], order=["__t", "__side", "__right"], days=days).filter("__side = 1")
     return out.select("__row.*", *(F.col(f"__v.{v}").alias(v) for v in values))
 
 

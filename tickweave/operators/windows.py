@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import BLOCK_DAYS, Ranges, carried
 
 def by(symbol: str | list[str], *order: str | Column) -> Window:
     keys = [symbol] if isinstance(symbol, str) else symbol
@@ -27,15 +28,16 @@ def log_return(df: DataFrame, *, value: str = "close", symbol: str = "symbol", t
     return df.withColumn(out, F.when((v > 0) & (prior > 0), F.log(v / prior)))
 
 
-def fill(df: DataFrame, columns: list[str], *, symbol: str = "symbol", time: str = "t", how: str = "forward") -> DataFrame:
-    """Fill nulls of columns from the last value before (``forward``), the next after (``backward``), or both in turn."""
-    w = by(symbol, time)
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    made = {}
-    for c in columns:
-        forward, backward = F.last(c, ignorenulls=True).over(before), F.first(c, ignorenulls=True).over(after)
-        made[c] = {"forward": forward, "backward": backward, "both": F.coalesce(forward, backward)}[how]
-    return df.withColumns(made)
+def fill(df: DataFrame, columns: list[str], *, symbol: str = "symbol", time: str = "t", how: str = "forward", days: int = BLOCK_DAYS) -> DataFrame:
+    """Fill nulls of columns from the last value before (``forward``), the next after (``backward``), or both in turn.
+
+    A value is carried within blocks of so many days and then from block to block; times of a symbol are distinct.
+    """
+    at = {"keys": [symbol], "order": [time], "days": days}
+    if how == "both":
+        return fill(fill(df, columns, symbol=symbol, time=time, days=days), columns, symbol=symbol, time=time, how="backward", days=days)
+    made = carried(df, {f"__fill_{c}": F.col(c) for c in columns}, forward=how == "forward", **at)
+    return made.withColumns({c: F.col(f"__fill_{c}") for c in columns}).drop(*(f"__fill_{c}" for c in columns))
 
 
 def outliers(df: DataFrame, *, value: str, symbol: str = "symbol", k: float = 10.0) -> DataFrame:
@@ -98,6 +100,9 @@ def volume_ratio(df: DataFrame, *, symbol: str = "ts_code", time: str = "trade_d
 
 
 def score_rank(df: DataFrame, *, score: str, key: str, top: int | None = None, out: str = "rank") -> DataFrame:
-    """Ranks from 1 by score and key. A total rank needs one ordered task, so give ``top`` to rank only that many rows."""
-    rows = df.orderBy(F.desc(score), key).limit(top) if top else df
+    """Ranks from 1 by score, descending, nulls last, and key. With ``top`` only so many rows are ranked; without, rows
+    are dealt into ranges of the score whose counts are added up, and each range is ordered by itself."""
+    if top is None:
+        return Ranges(df, [(score, True), (key, False)]).ranked(out)
+    rows = df.orderBy(F.desc(score), key).limit(top)
     return rows.withColumn(out, F.row_number().over(Window.orderBy(F.desc(score), key)))
