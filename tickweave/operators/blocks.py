@@ -8,6 +8,7 @@ one row a block, which is joined back. The rows are shuffled once, by symbol and
 from __future__ import annotations
 
 from math import ceil, log
+from tempfile import mkdtemp
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,54 +102,45 @@ def smoothed(df: DataFrame, series: dict[str, tuple[Column, float]], *, symbol:
     return out.drop("__block", "__n", "__chunk", "__i", "__start", *own, *(f"__k{j}" for j in range(len(chunk))))
 
 
-class Ranges:
-    """Rows dealt into ranges of a sort key by bounds that are fixed beforehand, and how many rows each range holds.
+def cut(df: DataFrame) -> DataFrame:
+    """The rows as they are now, written to the folder that the cluster shares (``spark.checkpoint.dir``).
 
-    order: (column, descending) pairs, nulls last, that leave no ties. Bounds come from a small random sample and only
-    decide how even the ranges are; whatever they are, places are exact.
+    Where that setting is absent, a local session uses a temporary folder; on a cluster that is an error.
     """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir("file://" + mkdtemp(prefix="tickweave-"))
+    return df.checkpoint()
+
 
-    RANGES, SAMPLE = 128, 20_000
+class Ranges:
+    """Rows dealt into ranges of a sort key, written once, and how many rows each range holds.
+
+    order: (column, descending) pairs, nulls last, that leave no ties. There are as many ranges as the session has
+    shuffle partitions. A row's place is its place in its range and the rows of the ranges before.
+    """
 
     def __init__(self, df: DataFrame, order: list[tuple[str, bool]]) -> None:
-        self.order = [f for c, down in order for f in ((F.col(c).isNull()).asc(), F.desc(c) if down else F.asc(c))]
-        total = df.count()
-        sample = df.select(*(c for c, _ in order))
-        sample = sample.sample(min(1.0, self.SAMPLE / max(total, 1)), seed=1).limit(2 * self.SAMPLE).orderBy(*self.order)
-        picked = sample.collect()
-        step = max(1, len(picked) // self.RANGES)
-        self.total, self.kinds = total, {f.name: f.dataType for f in df.schema.fields}
-        bounds = {tuple(r): None for r in picked[step - 1 :: step]}
-        before = [self._before(order, b) for b in bounds]
-        at = sum(before[1:], before[0]) if before else F.lit(0)
-        self.rows = df.withColumn("__range", at)
-        counts = {r["__range"]: r["count"] for r in self.rows.groupBy("__range").count().collect()}  # one a range
-        self.starts, done = {}, 0
-        for r in sorted(counts):
-            self.starts[r] = done
-            done += counts[r]
-        self.counts = counts
-
-    def _before(self, order: list[tuple[str, bool]], bound: tuple) -> Column:
-        """1 if a bound stands before a row, else 0."""
-        out = F.lit(False)
-        for (c, down), v in reversed(list(zip(order, bound, strict=True))):
-            value, col = F.lit(v).cast(self.kinds[c]), F.col(c)
-            if v is None:
-                after, same = F.lit(False), col.isNull()
-            else:
-                after, same = col.isNull() | ((col < value) if down else (col > value)), F.coalesce(col == value, F.lit(False))
-            out = F.coalesce(after, F.lit(False)) | (same & out)
-        return out.cast("int")
+        self.spark = df.sparkSession
+        self.order = [f for c, down in order for f in (F.col(c).isNull().asc(), F.desc(c) if down else F.asc(c))]
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.rows = cut(df.repartitionByRange(n, *self.order).withColumn("__range", F.spark_partition_id()))
+        self.counts = {r["__range"]: r["count"] for r in self.rows.groupBy("__range").count().collect()}  # one a range
+        self.starts, self.total = {}, 0
+        for r in sorted(self.counts):
+            self.starts[r] = self.total
+            self.total += self.counts[r]
 
     def ranked(self, out: str) -> DataFrame:
-        """All rows with their place from 1: a prefix of counts, and row numbers within a range."""
-        starts = F.element_at(F.create_map(*(F.lit(x) for r, n in self.starts.items() for x in (r, n))), F.col("__range")) if self.starts else F.lit(0)
-        place = F.row_number().over(Window.partitionBy("__range").orderBy(*self.order)) + starts
-        return self.rows.withColumn(out, place.cast("int")).drop("__range")
+        """All rows with their place from 1."""
+        starts = self.spark.createDataFrame(list(self.starts.items()), "__range int, __start long")
+        place = F.row_number().over(Window.partitionBy("__range").orderBy(*self.order)) + F.col("__start")
+        return self.rows.join(F.broadcast(starts), "__range").withColumn(out, place.cast("int")).drop("__range", "__start")  # a row a range
 
     def page(self, offset: int, limit: int) -> DataFrame:
-        """Rows from a place on: only the ranges that the page lies in are sorted."""
+        """Rows from a place on: only the ranges that the page lies in are ordered."""
         on = [r for r, n in self.starts.items() if n < offset + limit and n + self.counts[r] > offset]
         rows = self.rows.filter(F.col("__range").isin(on)) if on else self.rows.limit(0)
         return rows.orderBy(*self.order).offset(offset - (self.starts[on[0]] if on else 0)).limit(limit).drop("__range")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import any_date
+from ..sources.scans import on_days
 from .windows import by, islands
 
 
@@ -38,7 +39,7 @@ def gap_ranges(calendar: DataFrame, data: DataFrame, *, time: str, adjacent: str
 def gap_report(calendar: DataFrame, data: DataFrame, *, time: str, symbol: str, start: str, end: str) -> DataFrame:
     """One row: trading, covered and missing days of a range, ranges of missing days, distinct symbols."""
     days = open_days(calendar, start, end)
-    rows = data.filter(F.to_date(time).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    rows = data.filter(on_days(time, start, end))
     trading, covered = days.agg(F.count("*").alias("trading_days")), days_with_data(days, rows, time=time).agg(F.count("*").alias("covered_days"))
     gaps = gap_ranges(days.withColumn("is_trading", F.lit(True)), rows, time=time).agg(F.count("*").alias("gap_ranges"))
     out = trading.crossJoin(covered).crossJoin(gaps).crossJoin(rows.agg(F.countDistinct(symbol).alias("symbols")))  # one row each

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import ordered_concat
+from .blocks import Ranges
 from .universe import resolve_column
 from .windows import by, latest
 
@@ -45,17 +46,29 @@ def with_categories(items: DataFrame, bridge: DataFrame, categories: DataFrame)
     return items.join(named, "id", "left").withColumn("n_categories", F.coalesce("n_categories", F.lit(0)))
 
 
+#: Rows before a page up to which the rows of all pages so far are simply ordered.
+SHALLOW = 1000
+
+
 def page(df: DataFrame, sort: str, *, allowed: dict[str, str], tie: str, offset: int, limit: int, descending: bool = True) -> DataFrame:
-    """A page of rows by an allowed sort key, nulls last, ties by another column, with the count of all rows."""
-    column = F.col(allowed.get(sort, next(iter(allowed.values()))))
+    """A page of rows by an allowed sort key, nulls last, ties by another column, with the count of all rows.
+
+    Deep pages are looked up by counted ranges of the sort key: only the ranges that hold the page are ordered.
+    """
+    name = allowed.get(sort, next(iter(allowed.values())))
+    if offset > SHALLOW:
+        ranges = Ranges(df, [(name, descending), (tie, False)])
+        return ranges.page(offset, limit).withColumn("total", F.lit(ranges.total).cast("long"))
     total = df.agg(F.count("*").alias("total"))
-    rows = df.orderBy(F.desc_nulls_last(column) if descending else F.asc_nulls_last(column), tie).offset(offset).limit(limit)
+    rows = df.orderBy(F.desc_nulls_last(name) if descending else F.asc_nulls_last(name), tie).offset(offset).limit(limit)
     return rows.crossJoin(F.broadcast(total))  # one row
 
 
 def newest(df: DataFrame, *, time: str, tie: str, limit: int, offset: int = 0, source: str | None = None, first: list[Column] | None = None) -> DataFrame:
-    """The newest rows, of one source if given; ``first`` sorts before time."""
+    """The newest rows, of one source if given; ``first`` sorts before time. Deep pages without it go by counted ranges."""
     rows = df if source is None else df.filter(F.col("source") == source)
+    if offset > SHALLOW and not first:
+        return Ranges(rows, [(time, True), (tie, True)]).page(offset, limit)
     return rows.orderBy(*(first or []), F.desc(time), F.desc(tie)).offset(offset).limit(limit)
 
 

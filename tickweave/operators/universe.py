@@ -82,6 +82,34 @@ def keyword_search(df: DataFrame, keyword: str, columns: tuple[str, ...] = ("cod
     return df.filter(reduce(Column.__or__, (F.lower(F.col(c)).contains(word) for c in columns)))
 
 
+def _grams(text: Column) -> Column:
+    """The distinct runs of three characters of a text, in lower case; null and shorter texts have none."""
+    low = F.lower(text)
+    runs = F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: low.substr(i, F.lit(3)))
+    return F.when(F.length(low) >= 3, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def search_index(df: DataFrame, key: str, columns: tuple[str, ...] = ("code", "name")) -> DataFrame:
+    """Trigram lists of some columns: gram and key, sorted by gram so that files, once written, are skipped by it."""
+    grams = reduce(F.array_union, (_grams(F.col(c)) for c in columns))
+    rows = df.select(F.explode(grams).alias("gram"), F.col(key)).distinct()
+    return rows.repartitionByRange("gram", key).sortWithinPartitions("gram", key)
+
+
+def search_candidates(index: DataFrame, keyword: str, key: str) -> DataFrame:
+    """Keys that have every trigram of a keyword of three characters or more, in whichever column."""
+    word = keyword.lower()
+    grams = sorted({word[i : i + 3] for i in range(len(word) - 2)})
+    return index.filter(F.col("gram").isin(grams)).groupBy(key).agg(F.countDistinct("gram").alias("__n")).filter(F.col("__n") == len(grams)).select(key)
+
+
+def indexed_search(df: DataFrame, index: DataFrame, keyword: str, key: str, columns: tuple[str, ...] = ("code", "name")) -> DataFrame:
+    """``keyword_search`` over the candidates of the index alone; a keyword too short for it scans the table."""
+    if len(keyword.lower()) < 3:
+        return keyword_search(df, keyword, columns)
+    return keyword_search(df.join(search_candidates(index, keyword, key), key, "left_semi"), keyword, columns)
+
+
 def in_category(items: DataFrame, bridge: DataFrame, category_id: int) -> DataFrame:
     """Items that the bridge puts in a category."""
     return items.join(bridge.filter(F.col("category_id") == category_id).select(F.col("item_id").alias("id")), "id", "left_semi")

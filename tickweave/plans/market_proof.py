@@ -174,8 +174,7 @@ def k6_watermarks(spark, d):
     state = last.select(F.lit("s").alias("snapshot_id"), F.col("ts_code").alias("data_type"), at(F.col("m")).alias("last_datetime"))
     new = last.filter(F.col("ts_code").endswith(".SH")).select(F.lit("s").alias("snapshot_id"), F.col("ts_code").alias("data_type"), at(F.date_add("m", 10)).alias("last_datetime"))
     state = sinks.with_watermark(state, new.unionByName(new.withColumn("last_datetime", F.col("last_datetime") - F.expr("INTERVAL 5 DAY"))))
-    for gone in [r["data_type"] for r in state.select("data_type").filter(F.col("data_type").endswith(".BJ")).collect()]:  # a name for each symbol
-        state = sinks.without_watermark(state, "s", gone)
+    state = sinks.without_watermarks(state, state.filter(F.col("data_type").endswith(".BJ")))
     starts = sinks.watermark(state, "s", "000001.SH").select(F.lit(1))
     return state.join(F.broadcast(starts.limit(1)), how="left_semi").select("data_type", "last_datetime", F.to_date(F.col("last_datetime") + F.expr("INTERVAL 1 DAY")).alias("start_day"))
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import quality, signals, universe, windows
 from ..sources import contracts as c
+from ..sources import sinks
 from ..streaming import streams
 from . import market_more
 from .market import plain
 from .market_more import scratch
-from .sql import NEWS
+from .sql import BARS, NEWS, day, r6
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +106,58 @@ def x4_alert_stream(spark, d):
             run = streams.alert_stream(stream, monitors).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
             run.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("symbol string, kind string, time timestamp, price double").parquet(f"{folder}/out").withColumn("price", F.round("price", 6))
+
+
+# --- snapshots, ranks, pages, medians, search -----------------------------------------------------------------------
+@query(
+    "k5_three_appends",
+    f"""WITH {BARS}, s AS (SELECT ts_code, min(trade_date) AS a, max(trade_date) AS b, count(*) AS n FROM bars WHERE trade_date < DATE '1998-07-01' GROUP BY 1)
+    SELECT 'market' AS snapshot, CAST(sum(n) AS BIGINT) AS rows, {day('min(a)', 'first_day')}, {day('max(b)', 'last_day')}, CAST(sum(b - a) AS BIGINT) AS span_days,
+           (SELECT count(DISTINCT trade_date) FROM bars WHERE trade_date < DATE '1998-07-01') AS calendar_days, 0 AS other_files_changed FROM s""",
+)
+def k5_three_appends(spark, d):
+    """Bars to 1995 exported, three years appended, each of which meets rows that are there already; partitions before
+    the last append keep the files they had."""
+    folder = scratch(spark, "appends")
+    rows = c.daily_bars(spark, d).select(F.col("ts_code").alias("instrument"), F.col("trade_date").alias("datetime"), "close_li")
+    sinks.write_snapshot(rows.filter("datetime < '1996-01-01'"), folder, name="market", grain="month")
+    files = lambda: {f for f in spark.read.parquet(f"{folder}/bars").inputFiles() if f.rpartition("/date=")[2][:7] < "1997-06"}
+    for start, end in (("1995-07-01", "1997-01-01"), ("1996-07-01", "1997-07-01"), ("1997-06-01", "1998-07-01")):
+        before = files()
+        sinks.append_snapshot(rows.filter(f"datetime >= '{start}' and datetime < '{end}'"), folder, ["datetime", "instrument"], grain="month")
+    changed = len(before ^ files())
+    spans = spark.read.parquet(f"{folder}/instruments").agg(F.sum(F.datediff("last_day", "first_day")).alias("span_days"))
+    days = spark.read.parquet(f"{folder}/calendars").agg(F.count("*").alias("calendar_days"))
+    return spark.read.parquet(f"{folder}/meta").crossJoin(spans).crossJoin(days).withColumn("other_files_changed", F.lit(changed))  # one row each
+
+
+@query("w21_total_rank", "SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber) AS INTEGER) AS rank FROM lineitem")
+def w21_total_rank(spark, d):
+    """Every row of a table ranked, without a task that holds them all."""
+    rows = c.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("tie"))
+    return windows.score_rank(rows, score="l_extendedprice", key="tie").select("l_orderkey", "l_linenumber", "rank")
+
+
+@query("o3_deep_page", "SELECT l_orderkey, l_linenumber, l_extendedprice, (SELECT count(*) FROM lineitem) AS total FROM lineitem ORDER BY l_extendedprice, l_orderkey * 10 + l_linenumber LIMIT 50 OFFSET 5000")
+def o3_deep_page(spark, d):
+    rows = c.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("tie"))
+    return signals.page(rows, "price", allowed={"price": "l_extendedprice"}, tie="tie", offset=5000, limit=50, descending=False).drop("tie")
+
+
+@query("q12_refined_median", f"SELECT count(*) AS rows, {r6('max(e)', 'max_error')}, {r6('median(e)', 'median_error')} FROM (SELECT abs(o_custkey * 100 - o_totalprice) / o_totalprice AS e FROM orders)")
+def q12_refined_median(spark, d):
+    """The median where counts of ranges are refined until a hundred values are left."""
+    raw = c.table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("v"), "o_custkey")
+    derived = raw.withColumn("v", (F.col("o_custkey") * 100).cast("double"))
+    return quality.consistency(raw, derived, keys=["o_orderkey"], value="v", few=100)
+
+
+@query("p11_indexed_search", "SELECT p_partkey, p_name, true AS pruned FROM part WHERE contains(lower(p_name), 'l gizm') OR contains(lower(p_type), 'l gizm')")
+def p11_indexed_search(spark, d):
+    """A keyword looked up in trigram lists that were written with the table; fewer rows are looked at than there are."""
+    folder, rows = scratch(spark, "search"), c.table(spark, d, "part")
+    universe.search_index(rows, "p_partkey", ("p_name", "p_type")).write.parquet(folder)
+    index = spark.read.parquet(folder)
+    tried = universe.search_candidates(index, "L GIZM", "p_partkey").count()
+    found = universe.indexed_search(rows, index, "L GIZM", "p_partkey", ("p_name", "p_type"))
+    return found.select("p_partkey", "p_name", F.lit(tried < rows.count()).alias("pruned"))

@@ -113,17 +113,19 @@ class Table:
         upsert_partitions(delta, f"{self.folder}/parts", keys, partition=partition, order=order)
 
     def insert_absent(self, delta: DataFrame, keys: list[str]) -> None:
+        """Add rows whose key is absent, as a new version. For tables that grow, ``keyed.KeyedStore`` writes the new rows only."""
         self.replace(self.read().unionByName(absent(self.read(), delta, keys)) if self.exists() else absent(delta.limit(0), delta, keys))
 
     def keep_since(self, time: str, since: str) -> None:
-        """Drop rows older than a time."""
+        """Drop rows older than a time, as a new version. ``keyed.KeyedStore`` drops partitions by name."""
         self.replace(self.read().filter(F.col(time) >= F.lit(since).cast("timestamp")))
 
 
 def upsert_partitions(delta: DataFrame, folder: str, keys: list[str], *, partition: str, order: str | None = None) -> None:
     """Put rows into a table by key, reading and writing only the partitions that they touch.
 
-    A key belongs to one partition. A delta that comes twice changes nothing. A run that fails while it stages leaves
+    A key belongs to one partition. Partitions are put in one after another: a reader may see some of them new and some
+    old, and two writers at once are not told apart; one writer a table. A delta that comes twice changes nothing. A run that fails while it stages leaves
     the table as it was; one that fails while it puts the partitions in is mended by the same delta again.
     """
     spark = delta.sparkSession
@@ -143,27 +145,51 @@ def instrument_spans(bars: DataFrame, *, symbol: str = "instrument", time: str =
 
 
 def write_snapshot(bars: DataFrame, folder: str, *, name: str, symbol: str = "instrument", time: str = "datetime", grain: str = "day") -> None:
-    """bars/ (by ``date``), instruments/, calendars/ and meta/ of a snapshot. Daily bars, few a day, may go by ``month``."""
+    """bars/ (by ``date``), instruments/, calendars/, counts/ (by date) and meta/ of a snapshot. Daily bars, few a day,
+    may go by ``month``."""
     bars.withColumn("date", F.date_trunc(grain, time).cast("date")).repartition("date").write.mode("overwrite").partitionBy("date").parquet(f"{folder}/bars")
-    _describe_snapshot(bars.sparkSession, folder, name=name, symbol=symbol, time=time)
+    stored = bars.sparkSession.read.parquet(f"{folder}/bars")
+    instrument_spans(stored, symbol=symbol, time=time).write.mode("overwrite").parquet(f"{folder}/instruments")
+    stored.select(F.to_date(time).alias("date")).distinct().write.mode("overwrite").parquet(f"{folder}/calendars")
+    stored.groupBy("date").agg(F.count("*").alias("rows")).write.mode("overwrite").parquet(f"{folder}/counts")
+    _describe_snapshot(bars.sparkSession, folder, name)
 
 
-def _describe_snapshot(spark: SparkSession, folder: str, *, name: str, symbol: str, time: str) -> None:
-    """Spans, calendar and meta of the bars that a snapshot holds."""
-    stored = spark.read.parquet(f"{folder}/bars")
-    instrument_spans(stored, symbol=symbol, time=time).write.mode("overwrite").parquet(f"{folder}/instruments")
-    day = F.to_date(time)
-    stored.select(day.alias("date")).distinct().write.mode("overwrite").parquet(f"{folder}/calendars")
-    meta = stored.agg(F.lit(name).alias("snapshot"), F.count("*").alias("rows"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
-    meta.write.mode("overwrite").parquet(f"{folder}/meta")
+def _describe_snapshot(spark: SparkSession, folder: str, name: str) -> None:
+    """Meta of a snapshot from its counts and calendar."""
+    rows = spark.read.parquet(f"{folder}/counts").agg(F.lit(name).alias("snapshot"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
+    days = spark.read.parquet(f"{folder}/calendars").agg(F.min("date").alias("first_day"), F.max("date").alias("last_day"))
+    rows.crossJoin(days).write.mode("overwrite").parquet(f"{folder}/meta")  # one row each
+
+
+def _rewrite(df: DataFrame, folder: str) -> None:
+    """Write a small table that is made from what is in its folder, by way of a staging folder."""
+    staging = f"{folder}-staging-{uuid.uuid4().hex}"
+    df.write.parquet(staging)
+    df.sparkSession.read.schema(df.schema).parquet(staging).write.mode("overwrite").parquet(folder)
+    _delete(df.sparkSession, staging)
 
 
 def append_snapshot(delta: DataFrame, folder: str, keys: list[str], *, symbol: str = "instrument", time: str = "datetime", grain: str = "day") -> None:
-    """Put new rows into a snapshot by key, their partitions only, and describe it anew; ``grain`` as it was written with."""
+    """Put new rows into a snapshot by key, and merge what describes it; ``grain`` as it was written with.
+
+    Only partitions that the delta touches are read and written. Keys never go away, so spans and calendar of the delta
+    are merged with those that are known, and rows are counted anew in the touched partitions only. The same append
+    again changes nothing.
+    """
     spark = delta.sparkSession
     name = spark.read.parquet(f"{folder}/meta").first()["snapshot"]  # one row
-    upsert_partitions(delta.withColumn("date", F.date_trunc(grain, time).cast("date")), f"{folder}/bars", keys, partition="date")
-    _describe_snapshot(spark, folder, name=name, symbol=symbol, time=time)
+    dated = delta.withColumn("date", F.date_trunc(grain, time).cast("date"))
+    upsert_partitions(dated, f"{folder}/bars", keys, partition="date")
+    known = spark.read.parquet(f"{folder}/instruments")
+    spans = known.unionByName(instrument_spans(delta, symbol=symbol, time=time)).groupBy(symbol).agg(F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"))
+    _rewrite(spans, f"{folder}/instruments")
+    _rewrite(spark.read.parquet(f"{folder}/calendars").unionByName(delta.select(F.to_date(time).alias("date"))).distinct(), f"{folder}/calendars")
+    touched = [r["date"] for r in dated.select("date").distinct().collect()]  # partitions of the delta, by which files are chosen
+    rows = lambda at: at.groupBy("date").agg(F.count("*").alias("rows"))
+    fresh, counts = rows(spark.read.parquet(f"{folder}/bars").filter(F.col("date").isin(touched))), spark.read.parquet(f"{folder}/counts")
+    _rewrite(counts.filter(F.col("date").isNull() | ~F.col("date").isin(touched)).unionByName(fresh), f"{folder}/counts")
+    _describe_snapshot(spark, folder, name)
 
 
 def watermark(state: DataFrame, snapshot: str, kind: str) -> DataFrame:
@@ -182,6 +208,11 @@ def without_watermark(state: DataFrame, snapshot: str, kind: str | None = None)
     return state.filter(~(gone if kind is None else gone & (F.col("data_type") == kind)))
 
 
+def without_watermarks(state: DataFrame, gone: DataFrame) -> DataFrame:
+    """State without the snapshots and data types that a table names."""
+    return state.join(gone.select("snapshot_id", "data_type").distinct(), ["snapshot_id", "data_type"], "left_anti").select(*state.columns)
+
+
 def export_start(state: DataFrame, snapshot: str, kind: str, end: str, *, step: str = "1 day", back_days: int = 30) -> DataFrame:
     """One row: where an export starts, and whether it is empty. The step after the last time, or so many days before the end."""
     last = state.filter((F.col("snapshot_id") == snapshot) & (F.col("data_type") == kind)).agg(F.max("last_datetime").alias("last"))
