@@ -47,3 +47,17 @@ def test_without_labels_nothing_is_rejected(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
     labels = spark.createDataFrame([], "doc_id bigint, quality int")
     assert quality.quality(docs, labels).first()["predicted"] == 1
+
+
+def test_language_sample_counts_ids_once(spark):
+    """An id that repeats more often than the sample is large takes one place in it."""
+    from pyspark.sql import functions as F
+
+    from tickweave.llm import langid
+
+    words = {"en": "the cat sat on the mat and it was good".split(), "de": "der hund und die katze sind nicht gut".split()}
+    rows = [(i * 2 + k, " ".join(words[c][(i + j) % 9 % len(words[c])] for j in range(12)), c) for i in range(60) for k, c in enumerate(words)]
+    many = rows + [(4, "the the the", "en")] * 200 + [(5, "der der der", "de")] * 200
+    df = spark.createDataFrame(many, "doc_id long, text string, lang string")
+    got = langid.language(df, sample=30, keep_columns=True)
+    assert got.filter(F.col("lang") == F.col("lang_pred")).count() == len(many)

@@ -104,16 +104,16 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     """Learn from rows that have a text, a language and an id that may be learnt from; None if there are none."""
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     known = known.filter(learnable("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row for each language
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("id", 0.02).alias("n")).collect()}  # a row for each language
     if not counts:
         return None
     # Thin each language by a hash before ranking, so that no task sorts a whole language.
-    share = F.create_map(*(x for c, n in counts.items() for x in (F.lit(c), F.lit(min(1.0, 2.0 * sample / n)))))
+    share = F.create_map(*(x for c, n in counts.items() for x in (F.lit(c), F.lit(min(1.0, 2.0 * sample / max(n, 1))))))
     unit = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003
     thin = known.filter(unit < share[F.col("lang")])
     from pyspark.sql import Window
 
-    ranked = thin.select("id", "lang").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(1)), "id"))).filter(F.col("r") <= sample)
+    ranked = thin.select("id", "lang").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(1)), "id"))).filter(F.col("r") <= sample)
 
     @F.pandas_udf(T.StructType([T.StructField("k", T.ArrayType(T.IntegerType())), T.StructField("v", T.ArrayType(T.FloatType()))]))
     def features(text: pd.Series) -> pd.DataFrame:
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
         return pd.DataFrame({"k": [k.astype(np.int32) for k, _ in got], "v": [v.astype(np.float32) for _, v in got]})
 
     # One row an id and language before anything reaches the driver: ids may repeat, and at most sample a language are chosen.
-    chosen = thin.join(F.broadcast(ranked.select("id", "lang").distinct()), ["id", "lang"]).select("id", "lang", features("text").alias("f"))
+    chosen = thin.join(F.broadcast(ranked.select("id", "lang")), ["id", "lang"]).select("id", "lang", features("text").alias("f"))
     rows = chosen.groupBy("id", "lang").agg(F.min("f").alias("f")).toPandas().sort_values(["id", "lang"], kind="stable")
     data = [(np.asarray(f["k"], np.int64), np.asarray(f["v"], float)) for f in rows["f"]]
     langs = rows["lang"].to_numpy()
