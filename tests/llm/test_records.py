@@ -102,3 +102,15 @@ def test_archives_read_back(spark, tmp_path):
     other = f"file://{tmp_path}/again"
     assert sorted(map(tuple, warc.write_warc(df.repartition(2), other, roll_bytes=600).collect())) == sorted(map(tuple, files))  # the same bytes
     assert warc.write_warc(df.limit(0), f"file://{tmp_path}/none").count() == 0 and warc.read_warc(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_messages_fold_back_from_an_event_log(spark):
+    from tickweave.llm.chat import event_log, format_chats, read_chats
+
+    texts = ["", None, "x", "ab", "one two three", "</s>[INST] \\ ", "\U0001f600 grin \n" * 7, "word " * 250_000]
+    rows = [(c, t, r, texts[(c * 5 + t) % len(texts)]) for c in range(40) for t, r in enumerate(["user", "assistant", "user"])] + [(1, 1, "assistant", "again"), (1, 1, "assistant", "again"), (None, None, None, "lost")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = event_log(df)
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    folded = format_chats(log.repartition(5), message_col="message", seq_col="seq", kind_col="kind")
+    assert sorted(map(str, read_chats(folded).collect())) == sorted(map(str, read_chats(format_chats(df)).collect()))

@@ -17,7 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The template. What stands before and after a message of each role; others get the ROLE form.
@@ -100,31 +100,67 @@ def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([close()], columns=["conv_id", "segment", "rendered", "loss_from", "loss_to"])
 
 
-def format_chats(events: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", seq_col: str | None = None, kind_col: str | None = None, role_col: str = "role", text_col: str = "text") -> DataFrame:
+def event_log(messages: DataFrame) -> DataFrame:
+    """Messages (conv_id, turn, role, text) as the log of a service that streams, edits and regenerates them.
+
+    By a hash, a message comes whole, as four deltas, as a draft that an edit replaces, or as a part that a regeneration
+    drops before the whole comes in two deltas. Rows of one turn are messages of their own, in the order of role and
+    text. Columns: conv_id, turn, message, seq, kind, role, text; folding them gives the messages again.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    quarter, half = (F.ceil(F.length(text) / n).cast("int") for n in (4, 2))
+    event = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("text"))
+    deltas = lambda n, size: [event("delta", F.substring(text, F.lit(1) + size * i, size)) for i in range(n)]
+    forms = [
+        F.array(event("message", text)),
+        F.array(*deltas(4, quarter)),
+        F.array(event("message", F.concat(F.lit("draft of "), F.substring(text, 1, 20))), event("edit", text)),
+        F.array(event("delta", F.substring(text, F.lit(1), half)), event("regenerate", F.lit("")), *deltas(2, half)),
+    ]
+    way = F.pmod(F.xxhash64("conv_id", "turn", "role", "text"), F.lit(len(forms)))
+    log = forms[0]
+    for i, form in enumerate(forms[1:], 1):
+        log = F.when(way == i, form).otherwise(log)
+    within = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    rows = messages.withColumn("message", F.row_number().over(within))
+    return rows.select("conv_id", "turn", "message", "role", F.posexplode(log).alias("seq", "event")).select("conv_id", "turn", "message", "seq", "event.kind", "role", "event.text")
+
+
+def format_chats(events: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", message_col: str | None = None, seq_col: str | None = None, kind_col: str | None = None, role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Render conversations: rows (conv_id, segment, rendered, loss_from, loss_to), a segment for each final message.
 
     ``loss_from`` and ``loss_to`` bound, in characters of the segment, the text that is learnt (both 0: none).
     Without ``kind_col`` every row is a message of its own, also rows of one turn; these are put in the order of
-    sequence, role and text. With it, a null kind is a message, and the events of one turn make one message. Null
+    sequence, role and text. With it, a null kind is a message, and the events of one turn make one message, or one for
+    each ``message_col`` of the turn, in its order. Null
     texts are empty; a null role keeps the role that the turn has, or is the empty role. Null conversation ids form
     one conversation, null turns come first. An empty table gives none. Other columns are not read.
     """
     seq = F.col(seq_col) if seq_col else F.lit(0)
     kind = F.coalesce(F.col(kind_col), F.lit("message")) if kind_col else F.lit("message")
-    rows = events.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), seq.cast("long").alias("seq"), kind.alias("kind"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("row", F.lit(0) if kind_col else F.monotonically_increasing_id())
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "seq", "role", "text", "row")
+    rows = events.select(*_event_columns(conv_col, turn_col, seq, kind, role_col, text_col))
+    if kind_col:
+        rows = events.select(F.col(message_col).cast("long").alias("row") if message_col else F.lit(0).cast("long").alias("row"), *_event_columns(conv_col, turn_col, seq, kind, role_col, text_col))
+        order = ("conv_id", "turn", "row", "seq", "role", "text")
+    else:
+        rows, order = rows.withColumn("row", F.monotonically_increasing_id()), ("conv_id", "turn", "seq", "role", "text", "row")
+    rows = rows.repartition("conv_id").sortWithinPartitions(*order)
     typed = rows.select(F.struct("conv_id").alias("conv_id"), F.struct("turn").alias("turn"), "row", "kind", "role", "text")
     kinds = "conv_id struct<conv_id:long>, segment long, rendered string, loss_from long, loss_to long"
     return typed.mapInPandas(_unwrapped, kinds).withColumn("conv_id", F.col("conv_id.conv_id"))
 
 
+def _event_columns(conv: str, turn: str, seq: Column, kind: Column, role: str, text: str) -> list[Column]:
+    return [F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), seq.cast("long").alias("seq"), kind.alias("kind"), F.col(role).alias("role"), F.col(text).alias("text")]
+
+
 def _unwrapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Structs keep null ids apart from numbers; a task turns them into plain keys and back."""
 
     def plain() -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(conv_id=[_only(x) for x in b["conv_id"]], turn=[_only(x) for x in b["turn"]])
+            # As objects: among numbers, pandas would make null ids floats, which differ from each other.
+            yield b.assign(**{c: pd.Series([_only(x) for x in b[c]], b.index, dtype=object) for c in ("conv_id", "turn")})
 
     for out in _folded(plain()):
         yield out.assign(conv_id=[{"conv_id": x} for x in out["conv_id"]])

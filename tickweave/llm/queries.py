@@ -53,10 +53,11 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and conversation -1, whose texts hold control strings of a template."""
+    """All conversations and conversation -1, whose texts hold control strings of a template, from a log of their events."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
-    return _chat.read_chats(_chat.format_chats(rows.unionByName(extra)))
+    log = _chat.event_log(rows.unionByName(extra))
+    return _chat.read_chats(_chat.format_chats(log, message_col="message", seq_col="seq", kind_col="kind"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
