@@ -1,22 +1,26 @@
 """Exact top-k search by inner product: ball trees with branch and bound, per shard of the vectors.
 
-Vectors are dealt into shards by a hash, queries into blocks, and each (shard, block) pair is one group of one task.
-In a group a ball tree is built over the shard's vectors. Its nodes are visited in order of the largest inner product
-that their ball allows, ``q . centre + |q| * radius``, until that bound falls under the query's current k-th score.
-Shards share that score: a first pass looks only at each query's most promising leaf in every shard, and the k-th best
-of all these candidates is where the second, complete pass starts from. Shards and blocks have a bounded size, so the
-memory of a task does not grow with the tables.
+Queries are taken in blocks of a bounded size, which every task gets by broadcast; the vectors stay where they are, and
+each task cuts its own into shards. Over a shard a ball tree is built. Its nodes are visited in order of the largest
+inner product that their ball allows, ``q . centre + |q| * radius``, until that bound falls under the query's current
+k-th score. Shards share that score: a task hands it from one shard to the next, and between tasks a first pass, which
+looks only at each query's most promising leaf in every shard, gives the k-th best of all these candidates, where the
+second, complete pass starts from. A block costs two passes over the vectors, none of which shuffles them; candidates
+are at most k a query and task, and few in the second pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import forget, keep
+
 #: Vectors of a shard, queries of a block, vectors of a leaf: about so many at most.
 SHARD, BLOCK, LEAF = 8192, 4096, 128
 
@@ -106,22 +110,44 @@ def search(tree: BallTree, ids: np.ndarray, q: np.ndarray, own: np.ndarray, floo
     return scores, found
 
 
-def _group(k: int, first_only: bool) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(vectors) or not len(queries):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
-        out = []
-        lengths = vectors["v"].map(len)
-        for width, part in vectors.groupby(lengths):  # vectors of one length only meet their like
-            asked = queries[queries["v"].map(len) == width]
-            if not len(asked) or not width:
-                continue
-            tree = BallTree(np.stack(part["v"].to_list()).astype(float))
-            floor = asked["floor"].to_numpy(float)
-            s, i = search(tree, part["id"].to_numpy(np.int64), np.stack(asked["v"].to_list()).astype(float), asked["id"].to_numpy(np.int64), floor, k, first_only)
+def _matrices(ids: pa.Array, vectors: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors as a matrix, for each length of vectors there is."""
+    values, lengths = vectors.flatten().to_numpy(zero_copy_only=False).astype(float), pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    starts, ids = np.cumsum(lengths) - lengths, ids.to_numpy(zero_copy_only=False)
+    for width in np.unique(lengths[lengths > 0]):
+        at = np.flatnonzero(lengths == width)
+        yield ids[at].astype(np.int64), values[starts[at][:, None] + np.arange(width)[None, :]]
+
+
+def _pass(shared, k: int, first_only: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The k best vectors of a task's shards for each query of a block; the k-th score so far is handed from shard to shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shared.value  # by length: ids, vectors and floors of queries
+        best = {w: (np.full((len(i), k), -np.inf), np.full((len(i), k), np.iinfo(np.int64).max)) for w, (i, _, _) in block.items()}
+        held: dict[int, list] = {w: [] for w in block}
+
+        def look(width: int) -> None:
+            ids, x = (np.concatenate(part) for part in zip(*held[width], strict=True))
+            held[width] = []
+            own, q, floor = block[width]
+            for at in range(0, len(ids), SHARD):
+                scores, found = best[width]
+                s, i = search(BallTree(x[at : at + SHARD]), ids[at : at + SHARD], q, own, np.maximum(floor, scores[:, -1]), k, first_only)
+                best[width] = _merge(scores, found, s, i, k)
+
+        for batch in batches:
+            for ids, x in _matrices(batch.column(0), batch.column(1)):
+                if (width := x.shape[1]) in block:
+                    held[width].append((ids, x))
+                    if sum(len(i) for i, _ in held[width]) >= SHARD:
+                        look(width)
+        for width, (own, _, floor) in block.items():
+            if held[width]:
+                look(width)
+            s, i = best[width]
             row, col = np.nonzero(np.isfinite(s) & (s >= floor[:, None]))
-            out.append(pd.DataFrame({"query_id": asked["id"].to_numpy()[row], "vec_id": i[row, col], "score": s[row, col].astype(np.int64)}))
-        return pd.concat(out) if out else run(vectors[:0], queries)
+            yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(i[row, col]), pa.array(s[row, col].astype(np.int64))], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -141,20 +167,29 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vec
         fine = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
         return df.filter(fine).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale)).alias("v"))
 
-    rows, asked = whole(vectors), whole(queries)
-    shards, blocks = (max(1, -(-df.count() // n)) for df, n in ((rows, SHARD), (asked, BLOCK)))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    # A hash deals repeated ids out by their vectors too; equal rows meet, and only one of them need be kept.
-    rows = rows.dropDuplicates(["id", "v"]).withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int")).withColumn("block", every(blocks))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
-    kind = "query_id long, vec_id long, score long"
-
-    def run(with_floor: DataFrame, first_only: bool) -> DataFrame:
-        return rows.groupBy("shard", "block").cogroup(with_floor.groupBy("shard", "block")).applyInPandas(_group(k, first_only), kind)
-
+    spark = vectors.sparkSession
+    # Equal rows meet once, and only one of them is kept; after this no pass moves a vector.
+    rows = keep(whole(vectors).dropDuplicates(["id", "v"]), "vectors")
+    asked = keep(whole(queries).dropDuplicates(["id", "v"]).withColumn("hash", F.xxhash64("id", "v")), "queries")
+    blocks = -(-asked.count() // BLOCK)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    seen = run(asked.withColumn("floor", F.lit(float("-inf"))), True).distinct()
-    floors = seen.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
-    started = asked.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    found = run(started, False).distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    parts: list[DataFrame] = []
+    for n in range(blocks):
+        table = asked.filter(F.pmod("hash", F.lit(blocks)) == n).select("id", "v").toArrow()  # about BLOCK queries
+        column = table.column("v").combine_chunks()
+        block = {x.shape[1]: (ids, x, np.full(len(ids), -np.inf)) for ids, x in _matrices(table.column("id").combine_chunks(), column)}
+
+        def found(first_only: bool, block: dict = block) -> DataFrame:
+            shared = spark.sparkContext.broadcast(block)
+            got = rows.mapInArrow(_pass(shared, k, first_only), "query_id long, vec_id long, score long").distinct()
+            return got.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+        kth = {r["query_id"]: r["score"] for r in found(True).filter(F.col("rank") == k).select("query_id", "score").collect()}  # one a query of the block
+        for ids, _, floor in block.values():
+            floor[:] = [kth.get(int(i), -np.inf) for i in ids]
+        parts.append(keep(found(False), "top-k"))
+    forget(rows, asked)
+    result = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if parts:
+        result = spark.read.schema(parts[0].schema).parquet(*(vars(p)["kept_at"] for p in parts))
+    return result.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
