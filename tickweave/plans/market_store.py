@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..operators import quality, signals, universe, windows
 from ..sources import contracts as c
-from ..sources import sinks
+from ..sources import scans, sinks
 from ..streaming import streams
 from . import market_more
 from .market import plain
 from .market_more import scratch
-from .sql import BARS, NEWS, day, r6
+from .sql import BARS, NEWS, code, day, r6
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -161,3 +161,38 @@ def p11_indexed_search(spark, d):
     tried = universe.search_candidates(index, "L GIZM", "p_partkey").count()
     found = universe.indexed_search(rows, index, "L GIZM", "p_partkey", ("p_name", "p_type"))
     return found.select("p_partkey", "p_name", F.lit(tried < rows.count()).alias("pruned"))
+
+
+# --- vendor tables --------------------------------------------------------------------------------------------------
+def _vendor_kinds() -> list[tuple[str, int, str, str]]:
+    """Table, place, name and kind of every field of the vendor tables."""
+    return [(t, i, f.name, f.kind) for t in scans.VENDOR_TABLES for i, f in enumerate(scans.vendor_fields(t)[0])]
+
+
+def _vendor_sql() -> str:
+    """What is filled and its total for each field: numbers, days since 1990, or characters."""
+    filled = {"string": "length({0})", "date": "(c_custkey % 1000 + {1})", "double": "CASE WHEN c_custkey % 5 <> {1} % 5 THEN (c_custkey % 97 + {1}) / 4.0 END"}
+    text = lambda name: code("c_custkey") if name == "ts_code" else "c_name"
+    one = [f"SELECT '{t}' AS vendor_table, '{name}' AS field, count({v}) AS filled, CAST(sum({v}) AS DOUBLE) AS total FROM c" for t, i, name, kind in _vendor_kinds() for v in [filled[kind].format(text(name), i)]]
+    return "WITH c AS (SELECT * FROM customer WHERE c_custkey % 10 <> 9) " + " UNION ALL ".join(one)
+
+
+@query("s16_all_vendor_tables", _vendor_sql())
+def s16_all_vendor_tables(spark, d):
+    """Each of the vendor tables as text, landed in typed rows; rows without a code are dropped."""
+    customers, n = c.table(spark, d, "customer"), F.col("c_custkey")
+    symbol = F.concat(F.lpad(n.cast("string"), 6, "0"), F.element_at(F.array(F.lit(".SZ"), F.lit(".SH"), F.lit(".BJ")), (n % 3 + 1).cast("int")))
+    total = {"string": lambda x: F.length(x), "date": lambda x: F.datediff(x, F.lit("1990-01-01").cast("date")), "double": lambda x: x}
+    out = None
+    for name in scans.VENDOR_TABLES:
+        fields, keys = scans.vendor_fields(name)
+        raw = {
+            "string": lambda f, i: F.when(n % 10 == 9, " ").otherwise(symbol) if f.name == "ts_code" else F.col("c_name"),
+            "date": lambda f, i: F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), (n % 1000 + i).cast("int")), "yyyyMMdd"),
+            "double": lambda f, i: F.when(n % 5 == i % 5, "None").otherwise(((n % 97 + i) / 4.0).cast("string")),
+        }
+        landed = scans.land(customers.select(*(raw[f.kind](f, i).alias(f.name) for i, f in enumerate(fields))), fields, keys)
+        sums = landed.agg(*(F.struct(F.count(f.name).alias("filled"), F.sum(total[f.kind](F.col(f.name))).cast("double").alias("total")).alias(f.name) for f in fields))
+        rows = sums.select(F.explode(F.array(*(F.struct(F.lit(name).alias("vendor_table"), F.lit(f.name).alias("field"), F.col(f"{f.name}.filled").alias("filled"), F.col(f"{f.name}.total").alias("total")) for f in fields))).alias("r")).select("r.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
