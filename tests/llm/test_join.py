@@ -77,17 +77,34 @@ def test_nulls_empty_tables_and_clashing_columns(spark):
     assert ngram_join(df.limit(0)).collect() == []
 
 
-def test_subsets_meet_for_every_admissible_pair():
+def test_subsets_meet_exactly_where_sets_are_linked():
     import numpy as np
 
     universe = np.arange(1, 40, dtype=np.uint64)
-    for a in range(1, 11):
-        for b in range(a, a * 4 // 3 + 1):
-            o = least_overlap(a, b, 75, 100)
-            if b > 11 or o > a:
-                continue
-            x, y = universe[:a], np.concatenate([universe[a - o : a], universe[a : a + b - o]])
-            assert set(subset_keys(x, 75, 100)) & set(subset_keys(y, 75, 100)), (a, b)
+    keys = lambda x: subset_keys(x, 75, 100)
+    for a in range(1, 12):
+        for b in range(a, 12):
+            for o in range(a + 1):
+                (even, below), (_, above) = keys(universe[:a]), keys(np.concatenate([universe[a - o : a], universe[a : a + b - o]]))
+                met = set(even) & (set(above) if b > a else set(keys(np.concatenate([universe[a - o : a], universe[a : a + b - o]]))[0]))
+                assert bool(met) == (100 * o >= 75 * (a + b - o)), (a, b, o)
+                assert not set(even) & set(below)
+
+
+def test_hot_subsets_of_small_sets(spark, monkeypatch):
+    """A third of the rows share all but two words: names that are salted, with and without a set of the smaller size."""
+    monkeypatch.setattr("tickweave.llm.ngram_join.boundary", lambda *_: 12)
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base, other = [word() for _ in range(10)], [word() for _ in range(11)]
+    texts = [" ".join([*base, word(), word()]) for _ in range(200)] + [" ".join([*other, word(), word()]) for _ in range(150)]
+    texts += [" ".join([*other, word()]) for _ in range(20)] + [" ".join(word() for _ in range(rng.randint(1, 18))) for _ in range(100)]
+    rows = list(enumerate(texts, 100))
+    for more in ([], [(1, " ".join(base))]):
+        some = rows + more
+        rng.shuffle(some)
+        df = spark.createDataFrame(some, "doc_id bigint, text string").repartition(3)
+        assert sorted(map(tuple, ngram_join(df).collect())) == brute(some)
 
 
 def test_boundary_follows_costs():

@@ -1,13 +1,15 @@
 """Similarity join of texts by the Jaccard index of their word shingles: a size-aware heavy-light join.
 
-*Small* sets enumerate fixed-size subsets. Two sets of sizes a <= b can only reach the threshold t if they share
-``ceil(t * b)`` shingles, so every set names all its subsets of each size that a partner can ask for, and partners
-meet on an equal subset. *Large* sets meet on inverted lists: of each set only the lists of its rarest shingles are
+*Small* sets enumerate fixed-size subsets. Two sets of sizes a <= b reach the threshold exactly if they share a subset
+of the size c(a, b), so every set names, for each size that a partner can have, the two sizes and all its subsets of
+that size. Who meets a set of the smaller size on such a name is linked with it, as c grows with both sizes; so one
+comparison with one of these settles a whole list, however long, and a list without one is of no use. *Large* sets meet on inverted lists: of each set only the lists of its rarest shingles are
 scanned (prefix filter), as many as any partner must share one of. The boundary between the two is the size at which
 enumerating becomes dearer than scanning, from the counted sizes and list lengths.
 
 Lists can be long: groups of near copies, and passages that many texts share. Shingles found to be common are put last
-in the order, so that passages rarely enter a prefix. A long list is not paired off. Its most central member is
+in the order, so that passages rarely enter a prefix; what is common, shingles and subsets of small sets alike, is
+salted, so that no task holds a hot key's whole list. A long list is not paired off. Its most central member is
 compared with all others first; the comparison gives exact distances, and as the Jaccard distance is a metric, the rest
 splits into *near* members (linked), a *shell* that may link with near ones, and far ones; all but the near go to a
 further round. Pairs that share too few shingles of their prefixes to link, whatever stands behind them, are not
@@ -24,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 from math import comb
 
@@ -34,13 +37,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from .common import forget, hasher, keep, mix64, raw_texts, shingles, small, stream64
+from .common import forget, hasher, keep, mix64, raw_texts, shingles, small
 
 #: A task counts common shingles over so many at a time, and names those that it meets in so many sets. Prefixes are
 #: mostly made of the hashes below FRONT, so there fewer are enough.
 CHUNK_SHINGLES, COMMON_IN_CHUNK, COMMON_IN_FRONT, FRONT = 1_000_000, 4, 2, np.uint64(2**64 * 2 // 5)
 #: So many of the commonest shingles are known to every task (8 bytes each); others are ordered by hash alone.
 MOST_COMMON = 1_000_000
+#: So many of the commonest subsets of small sets are known likewise, to be salted.
+MOST_COMMON_SUBSETS = 250_000
 #: Subsets are never considered for sets above this size.
 LARGEST_SMALL = 12
 #: Lists are split by a central member until this many times the rows would do as pairs, or until a round leaves more
@@ -50,7 +55,8 @@ PAIRS_PER_ROW, STALLED, BLOCK_ENTRIES = 8, 0.9, 256
 BLOCK_SETS, BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 1 << 20, 4096
 #: Rows of a table of pairs or ids that may be broadcast.
 BROADCAST_ROWS = 500_000
-SALTS = 32
+#: A common key is dealt to so many lists; salts are multiples of a step, which leave a token's low bits as they are.
+SALTS, SALT_STEP = 256, 0x9E3779B1 << 20
 
 
 def least_overlap(a, b, num: int, den: int):
@@ -58,9 +64,6 @@ def least_overlap(a, b, num: int, den: int):
     return -((-num * (a + b)) // (num + den))
 
 
-_SALTS = stream64(SALTS, 3)
-
-
 def _digest(members: np.ndarray) -> tuple[int, int]:
     """The set's digest as two longs."""
     return struct.unpack("<qq", hashlib.blake2b(members.tobytes(), digest_size=16).digest())
@@ -71,61 +74,95 @@ def _name(digest: tuple[int, int], taken: frozenset[int]) -> int:
     return digest[1] if digest[0] in taken else digest[0]
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text a row (kind 0) with its set's size and digest; per common shingle a row (kind 1); list lengths (kind 2)."""
-    seen: set[tuple[int, int]] = set()
-    held: list[np.ndarray] = []
-    count = 0
-
-    def tally() -> pa.RecordBatch:
-        tokens, times = np.unique(np.concatenate(held), return_counts=True)
-        often = times >= np.where(tokens < FRONT, COMMON_IN_FRONT, COMMON_IN_CHUNK)
-        k = int(often.sum())
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.append(np.ones(k, np.int32), 2).astype(np.int32)),
-                pa.array(np.append(tokens[often].view(np.int64), np.int64((times.astype(np.int64) ** 2).sum()))),
-                pa.array(np.append(times[often], times.sum()).astype(np.int64)),
-                pa.nulls(k + 1, pa.int64()),
-                pa.nulls(k + 1, pa.int64()),
-            ],
-            ["kind", "id", "n", "sid", "rest"],
-        )
-
-    for batch in batches:
-        ids, sizes, digests = batch.column(0), [], []
-        for words in hasher().many(raw_texts(batch.column(1))):
-            members = shingles(words)
-            sizes.append(len(members))
-            digests.append(d := _digest(members))
-            if d not in seen:
-                seen.add(d)
-                held.append(members)
-                count += len(members)
-                if count >= CHUNK_SHINGLES:
-                    yield tally()
-                    held, count = [], 0
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(len(sizes), np.int32)), ids.cast(pa.int64()), pa.array(sizes, pa.int64()), *(pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1))],
-            ["kind", "id", "n", "sid", "rest"],
-        )
-    if held:
-        yield tally()
-
-
-def subset_keys(members: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Hashes of the subsets on which a small set can meet a partner of any admissible size."""
-    a, out = len(members), []
-    largest = a * den // num
-    for c in range(-(-num * a // den), -(-num * largest // den) + 1):
-        picks = np.array(list(combinations(range(a), c)))
-        spread = mix64(members)
-        out.append(mix64(spread[picks].sum(axis=1, dtype=np.uint64) + np.uint64(c)))
-    return np.concatenate(out)
+def _salted(keys: np.ndarray, d: int) -> np.ndarray:
+    """The keys of the lists that a set goes to instead of those of common keys."""
+    return keys ^ np.uint64(d % SALTS * SALT_STEP)
+
+
+def _places(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are among the known ones (sorted), and where."""
+    if not len(known):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return known[at] == keys, at
+
+
+def _counted_rows(kind: int, held: list[np.ndarray]) -> tuple[pa.RecordBatch, int, int]:
+    """Rows of the keys that are common among those held; the sum of all list lengths squared, and of all lengths."""
+    keys, times = np.unique(np.concatenate(held), return_counts=True)
+    often = times >= (COMMON_IN_CHUNK if kind == 3 else np.where(keys < FRONT, COMMON_IN_FRONT, COMMON_IN_CHUNK))
+    k, times = int(often.sum()), times.astype(np.int64)
+    return _rows(np.full(k, kind), keys[often].view(np.int64), times[often]), int((times**2).sum()), int(times.sum())
+
+
+def _rows(kind: np.ndarray, ids, n, sid=None, rest=None) -> pa.RecordBatch:
+    halves = [pa.nulls(len(kind), pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (sid, rest)]
+    ids = ids.cast(pa.int64()) if isinstance(ids, pa.Array) else pa.array(ids, pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), ids, pa.array(n, pa.int64()), *halves], ["kind", "id", "n", "sid", "rest"])
+
+
+def _set_rows(num: int, den: int):
+    """Per text a row (kind 0) with its set's size and digest; list lengths (kind 2); a row for each shingle (kind 1) and
+    each subset of a small set (kind 3) that is common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        held: list[np.ndarray] = []
+        named: list[np.ndarray] = []
+        count = 0
+
+        def tally() -> Iterator[pa.RecordBatch]:
+            rows, squares, total = _counted_rows(1, held)
+            yield rows
+            yield _rows(np.array([2]), [squares], [total])
+            if named:
+                yield _counted_rows(3, named)[0]
+
+        for batch in batches:
+            sizes, digests = [], []
+            for words in hasher().many(raw_texts(batch.column(1))):
+                members = shingles(words)
+                sizes.append(len(members))
+                digests.append(d := _digest(members))
+                if d not in seen:
+                    seen.add(d)
+                    held.append(members)
+                    count += len(members)
+                    if 0 < len(members) <= LARGEST_SMALL:
+                        named.extend(subset_keys(members, num, den))
+                        count += len(named[-1]) + len(named[-2])
+                    if count >= CHUNK_SHINGLES:
+                        yield from tally()
+                        held, named, count = [], [], 0
+            yield _rows(np.zeros(len(sizes)), batch.column(0), sizes, [d[0] for d in digests], [d[1] for d in digests])
+        if held:
+            yield from tally()
+
+    return run
+
+
+@lru_cache(maxsize=None)
+def _picks(a: int, c: int) -> np.ndarray:
+    return np.array(list(combinations(range(a), c)))
+
+
+def _partners(a: int, num: int, den: int) -> range:
+    """Sizes of the sets that one of size a can be linked with."""
+    return range(-(-num * a // den), a * den // num + 1)
+
+
+def subset_keys(members: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the subsets on which a small set meets the partners it is linked with: those of at least its size, and smaller ones."""
+    a, spread = len(members), mix64(members)
+    out: tuple[list[np.ndarray], list[np.ndarray]] = ([], [np.zeros(0, np.uint64)])
+    for b in _partners(a, num, den):
+        sums = spread[_picks(a, least_overlap(a, b, num, den))].sum(axis=1, dtype=np.uint64)
+        out[b < a].append(mix64(sums ^ mix64(np.uint64([min(a, b) << 32 | max(a, b)]))))
+    return np.unique(np.concatenate(out[0])), np.unique(np.concatenate(out[1]))
 
 
 def subset_count(a: int, num: int, den: int) -> int:
-    return sum(comb(a, c) for c in range(-(-num * a // den), -(-num * (a * den // num) // den) + 1))
+    return sum(comb(a, least_overlap(a, b, num, den)) for b in _partners(a, num, den))
 
 
 def boundary(sizes: dict[int, int], list_length: float, num: int, den: int) -> int:
@@ -142,7 +179,7 @@ def _entries(common, taken: frozenset[int], limit: int, num: int, den: int):
     """Rows of list entries: a set's subsets (kind 1) or its prefix in the order (kind 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = common.value
+        known, rank, subsets = common.value
         seen: set[int] = set()
         for batch in batches:
             rows: list[tuple] = []
@@ -153,41 +190,45 @@ def _entries(common, taken: frozenset[int], limit: int, num: int, den: int):
                     continue
                 seen.add(d)
                 if n <= limit:
-                    rows.append((1, d, n, n, np.unique(subset_keys(members, num, den))))
+                    for own, keys in zip((CENTRE, LAST), subset_keys(members, num, den), strict=True):
+                        hit, _ = _places(keys, subsets)
+                        rows.append((1, d, n, int((~hit).sum()), own, np.concatenate([keys[~hit], _salted(keys[hit], d)])))
                 if n * den > num * limit:
-                    at = np.minimum(np.searchsorted(known, members), max(0, len(known) - 1))
-                    hit = known[at] == members if len(known) else np.zeros(n, bool)
+                    hit, at = _places(members, known)
                     light = members[~hit]
                     heavy = members[hit]
                     if len(heavy):
                         heavy = heavy[np.argsort(rank[at[hit]], kind="stable")]
                     p = n - -(-num * n // den) + 1
-                    salted = heavy ^ _SALTS[d % SALTS]
-                    rows.append((0, d, n, min(p, len(light)), np.concatenate([light, salted])[:p]))
+                    own = min(p, len(light))
+                    rows.append((0, d, n, own, own * LAST // n, np.concatenate([light, _salted(heavy, d)])[:p]))
             if rows:
-                kinds, ds, ns, lights, arrays = zip(*rows, strict=True)
+                kinds, ds, ns, lights, owns, arrays = zip(*rows, strict=True)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(kinds, pa.int32()), pa.array(ds, pa.int64()), pa.array(ns, pa.int32()), pa.array(lights, pa.int32()), tokens],
-                    ["kind", "sid", "n", "light", "tokens"],
+                    [pa.array(kinds, pa.int32()), pa.array(ds, pa.int64()), pa.array(ns, pa.int32()), pa.array(lights, pa.int32()), pa.array(owns, pa.int32()), tokens],
+                    ["kind", "sid", "n", "light", "own", "tokens"],
                 )
 
     return run
 
 
+#: Bounds of ``own``, of which the least in a list is its centre.
+CENTRE, LAST = 0, 127
 #: Places in a prefix are kept up to this one; later ones count as it, which only loosens the test that reads them.
 LAST_PLACE = (1 << 22) - 1
 
 
 def _packed() -> Column:
-    """Size, place, the share of light shingles in the prefix (in 127ths of the size), heavy and kind, in one number.
+    """Size, place, own, heavy and kind, in one number. The least own is a list's centre.
 
-    Subset keys (kind 1) may be more than their set has shingles, and are never salted: heavy is for prefixes only.
+    Own is the share of light shingles in the prefix (in 127ths of the size), or for subsets (kind 1) CENTRE if the set
+    is one of the smaller size, and LAST if it is not.
     """
-    own, heavy = F.floor(F.col("light") * 127 / F.col("n")).cast("long"), ((F.col("kind") == 0) & (F.col("pos") >= F.col("light"))).cast("long")
-    place = F.least(F.col("pos"), F.lit(LAST_PLACE)).cast("long")
-    return F.shiftleft(F.col("n").cast("long"), 31).bitwiseOR(F.shiftleft(place, 9)).bitwiseOR(F.shiftleft(own, 2)).bitwiseOR(F.shiftleft(heavy, 1)).bitwiseOR(F.col("kind").cast("long"))
+    heavy = (F.col("pos") >= F.col("light")).cast("long")
+    place, own = F.least(F.col("pos"), F.lit(LAST_PLACE)).cast("long"), F.shiftleft(F.col("own").cast("long"), 2)
+    return F.shiftleft(F.col("n").cast("long"), 31).bitwiseOR(F.shiftleft(place, 9)).bitwiseOR(own).bitwiseOR(F.shiftleft(heavy, 1)).bitwiseOR(F.col("kind").cast("long"))
 
 
 def _heavy() -> Column:
@@ -197,8 +238,7 @@ def _heavy() -> Column:
 def _unpacked() -> list[Column]:
     """kind, token, sid, n, pos, own of a packed entry; a salted token gets its own value back."""
     bits = lambda by, mask: F.shiftright("about", by).bitwiseAND(F.lit(mask)).cast("int")
-    salts = F.array(*(F.lit(int(x)) for x in _SALTS.view(np.int64)))
-    salt = F.element_at(salts, F.pmod("sid", F.lit(SALTS)).cast("int") + 1)
+    salt = F.pmod("sid", F.lit(SALTS)).cast("long") * F.lit(SALT_STEP)
     token = F.when(_heavy(), F.col("key").bitwiseXOR(salt)).otherwise(F.col("key"))
     n, own = F.shiftright("about", 31).cast("int").alias("n"), bits(2, 127).alias("own")
     return [bits(0, 1).alias("kind"), token.alias("token"), F.col("sid"), n, bits(9, LAST_PLACE).alias("pos"), own, _heavy().alias("heavy")]
@@ -387,7 +427,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    first = keep(texts.mapInArrow(_set_rows, "kind int, id long, n long, sid long, rest long"), "shingle-sets")
+    first = keep(texts.mapInArrow(_set_rows(num, den), "kind int, id long, n long, sid long, rest long"), "shingle-sets")
     rows = first.filter("kind = 0").select("id", "n", "sid", "rest")
     halves = rows.filter("n > 0").groupBy("sid").agg(F.min("rest").alias("low"), F.max("rest").alias("high"))
     # Expected are n * n / 2 ** 65 of n sets: none below a billion, some hundred in a hundred billion.
@@ -400,22 +440,25 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     # Sorted here once, as every worker holds it: the shingles and their ranks, rarest first.
     tokens = common["id"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens, kind="stable")
-    shared = spark.sparkContext.broadcast((tokens[order], common["n"].rank(method="first").to_numpy(np.uint32)[order]))
+    subsets = first.filter("kind = 3").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(MOST_COMMON_SUBSETS).toPandas()
+    subsets = np.sort(subsets["id"].to_numpy(np.int64).view(np.uint64))
+    shared = spark.sparkContext.broadcast((tokens[order], common["n"].rank(method="first").to_numpy(np.uint32)[order], subsets))
     counted = first.filter("kind = 2").agg(F.sum(F.col("id").cast("double")), F.sum("n")).first()
     length = counted[0] / counted[1] if counted[1] else 1.0
     sizes = {r[0]: r[1] for r in sets.filter(F.col("n") <= 2 * LARGEST_SMALL).groupBy("n").count().collect()}
     limit = boundary(sizes, length, num, den)
 
     # Which lists hold more than one set? All that counts a list's entries runs where its key was dealt: one shuffle.
-    # Common shingles' lists are long, so they are salted and taken as shared; their parts are counted together below.
+    # Lists of common keys are long, so they are salted and taken as shared; their parts are counted together below.
     known_texts = texts.filter("id is not null")
-    lists = known_texts.select("text").mapInArrow(_entries(shared, taken, limit, num, den), "kind int, sid long, n int, light int, tokens array<long>")
-    lists = lists.select("sid", "kind", "n", "light", F.posexplode("tokens").alias("pos", "key")).select("sid", "key", _packed().alias("about"))
+    lists = known_texts.select("text").mapInArrow(_entries(shared, taken, limit, num, den), "kind int, sid long, n int, light int, own int, tokens array<long>")
+    lists = lists.select("sid", "kind", "n", "light", "own", F.posexplode("tokens").alias("pos", "key")).select("sid", "key", _packed().alias("about"))
     together = Window.partitionBy("key")
     lists = lists.withColumn("many", F.count("*").over(together)).filter(_heavy() | (F.col("many") > 1))
     lists = lists.groupBy("key", "sid").agg(F.min("about").alias("about")).select("key", *_unpacked())
     lists = lists.withColumn("c", F.count("*").over(together)).withColumn("centre", F.min(F.struct("own", "sid", "n")).over(together))
-    lists = keep(lists.filter("heavy or c > 1").drop("key"), "lists")
+    useful = F.expr(f"c > 1 and (kind = 0 or centre.own = {CENTRE})")
+    lists = keep(lists.filter(F.col("heavy") | useful).drop("key"), "lists")
     shared.destroy()
 
     # Per set, how many shingles of its prefix other sets share. Sets that name subsets are not told apart by it.
@@ -435,10 +478,10 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     known, others, links = None, None, None
     slack, rows_at_first, before = 1 - num / den, 0, None
-    heavy = keep(lists.filter("heavy").groupBy("kind", "token").agg(F.count("*").alias("c"), F.min(F.struct("own", "sid", "n")).alias("centre")), "lists-lengths")
-    seats = small(heavy.filter("c > 1"), MOST_COMMON)
+    heavy = keep(lists.filter("heavy").groupBy("kind", "token").agg(F.count("*").alias("c"), F.min(F.struct("own", "sid", "n")).alias("centre")).filter(useful), "lists-lengths")
+    seats = small(heavy, MOST_COMMON)
     alive = lists.filter("not heavy").unionByName(lists.filter("heavy").drop("c", "centre").join(seats, ["kind", "token"])).drop("heavy")
-    total, pairs = lists.filter("not heavy").select("c").union(heavy.filter("c > 1").selectExpr("c * c as c")).agg(F.coalesce(F.count("*"), F.lit(0)), F.sum("c")).first()
+    total, pairs = lists.filter("not heavy").select("c").union(heavy.selectExpr("c * c as c")).agg(F.coalesce(F.count("*"), F.lit(0)), F.sum("c")).first()
     while total:
         # Of sets whose sizes keep them apart from whatever the centre is linked with, nothing need be known.
         near_size = F.least("n", "n_y") * den * den >= F.greatest("n", "n_y") * num * num
