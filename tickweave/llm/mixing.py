@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, keep, small
+from .common import WORD_PATTERN, forget, keep, small
 
 #: Blocks of a source at most, and documents a block is made for.
 BLOCKS, BLOCK_DOCS = 4096, 256
@@ -106,6 +106,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     blocks = blocks.withColumn("before", F.coalesce(before, F.lit(0)))
     blocks = blocks.withColumn("part", F.when(F.col("before") + F.col("n") <= F.col("rest"), "all").when(F.col("before") < F.col("rest"), "edge").otherwise("none"))
     blocks = keep(blocks, "mix-blocks")
+    forget(per_hash)
 
     rows = base.withColumn(f"{own_}s", src).withColumn(f"{own_}h", dealt)
     rows = rows.join(small(plan.select(f"{own_}s", F.col("blocks").alias(f"{own_}k")), BROADCAST_ROWS), f"{own_}s").withColumn(f"{own_}b", F.pmod(F.pmod(f"{own_}h", F.lit(BLOCKS)), F.col(f"{own_}k"))).drop(f"{own_}k")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, small
+from .common import forget, keep, small
 
 #: A file is closed once it holds so many compressed bytes.
 ROLL_BYTES = 16 << 20
@@ -147,6 +147,7 @@ def write_warc(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_co
     first = long.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
     # Copies that revisit another row, by row and digest: the two together name a record also where ids repeat.
     copies = keep(long.join(first, "digest").filter("page_id <> refers_to"), "warc-copies")
+    forget(long)
     rows = rows.join(small(copies, BROADCAST_ROWS), ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
     # Ranges are sampled from plain rows, and records are compressed once, where they are written.
     ranges = max(1, -(-pages.count() // RANGE_RECORDS))
@@ -155,6 +156,7 @@ def write_warc(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_co
     system.create_dir(base, recursive=True)
     kinds = "file string, part int, number int, records long, bytes long, sha256 string"
     placed.mapInArrow(_writer(folder, roll_bytes), kinds).write.mode("overwrite").parquet(f"{folder}/_manifest")
+    forget(copies)
     return pages.sparkSession.read.schema(kinds).parquet(f"{folder}/_manifest")
 
 
