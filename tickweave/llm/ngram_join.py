@@ -240,7 +240,7 @@ def _unpacked() -> list[Column]:
     bits = lambda by, mask: F.shiftright("about", by).bitwiseAND(F.lit(mask)).cast("int")
     salt = F.pmod("sid", F.lit(SALTS)).cast("long") * F.lit(SALT_STEP)
     token = F.when(_heavy(), F.col("key").bitwiseXOR(salt)).otherwise(F.col("key"))
-    n, own = F.shiftright("about", 31).cast("int").alias("n"), bits(2, 127).alias("own")
+    n, own = F.shiftright("about", 31).alias("n"), bits(2, 127).alias("own")
     return [bits(0, 1).alias("kind"), token.alias("token"), F.col("sid"), n, bits(9, LAST_PLACE).alias("pos"), own, _heavy().alias("heavy")]
 
 
@@ -277,7 +277,7 @@ def _common_count(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _size(members: str) -> Column:
-    return (F.length(members) / 8).cast("int")
+    return (F.length(members) / 8).cast("long")
 
 
 class _Sets:
@@ -412,7 +412,7 @@ def _jaccard_distance() -> Column:
 
 
 def _linked(num: int, den: int) -> Column:
-    return F.col("o") * den >= (F.col("a") + F.col("b") - F.col("o")) * num
+    return F.col("o").cast("long") * den >= (F.col("a") + F.col("b") - F.col("o")) * num
 
 
 def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100) -> DataFrame:
