@@ -1,6 +1,8 @@
 """Small frames for behaviour that tables do not show."""
 
 import datetime as dt
+import json
+import re
 
 import pandas as pd
 import pytest
@@ -179,6 +181,15 @@ def test_landing_minute_times_and_screening(spark):
     assert {(r["code"], r["title"], r["value"]) for r in rows} == {("1", "Code", "1"), ("1", "Price(yuan)", "2.5")}
 
 
+def test_rows_of_a_long_response_do_not_carry_it(spark):
+    head = [{"key": "code", "title": "Code"}, {"key": "v", "title": "V"}]
+    bodies = [(json.dumps({"columns": head, "rows": [{"code": str(c), "v": w} for w in ("a", "b") for c in range(page, 40, 2)]}),) for page in (0, 1)]
+    got = scans.screening_rows(spark.createDataFrame(bodies, "b string"), response="b")
+    assert sorted(map(tuple, got.filter("key = 'v'").collect())) == sorted((str(c), "v", "V", "a") for c in range(40))
+    dealt = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate posexplode" in line]
+    assert len(dealt) == 1 and re.search(r"Generate posexplode\(rows#\d+\), \[heads#\d+\]", dealt[0])
+
+
 def test_news_feeds(spark):
     cls = spark.createDataFrame([('{"id":"1","ctime":1700000000,"title":"t","content":"c","level":"B"}',)], "body string")
     sina = spark.createDataFrame([('{"id":"2","create_time":"2025-01-02 08:00:00","rich_text":"r","tag":[{"name":"焦点新闻"}]}',)], "body string")

@@ -77,14 +77,14 @@ def s11_minute_time(spark, d):
 
 @query("s12_screening_rows", f"SELECT {code('c_custkey')} AS code, key, title, CASE key WHEN 'code' THEN {code('c_custkey')} WHEN 'rank' THEN CAST(c_nationkey AS VARCHAR) ELSE c_mktsegment END AS value FROM customer, (VALUES ('code', 'Code'), ('rank', 'Rank(place)'), ('seg', 'Segment')) AS t(key, title)")
 def s12_screening_rows(spark, d):
-    """A response for each nation, with nested and hidden headers, and each row twice."""
+    """Responses for each nation in pages of a range of customers, with nested and hidden headers, and each row twice, in one page."""
     head = lambda k, t, unit=None, hidden=False: F.struct(F.lit(k).alias("key"), F.lit(t).alias("title"), F.lit(unit).cast("string").alias("unit"), F.lit(hidden).alias("hidden"))
     none = F.array().cast("array<struct<key:string,title:string,unit:string,hidden:boolean>>")
     with_children = lambda h, kids: F.struct(h["key"].alias("key"), h["title"].alias("title"), h["unit"].alias("unit"), h["hidden"].alias("hidden"), kids.alias("children"))
     heads = F.array(with_children(head("code", "Code"), none), with_children(head("rank", "Rank", "place"), none), with_children(head("group", "Group"), F.array(head("seg", "Segment"), head("secret", "Secret", None, True))))
     k = F.col("c_custkey")
     row = lambda seg: F.struct(c.code_of(k).alias("code"), F.col("c_nationkey").cast("string").alias("rank"), seg.alias("seg"))
-    rows = c.table(spark, d, "customer").groupBy("c_nationkey").agg(F.concat(F.collect_list(row(F.col("c_mktsegment"))), F.collect_list(row(F.lit("again")))).alias("rows"))
+    rows = c.table(spark, d, "customer").groupBy("c_nationkey", F.floor(k / 1000).alias("page")).agg(F.concat(F.collect_list(row(F.col("c_mktsegment"))), F.collect_list(row(F.lit("again")))).alias("rows"))
     return scans.screening_rows(rows.select(F.to_json(F.struct(heads.alias("columns"), "rows")).alias("r")), response="r")
 
 

@@ -145,7 +145,8 @@ def minute_time(day: Column, text: Column) -> Column:
 def screening_rows(df: DataFrame, *, response: str) -> DataFrame:
     """Rows (code, key, title, value) of a nested screening response: headers (one level of children, hidden ones skipped) by a list of row objects.
 
-    A code's first row counts. Titles carry the unit.
+    A code's first row counts. Titles carry the unit. A response is parsed once; its rows are dealt out with the headers
+    alone, so that a row costs the same in a long response as in a short one.
     """
     head = "struct<key:string,title:string,unit:string,hidden:boolean>"
     shape = f"struct<columns:array<struct<key:string,title:string,unit:string,hidden:boolean,children:array<{head}>>>,rows:array<map<string,string>>>"
@@ -154,7 +155,8 @@ def screening_rows(df: DataFrame, *, response: str) -> DataFrame:
     plain = lambda h: F.named_struct(F.lit("key"), h["key"], F.lit("title"), F.concat(h["title"], unit(h)), F.lit("hidden"), F.coalesce(h["hidden"], F.lit(False)))
     heads = F.flatten(F.transform("r.columns", lambda h: F.when(F.size(h["children"]) > 0, F.transform(h["children"], plain)).otherwise(F.array(plain(h)))))
     heads = F.filter(heads, lambda h: ~h["hidden"])
-    rows = r.select(heads.alias("heads"), F.posexplode("r.rows").alias("n", "row")).withColumn("code", F.col("row")["code"]).filter("code is not null")
+    r = r.select(heads.alias("heads"), "r.rows")  # before the rows are dealt out, which else would each carry the response
+    rows = r.select("heads", F.posexplode("rows").alias("n", "row")).withColumn("code", F.col("row")["code"]).filter("code is not null")
     rows = latest(rows, key="code", order=[F.col("n")])
     return rows.select("code", "row", F.explode("heads").alias("h")).select("code", F.col("h.key").alias("key"), F.col("h.title").alias("title"), F.element_at("row", F.col("h.key")).alias("value"))
 
