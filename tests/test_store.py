@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tickweave.plans import market_store
 from tickweave.sources.keyed import KeyedStore
 
 SCHEMA = "source string, id long, day string, text string"
@@ -67,3 +68,14 @@ def test_an_empty_insert_and_an_empty_store(spark, store):
     with pytest.raises(ValueError):
         store.read()
     assert store.insert(rows(spark, [1]).limit(0)).files_written == 0 and store.pieces() == 0
+
+
+def test_news_come_in_as_many_files_as_their_table_has_parts(spark, sf_dir, tmp_path, monkeypatch):
+    """No task writes or reads all news."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs.repartition(3).write.parquet(f"{tmp_path}/sf/documents.parquet")
+    monkeypatch.setattr(market_store, "scratch", lambda spark, label: f"file://{tmp_path}/{label}")
+    got = market_store.QUERIES["x3_news_once"](spark, f"{tmp_path}/sf").collect()
+    assert got and all(r["items"] == r["ids"] and r["added_by_repeats"] == 0 for r in got)
+    files = spark.read.parquet(f"{tmp_path}/news-once/in").groupBy(F.input_file_name()).count().collect()
+    assert len(files) >= 9 and max(r["count"] for r in files) < docs.count() / 2

@@ -72,13 +72,13 @@ def k11_drop_days(spark, d):
 @query("x3_news_once", f"WITH {KEYED} SELECT source, count(*) AS items, count(*) AS ids, 0 AS added_by_repeats FROM k GROUP BY 1")
 def x3_news_once(spark, d):
     """A stream of news that stops and starts again; repeats come in later micro-batches, when the state that knew them
-    is gone, and are not stored again."""
+    is gone, and are not stored again. Each run takes the files that one write left, however many there are."""
     folder = scratch(spark, "news-once")
     news, store = c.news(spark, d).select("id", "source", "external_id", "publish_time", "title"), streams.news_store(spark, f"{folder}/stored")
     pieces = []
     for part in (news.filter("id % 2 = 0"), news, news):
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        stream = spark.readStream.schema(news.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(news.schema).parquet(f"{folder}/in")
         run = streams.news_stream(stream, "0 seconds").writeStream.foreachBatch(streams.news_sink(store)).option("checkpointLocation", f"{folder}/checkpoint")
         run.trigger(availableNow=True).start().awaitTermination()
         pieces.append(store.pieces())
@@ -88,8 +88,8 @@ def x3_news_once(spark, d):
 
 @query("x4_alert_stream", market_more.ORACLES["x4_alerts"])
 def x4_alert_stream(spark, d):
-    """Ticks out of order over four micro-batches, stopped and started again with open state; then late ticks, which are
-    left out, and a quote of an unknown stock that moves the watermark past all others."""
+    """Ticks out of order in four parts of many files, stopped after each and started again with open state; then late
+    ticks, which are left out, and a quote of an unknown stock that moves the watermark past all others."""
     folder = scratch(spark, "alerts")
     ticks = c.ticks(spark, d).select("symbol", "time", (F.col("price_li") / 100.0).alias("price"), "seq")
     monitors = ticks.groupBy("symbol").agg(F.percentile("price", 0.4).alias("entry_min"), F.percentile("price", 0.6).alias("entry_max"), F.percentile("price", 0.95).alias("take_profit"), F.percentile("price", 0.05).alias("stop_loss")).withColumn("notification_enabled", F.lit(True))
@@ -98,10 +98,9 @@ def x4_alert_stream(spark, d):
     late = ticks.filter(file == 0).withColumn("time", F.col("time") - F.expr("INTERVAL 1 DAY"))
     clock = ticks.limit(1).select(F.lit("unknown").alias("symbol"), F.timestamp_micros(F.lit(high + 86_400_000_000)).alias("time"), F.lit(0.0).alias("price"), F.lit(0).cast("long").alias("seq"))
     parts = [ticks.filter(file == i) for i in range(4)]
-    for some in (parts[:2], [*parts[2:], late, clock]):
-        for part in some:
-            part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        stream = spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    for part in (*parts, late, clock):
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(ticks.schema).parquet(f"{folder}/in")
         with streams.keyed_state(spark):
             run = streams.alert_stream(stream, monitors).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
             run.trigger(availableNow=True).start().awaitTermination()
