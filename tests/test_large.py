@@ -41,3 +41,12 @@ def test_indexed_search_equals_the_scan(spark, word):
     df = spark.createDataFrame(rows, "id int, code string, name string")
     got = universe.indexed_search(df, universe.search_index(df, "id"), word, "id")
     assert sorted(map(str, got.select(*df.columns).collect())) == sorted(map(str, universe.keyword_search(df, word).collect()))
+
+
+def test_ranges_of_a_search_index_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(universe, "RANGE_CHARS", 500)
+    df = spark.range(400).selectExpr("id % 390 AS id", "concat('part number ', id % 390) AS code", "CAST(NULL AS STRING) AS name")
+    index = universe.search_index(df, "id")
+    sizes = [r["count"] for r in index.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 1500
+    assert index.count() == index.distinct().count() == sum(len({x[i : i + 3] for i in range(len(x) - 2)}) for x in (f"part number {i}" for i in range(390)))

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Characters of text whose trigrams one range of a search index holds, about; more of them make more ranges.
+RANGE_CHARS = 400_000
+
 
 def by_exchange(df: DataFrame, exchanges: tuple[str, ...] = ("SH", "SZ"), *, symbol: str = "ts_code", keep_unknown: bool = False) -> DataFrame:
     hit = reduce(Column.__or__, (F.upper(F.col(symbol)).endswith(f".{e}") for e in exchanges), F.lit(False))
@@ -90,10 +93,16 @@ def _grams(text: Column) -> Column:
 
 
 def search_index(df: DataFrame, key: str, columns: tuple[str, ...] = ("code", "name")) -> DataFrame:
-    """Trigram lists of some columns: gram and key, sorted by gram so that files, once written, are skipped by it."""
+    """Trigram lists of some columns: gram and key, sorted by gram so that files, once written, are skipped by it.
+
+    Characters are counted first, as no text has more trigrams than these: there are as many ranges as keep each to about
+    RANGE_CHARS, whatever the table's size. A range is made distinct where it lies.
+    """
+    chars = df.agg(sum((F.coalesce(F.sum(F.length(F.col(c))), F.lit(0)) for c in columns), F.lit(0))).first()[0]
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // RANGE_CHARS))
     grams = reduce(F.array_union, (_grams(F.col(c)) for c in columns))
-    rows = df.select(F.explode(grams).alias("gram"), F.col(key)).distinct()
-    return rows.repartitionByRange("gram", key).sortWithinPartitions("gram", key)
+    rows = df.select(F.explode(grams).alias("gram"), F.col(key)).repartitionByRange(ranges, "gram", key)
+    return rows.dropDuplicates(["gram", key]).sortWithinPartitions("gram", key)
 
 
 def search_candidates(index: DataFrame, keyword: str, key: str) -> DataFrame:
