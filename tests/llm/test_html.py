@@ -1,5 +1,6 @@
 """Main text of hand-made pages, of a host with a template, and of broken markup."""
 
+from tickweave.llm import html_text
 from tickweave.llm.html_text import extract, main_text, match, parse, skeleton
 
 
@@ -162,6 +163,23 @@ def test_matching_equals_brute_force_on_small_trees():
         assert match(skeleton(a), b) == brute_size(a, b)
 
 
+def test_matching_equals_brute_force_on_long_lists():
+    """The largest matching whatever the lengths: lists in another order, with equal texts, of other labels."""
+    import random
+
+    rng = random.Random(4)
+
+    def some(n):
+        return "".join(rng.choice([f"<p>{rng.randrange(30)}</p>", f"<div><b>{rng.randrange(9)}</b> {rng.randrange(40)}</div>", "<ul><li>same</li></ul>"]) for _ in range(n))
+
+    for n in (25, 60, 150):
+        for _ in range(3):
+            a, b, pairs = parse(some(n)), parse(some(n + 7)), []
+            assert match(skeleton(a), b, pairs) == brute_size(a, b)
+            places = {id(node): i for i, node in enumerate(n for n in html_text._below(b) if n.tag == "#text")}
+            assert len(pairs) == len({i for i, _ in pairs}) == len({places[id(node)] for _, node in pairs})
+
+
 def test_page_of_a_megabyte():
     page = "<article>" + "".join(f"<p>paragraph {i} <b>bold</b> text</p>" for i in range(30_000)) + "</article>"
     root = parse(page)

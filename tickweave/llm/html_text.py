@@ -22,12 +22,12 @@ import hashlib
 import json
 import re
 import zlib
-from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,9 +36,8 @@ from .common import forget, keep, small
 
 #: A reference text is constant if this share of the pages that reach it agree, over at least so many pages.
 CONSTANT_SHARE, CONSTANT_PAGES = 0.9, 5
-#: Lists of children whose product of lengths is above this are aligned in order, by label and text, then by label; so
-#: are all lists of a page that has more pairs of nodes than this.
-LONG, NODE_PAIRS = 400, 50_000
+#: Bits that tell whether two subtrees may have a text in common.
+WORD_BITS = 1021
 #: Reference rows that may be broadcast.
 BROADCAST_ROWS = 20_000
 
@@ -243,142 +242,184 @@ def _sizes(node: Node) -> tuple[int, int]:
     return size, linked
 
 
-def _subtree(key: str, texts: Iterator[str]) -> str:
-    return key + "|" + "|".join(texts)
-
-
-def _texts_below(tree: list, at: int) -> Iterator[str]:
-    stack = [at]
-    while stack:
-        label, digest, kids, number = tree[stack.pop()]
-        if number >= 0:
-            yield digest
-        stack.extend(reversed(kids))
+class _Classes:
+    """Subtrees of a reference and of a page, numbered so that equal ones share a number; children have smaller numbers
+    than what holds them. Texts that only one of the two trees has are all alike here, as they equal nothing there.
 
+    ``shape`` is the class with all texts left out, ``words`` bits of its texts: where two classes have no bit in common,
+    no text of theirs is equal, and their shapes score the same.
+    """
 
-def _texts_of(node: Node) -> Iterator[str]:
-    stack = [node]
-    while stack:
-        n = stack.pop()
-        if n.tag == "#text":
-            yield n.hash()
+    def __init__(self, tree: list, root: Node) -> None:
+        self.nodes, self.kids = [root], []
+        for node in self.nodes:  # grows while it is read: parents stand before their children
+            below = node.solid() if node.tag != "#text" else []
+            self.kids.append(range(len(self.nodes), len(self.nodes) + len(below)))
+            self.nodes.extend(below)
+        common = {n.hash() for n in self.nodes if n.tag == "#text"} & {digest for _, digest, _, number in tree if number >= 0}
+        self.known: dict[tuple, int] = {}
+        self.label, self.below, self.shape, self.words = [], [], [], []
+        self.scores: dict[tuple[int, int], int] = {}
+        self.mine, self.theirs = [0] * len(self.nodes), [0] * len(tree)
+        for i in range(len(tree) - 1, -1, -1):
+            label, digest, kids, number = tree[i]
+            self.theirs[i] = self._of(label, digest if number >= 0 and digest in common else "", tuple(map(self.theirs.__getitem__, kids)))
+        for i in range(len(self.nodes) - 1, -1, -1):
+            node = self.nodes[i]
+            digest = node.hash() if node.tag == "#text" and node.hash() in common else ""
+            self.mine[i] = self._of(node.label, digest, tuple(self.mine[k] for k in self.kids[i]))
+
+    def _of(self, label: str, digest: str, below: tuple[int, ...]) -> int:
+        got = self.known.get((label, digest, below))
+        if got is None:
+            words = 1 << int(digest, 16) % WORD_BITS if digest else 0
+            for k in below:
+                words |= self.words[k]
+            shape = self._of(label, "", tuple(self.shape[k] for k in below)) if words else len(self.label)
+            got = self.known[label, digest, below] = len(self.label)
+            self.label.append(label)
+            self.below.append(below)
+            self.shape.append(shape)
+            self.words.append(words)
+        return got
+
+    def pair(self, p: int, q: int) -> tuple[int, int]:
+        return (p, q) if self.words[p] & self.words[q] else (self.shape[p], self.shape[q])
+
+    def score(self, p: int, q: int) -> int:
+        """The size of the largest matching of two classes of one label."""
+        found = {self.pair(p, q)}
+        todo = list(found)
+        for p_, q_ in todo:  # grows while it is read
+            x, y = self.below[p_], self.below[q_]
+            a, b = _ends(x, y)
+            xs, ys = set(x[a : len(x) - b]), tuple(set(y[a : len(y) - b]))
+            shared = self.by_bit(ys)
+            pairs = [(u, v) for u in {self.shape[u] for u in xs} for v in {self.shape[v] for v in ys} if self.label[u] == self.label[v]]
+            pairs += [(u, ys[j]) for u in xs for j in self.alike(u, ys, shared)]
+            pairs += [(u, u) for u in {*x[:a], *x[len(x) - b :]}]
+            for key in pairs:
+                if key not in found and key not in self.scores:
+                    found.add(key)
+                    todo.append(key)
+        for u, v in sorted(found):
+            if self.label[u] == "#text":
+                self.scores[u, v] = 3 if u == v and self.words[u] else 2
+                continue
+            x, y = self.below[u], self.below[v]
+            a, b = _ends(x, y)
+            total = 2 + sum(self.scores[k, k] for k in x[:a]) + sum(self.scores[k, k] for k in x[len(x) - b :])
+            for last in _grid(self, x[a : len(x) - b], y[a : len(y) - b]):
+                pass
+            self.scores[u, v] = total + int(last[-1])
+        return self.scores[self.pair(p, q)]
+
+    def by_bit(self, y: tuple[int, ...]) -> dict[int, list[int]]:
+        """Places in a list of the classes that have a bit of their words."""
+        out: dict[int, list[int]] = {}
+        for j, q in enumerate(y):
+            for bit in _bits(self.words[q]):
+                out.setdefault(bit, []).append(j)
+        return out
+
+    def alike(self, p: int, y: tuple[int, ...], by_bit: dict[int, list[int]]) -> set[int]:
+        """Places of classes of the same label that may have a text in common with a class."""
+        return {j for bit in _bits(self.words[p]) for j in by_bit.get(bit, ()) if self.label[y[j]] == self.label[p]}
+
+    def weights(self, p: int, y: tuple[int, ...], by_bit: dict[int, list[int]], plain: dict[int, np.ndarray]) -> np.ndarray:
+        """The score of a class with each of some others, -1 for other labels; ``plain`` holds those of shapes."""
+        shape = self.shape[p]
+        if shape not in plain:
+            plain[shape] = np.array([self.scores[shape, self.shape[q]] if self.label[q] == self.label[p] else -1 for q in y], np.int64)
+        near = self.alike(p, y, by_bit)
+        if not near:
+            return plain[shape]
+        out = plain[shape].copy()
+        for j in near:
+            out[j] = self.scores[p, y[j]]
+        return out
+
+
+def _bits(words: int) -> Iterator[int]:
+    while words:
+        low = words & -words
+        yield low
+        words ^= low
+
+
+def _ends(x: tuple[int, ...], y: tuple[int, ...]) -> tuple[int, int]:
+    """How many first and how many last children are of equal classes, which nothing can match better than their like."""
+    most, a, b = min(len(x), len(y)), 0, 0
+    while b < most and x[-1 - b] == y[-1 - b]:
+        b += 1
+    while a < most - b and x[a] == y[a]:
+        a += 1
+    return a, b
+
+
+def _grid(classes: _Classes, x: tuple[int, ...], y: tuple[int, ...], first: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Rows of the best scores of the first children in x with the first ones in y, from the row ``first`` on."""
+    above = np.zeros(len(y) + 1, np.int64) if first is None else first
+    yield above
+    by_bit, plain = classes.by_bit(y), {}
+    for p in x:
+        w = classes.weights(p, y, by_bit, plain)
+        now = np.zeros(len(y) + 1, np.int64)
+        np.maximum.accumulate(np.maximum(np.where(w >= 0, above[:-1] + w, 0), above[1:]), out=now[1:])
+        yield now
+        above = now
+
+
+def _aligned(classes: _Classes, x: tuple[int, ...], y: tuple[int, ...]) -> Iterator[tuple[int, int]]:
+    """Places of the children that are matched with each other. About the root of the rows is held at a time: some rows
+    are kept, and those between two of them are made again."""
+    a, b = _ends(x, y)
+    yield from ((i, i) for i in range(a))
+    yield from ((len(x) - 1 - i, len(y) - 1 - i) for i in range(b))
+    x, y = x[a : len(x) - b], y[a : len(y) - b]
+    if not x or not y:
+        return
+    step = isqrt(len(x)) + 1
+    kept = [row for i, row in enumerate(_grid(classes, x, y)) if i % step == 0]
+    i, j, low, rows = len(x), len(y), len(x) + 1, []
+    while i and j:
+        if i - 1 < low:
+            low = (i - 1) // step * step
+            rows = list(_grid(classes, x[low:i], y, kept[low // step]))
+        now, above = rows[i - low], rows[i - 1 - low]
+        p, q = x[i - 1], y[j - 1]
+        if classes.label[p] == classes.label[q] and now[j] == above[j - 1] + classes.scores[classes.pair(p, q)]:
+            i, j = i - 1, j - 1
+            yield a + i, a + j
+        elif now[j] == above[j]:
+            i -= 1
         else:
-            stack.extend(reversed(n.solid()))
-
-
-def _chain(x: list, y: list) -> list[tuple[int, int]]:
-    """The longest chain of places with equal keys that keeps order, of a key's first places in both lists, its second
-    ones, and so on."""
-    places: dict = {}
-    for j, k in enumerate(y):
-        places.setdefault(k, []).append(j)
-    turn: Counter = Counter()
-    met = []
-    for i, k in enumerate(x):
-        if turn[k] < len(places.get(k, ())):
-            met.append((i, places[k][turn[k]]))
-            turn[k] += 1
-    tails: list[int] = []
-    heads: list[int] = []
-    before = [-1] * len(met)
-    for q, (_, j) in enumerate(met):
-        t = bisect_left(tails, j)
-        before[q] = heads[t - 1] if t else -1
-        tails[t : t + 1], heads[t : t + 1] = [j], [q]
-    out, q = [], heads[-1] if heads else -1
-    while q >= 0:
-        out.append(met[q])
-        q = before[q]
-    return out[::-1]
-
-
-def _blocks(tree: list, x: list[int], y: list[Node], long: int = LONG) -> list[tuple[list[int], list[Node]]]:
-    """Parts of two lists of children that are aligned with each other, in order.
-
-    Short lists are one part. Long ones are cut at children of equal label and texts; what lies between two of these is
-    a part again, or, if it is long, children of equal label are parts of their own, in order.
-    """
-    if len(x) * len(y) <= max(long, 1):
-        return [(x, y)]
-    kx = [_subtree(tree[i][0], _texts_below(tree, i)) for i in x]
-    ky = [_subtree(n.label, _texts_of(n)) for n in y]
-    parts, i0, j0 = [], 0, 0
-    for i, j in [*_chain(kx, ky), (len(x), len(y))]:
-        a, b = x[i0:i], y[j0:j]
-        if len(a) * len(b) > long:
-            parts += [([a[p]], [b[q]]) for p, q in _chain([tree[v][0] for v in a], [n.label for n in b])]
-        elif a and b:
-            parts.append((a, b))
-        if i < len(x):
-            parts.append(([x[i]], [y[j]]))
-        i0, j0 = i + 1, j + 1
-    return parts
+            j -= 1
 
 
 def match(tree: list, root: Node, pairs: list | None = None) -> int:
     """Simple tree matching of a reference (a skeleton) with a page's node: the size of the matching.
 
     With ``pairs``, the matched text nodes are added to it as (number in the reference, page's node). Equal texts count
-    a little more than different ones, so that a constant text finds its like.
+    a little more than different ones, so that a constant text finds its like. The matching is a largest one for lists
+    of children of any length: equal subtrees are scored once, and the time for what is different grows with the product
+    of the lengths, the memory with their root.
     """
     if tree[0][0] != root.label:
         return 0
-    spots: list[tuple[int, Node]] = [(0, root)]
-    parts_of: list[list] = []
-    for r, node in spots:  # grows while it is read: parents stand before their children
-        parts: list = []
-        x, y = tree[r][2], node.solid() if node.tag != "#text" else ()
-        if x and y:
-            for xs, ys in _blocks(tree, x, y, LONG if len(spots) < NODE_PAIRS else 1):
-                grid = [[-1] * len(ys) for _ in xs]
-                for i, xi in enumerate(xs):
-                    label, row = tree[xi][0], grid[i]
-                    for j, yj in enumerate(ys):
-                        if yj.label == label:
-                            row[j] = len(spots)
-                            spots.append((xi, yj))
-                parts.append((grid, []))
-        parts_of.append(parts)
-    scores = [0] * len(spots)
-    for s in range(len(spots) - 1, -1, -1):
-        r, node = spots[s]
-        if node.tag == "#text":
-            scores[s] = 3 if tree[r][1] == node.hash() else 2
+    classes = _Classes(tree, root)
+    total = classes.score(classes.theirs[0], classes.mine[0])
+    todo = [(0, 0)] if pairs is not None else []
+    while todo:
+        r, s = todo.pop()
+        if tree[r][3] >= 0:
+            pairs.append((tree[r][3], classes.nodes[s]))
             continue
-        total = 2
-        for grid, best in parts_of[s]:
-            best.append([0] * (len(grid[0]) + 1))
-            for row in grid:
-                above, now = best[-1], [0]
-                for j, w in enumerate(row):
-                    v = above[j] + scores[w] if w >= 0 else 0
-                    if above[j + 1] > v:
-                        v = above[j + 1]
-                    if now[j] > v:
-                        v = now[j]
-                    now.append(v)
-                best.append(now)
-            total += best[-1][-1]
-        scores[s] = total
-    if pairs is not None:
-        todo = [0]
-        while todo:
-            s = todo.pop()
-            r, node = spots[s]
-            if node.tag == "#text":
-                pairs.append((tree[r][3], node))
-            for grid, best in parts_of[s]:
-                i, j = len(grid), len(grid[0])
-                while i and j:
-                    w = grid[i - 1][j - 1]
-                    if w >= 0 and best[i][j] == best[i - 1][j - 1] + scores[w]:
-                        todo.append(w)
-                        i, j = i - 1, j - 1
-                    elif best[i][j] == best[i - 1][j]:
-                        i -= 1
-                    else:
-                        j -= 1
-    return scores[0]
+        kids, below = tree[r][2], classes.kids[s]
+        if kids and below:
+            p, q = classes.theirs[r], classes.mine[s]
+            todo.extend((kids[i], below[j]) for i, j in _aligned(classes, classes.below[p], classes.below[q]))
+    return total
 
 
 def hash_text(text: str) -> str:
