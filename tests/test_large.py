@@ -50,3 +50,20 @@ def test_ranges_of_a_search_index_do_not_grow_with_the_table(spark, monkeypatch)
     sizes = [r["count"] for r in index.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) > 10 and max(sizes) < 1500
     assert index.count() == index.distinct().count() == sum(len({x[i : i + 3] for i in range(len(x) - 2)}) for x in (f"part number {i}" for i in range(390)))
+
+
+def test_a_delta_is_worked_out_once_when_it_is_put_in(spark, tmp_path):
+    """Also deltas that cost much, as buckets of all stored ticks do."""
+    worked = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def costly(x):
+        worked.add(1)
+        return x
+
+    folder, keys = f"file://{tmp_path}/t", ["id"]
+    at = lambda a, b, v: spark.range(a, b).selectExpr("id", f"{v} AS v", "CAST(id % 3 AS INT) AS p")
+    sinks.upsert_partitions(at(0, 30, 1), folder, keys, partition="p")
+    sinks.upsert_partitions(at(20, 40, 2).union(at(25, 30, 0)).withColumn("p", costly("p")), folder, keys, partition="p")
+    assert worked.value == 25
+    assert {r["id"]: r["v"] for r in spark.read.parquet(folder).collect()} == {i: 1 if i < 20 else 2 for i in range(40)}

@@ -446,13 +446,14 @@ def _run(stream: DataFrame, put, checkpoint: str) -> None:
 
 
 def _halves(spark: SparkSession, d: str, folder: str) -> DataFrame:
-    """The ticks as a stream of files, each of which is a micro-batch; the second half is not there yet."""
-    c.ticks(spark, d).filter("seq % 2 = 0").repartition(2).write.parquet(f"{folder}/in")
-    return spark.readStream.schema(c.TICKS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    """The ticks as a stream of files, of which as many as there are cores are a micro-batch; the second half is not there yet."""
+    n = spark.sparkContext.defaultParallelism
+    c.ticks(spark, d).filter("seq % 2 = 0").repartition(2 * n).write.parquet(f"{folder}/in")
+    return spark.readStream.schema(c.TICKS).option("maxFilesPerTrigger", n).parquet(f"{folder}/in")
 
 
 def _arrive(spark: SparkSession, d: str, folder: str) -> None:
-    c.ticks(spark, d).filter("seq % 2 = 1").repartition(2).write.mode("append").parquet(f"{folder}/in")
+    c.ticks(spark, d).filter("seq % 2 = 1").repartition(2 * spark.sparkContext.defaultParallelism).write.mode("append").parquet(f"{folder}/in")
 
 
 @query("x2_live_bars", f"WITH {TICKS} SELECT symbol, {ts('time_bucket(INTERVAL 60 MINUTE, time)', 'bucket')}, arg_min(price_li, (time, seq)) AS open_li, max(price_li) AS high_li, min(price_li) AS low_li, arg_max(price_li, (time, seq)) AS close_li, CAST(sum(volume_hand) AS BIGINT) AS volume_hand FROM ticks GROUP BY symbol, time_bucket(INTERVAL 60 MINUTE, time)")

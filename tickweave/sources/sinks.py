@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from ..operators.windows import latest
 from .scans import on_days
@@ -128,15 +129,20 @@ def upsert_partitions(delta: DataFrame, folder: str, keys: list[str], *, partiti
     old, and two writers at once are not told apart; one writer a table. A delta that comes twice changes nothing. A run that fails while it stages leaves
     the table as it was; one that fails while it puts the partitions in is mended by the same delta again.
     """
-    spark = delta.sparkSession
+    spark, rows = delta.sparkSession, latest(delta, key=keys, order=_winner(delta.columns, order))
     if not _exists(spark, folder):
-        latest(delta, key=keys, order=_winner(delta.columns, order)).repartition(partition).write.partitionBy(partition).parquet(folder)
+        rows.repartition(partition).write.partitionBy(partition).parquet(folder)
         return
-    touched = delta.select(partition).distinct()
-    old = spark.read.parquet(folder).withColumn(partition, F.col(partition).cast(delta.schema[partition].dataType)).join(touched, partition, "left_semi")
     staging = f"{folder.rstrip('/')}-staging-{uuid.uuid4().hex}"
-    merged(old.select(*delta.columns), delta, keys, order=order).write.parquet(staging)
-    spark.read.parquet(staging).repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(folder)
+    rows.write.parquet(f"{staging}/delta")  # worked out once: what is touched and what is put in are the same rows
+    fresh = spark.read.schema(rows.schema).parquet(f"{staging}/delta")
+    touched = fresh.select(partition).distinct()
+    old = spark.read.parquet(folder).withColumn(partition, F.col(partition).cast(delta.schema[partition].dataType)).join(touched, partition, "left_semi")
+    # The delta has one row a key by now, so stored rows need no text of the whole row to sort by.
+    both = old.select(*delta.columns).withColumn("__new", F.lit(0)).unionByName(fresh.withColumn("__new", F.lit(1)))
+    plain = [F.desc(f"`{f.name}`") for f in fresh.schema if isinstance(f.dataType, AtomicType) and f.name not in keys]
+    latest(both, key=keys, order=[F.desc("__new"), *plain]).drop("__new").write.parquet(f"{staging}/whole")
+    spark.read.parquet(f"{staging}/whole").repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(folder)
     _delete(spark, staging)
 
 
