@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from tickweave.llm.ngram_join import boundary, least_overlap, ngram_join, subset_keys
+from tickweave.llm.ngram_join import TASK_ENTRIES, boundary, least_overlap, list_tasks, ngram_join, subset_keys
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -127,3 +127,9 @@ def test_small_sets_one_shingle_apart_meet_beside_long_lists(spark, monkeypatch)
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     assert sorted(map(tuple, ngram_join(df).collect())) == brute(rows)
+
+
+def test_list_entries_are_dealt_to_tasks_that_grow_with_the_table():
+    one = list_tasks(40_000_000, {}, 0, 75, 100)
+    assert one == 10_000_000 // TASK_ENTRIES and list_tasks(400_000_000, {}, 0, 75, 100) == 10 * one
+    assert list_tasks(0, {12: 1_000_000}, 12, 75, 100) > list_tasks(0, {12: 1_000_000}, 11, 75, 100) == 0

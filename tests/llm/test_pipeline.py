@@ -37,3 +37,31 @@ def test_of_each_group_of_near_copies_one_row_stays(spark):
     want = {least for _, _, least in brute([(r[0], r[1]) for r in rows])}
     got = [r["doc_id"] for r in out.select("doc_id").collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_stages_take_long_texts_in_batches_of_bounded_size(spark):
+    """What a worker gets at a time is bounded in bytes, in tables that are kept and in results that a caller writes."""
+    from tickweave.llm import common
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.get_total_buffer_size()], pa.int64())], ["n"])
+
+    def largest():
+        return docs.mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0]
+
+    docs = spark.range(600).selectExpr("id as doc_id", "repeat(cast(id as string), 20000) as text", "'en' as lang", "'a' as source", "0 as n_chars").coalesce(1)
+    most = 8 << 20
+    assert common.keep(docs.mapInArrow(sizes, "n long"), "sizes").agg({"n": "max"}).first()[0] <= most
+    settings = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            for key in settings:
+                spark.conf.unset(key)
+            stage(spark, docs.limit(0), DIR)
+            assert largest() <= most, name
+    finally:
+        for key in settings:
+            spark.conf.unset(key)

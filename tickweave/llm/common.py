@@ -17,8 +17,11 @@ WORD_PATTERN = f"[^{SPACE_CHARS}]+"
 #: Text is hashed in pieces of about so many bytes, which bounds the memory of one task.
 PIECE_BYTES = 1 << 18
 
-#: Rows of an Arrow batch while a table is written: whole texts and sets are long.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch while a table is written: whole texts and sets are long, and JVM and worker hold
+#: batches outside the heap. Only a single row may be longer.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: Rows that a task decodes of a Parquet file at a time: of whole texts Spark's 4096 are tens of megabytes in one array.
+READ_ROWS = 512
 
 _fallback: dict[str, str] = {}
 
@@ -37,8 +40,16 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/tickweave/{label}-{uuid.uuid4().hex}"
 
 
+#: Settings that bound what a task holds of long rows at a time; no result depends on them.
+_BOUNDS = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), "spark.sql.parquet.columnarReaderBatchSize": str(READ_ROWS)}
 #: Settings of the session while a table is written; shuffle files go as soon as the table stands.
-_WRITING = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+_WRITING = _BOUNDS | {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+def bounded(spark: SparkSession) -> None:
+    """Let the session hold as little of long rows at a time as ``keep`` does, for results that someone else writes."""
+    for key, value in _BOUNDS.items():
+        spark.conf.set(key, value)
 
 
 def keep(df: DataFrame, label: str) -> DataFrame:

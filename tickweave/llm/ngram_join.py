@@ -28,7 +28,7 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pandas as pd
@@ -42,10 +42,14 @@ from .common import forget, hasher, keep, mix64, raw_texts, shingles, small
 #: A task counts common shingles over so many at a time, and names those that it meets in so many sets. Prefixes are
 #: mostly made of the hashes below FRONT, so there fewer are enough.
 CHUNK_SHINGLES, COMMON_IN_CHUNK, COMMON_IN_FRONT, FRONT = 1_000_000, 4, 2, np.uint64(2**64 * 2 // 5)
+#: Rows of common keys that leave a task as one batch.
+OUT_ROWS = 50_000
 #: So many of the commonest shingles are known to every task (8 bytes each); others are ordered by hash alone.
 MOST_COMMON = 1_000_000
 #: So many of the commonest subsets of small sets are known likewise, to be salted.
 MOST_COMMON_SUBSETS = 250_000
+#: List entries that a task orders, about: what it fetches and sorts at once stays the same as tables grow.
+TASK_ENTRIES = 200_000
 #: Subsets are never considered for sets above this size.
 LARGEST_SMALL = 12
 #: Lists are split by a central member until this many times the rows would do as pairs, or until a round leaves more
@@ -111,12 +115,15 @@ def _set_rows(num: int, den: int):
         named: list[np.ndarray] = []
         count = 0
 
+        def cut(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            return (rows.slice(at, OUT_ROWS) for at in range(0, len(rows), OUT_ROWS))
+
         def tally() -> Iterator[pa.RecordBatch]:
             rows, squares, total = _counted_rows(1, held)
-            yield rows
+            yield from cut(rows)
             yield _rows(np.array([2]), [squares], [total])
             if named:
-                yield _counted_rows(3, named)[0]
+                yield from cut(_counted_rows(3, named)[0])
 
         for batch in batches:
             sizes, digests = [], []
@@ -415,6 +422,12 @@ def _linked(num: int, den: int) -> Column:
     return F.col("o").cast("long") * den >= (F.col("a") + F.col("b") - F.col("o")) * num
 
 
+def list_tasks(shingles: int, sizes: dict[int, int], limit: int, num: int, den: int) -> int:
+    """Tasks that the list entries are dealt to, from the counted shingles and the sizes of small sets."""
+    named = sum(n * subset_count(a, num, den) for a, n in sizes.items() if a <= limit)
+    return ceil((shingles * (den - num) / den + named) / TASK_ENTRIES)
+
+
 def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100) -> DataFrame:
     """Group texts whose shingle sets have a Jaccard index of at least num / den, directly or through others.
 
@@ -453,6 +466,8 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     known_texts = texts.filter("id is not null")
     lists = known_texts.select("text").mapInArrow(_entries(shared, taken, limit, num, den), "kind int, sid long, n int, light int, own int, tokens array<long>")
     lists = lists.select("sid", "kind", "n", "light", "own", F.posexplode("tokens").alias("pos", "key")).select("sid", "key", _packed().alias("about"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), list_tasks(counted[1] or 0, sizes, limit, num, den))
+    lists = lists.repartition(tasks, "key")
     together = Window.partitionBy("key")
     lists = lists.withColumn("many", F.count("*").over(together)).filter(_heavy() | (F.col("many") > 1))
     lists = lists.groupBy("key", "sid").agg(F.min("about").alias("about")).select("key", *_unpacked())
